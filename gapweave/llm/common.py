@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +34,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: cuts the lineage, gives Spark its true size."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,40 +48,48 @@ def words(text: Column) -> Column:
 
 
 class Memo:
-    """Bounded memo from a string to a run of integers, kept in flat arrays so that a batch is one gather.
+    """Bounded memo from a string to a run of numbers, kept in one flat array so that a batch is one gather.
 
-    `fill(strings)` returns the integers of each new string. The memo starts anew beyond `most` strings,
-    so its memory is bounded; nothing depends on what it holds.
+    `fill(strings)` returns the numbers of each new string. The memo starts anew beyond `most` strings or
+    `most_values` numbers, so its memory is bounded; no result depends on what it holds.
     """
 
-    def __init__(self, fill, most: int = 250_000, most_values: int = 4_000_000):
-        self.fill, self.most, self.most_values = fill, most, most_values
+    def __init__(self, fill, most: int = 250_000, most_values: int = 4_000_000, dtype=np.int32):
+        self.fill, self.most, self.most_values, self.dtype = fill, most, most_values, dtype
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.flat = array("i")
-        self.ends = array("q", [0])
+        self.flat = np.zeros(1 << 16, self.dtype)
+        self.ends = np.zeros(1 << 14, np.int64)
 
     def rows(self, strings: list[str]) -> np.ndarray:
         """The row of each string; rows hold until the next call."""
-        if len(self.at) > self.most or len(self.flat) > self.most_values:
+        if len(self.at) > self.most or self.ends[len(self.at)] > self.most_values:
             self.clear()
         at = self.at
-        new = [s for s in dict.fromkeys(strings) if s not in at]
-        for s, got in zip(new, self.fill(new), strict=True):
-            at[s] = len(at)
-            self.flat.extend(got)
-            self.ends.append(len(self.flat))
+        if new := [s for s in dict.fromkeys(strings) if s not in at]:
+            had = len(at)
+            got = list(self.fill(new))
+            counts = np.fromiter(map(len, got), np.int64, len(got))
+            ends = self.ends[had] + np.cumsum(counts)
+            self.ends, self.flat = grown(self.ends, had + len(new) + 1), grown(self.flat, int(ends[-1]))
+            self.flat[self.ends[had] : ends[-1]] = np.concatenate(got) if counts.any() else []
+            self.ends[had + 1 : had + len(new) + 1] = ends
+            at.update(zip(new, range(had, had + len(new)), strict=True))
         return np.fromiter(map(at.__getitem__, strings), np.int64, len(strings))
 
     def lookup(self, strings: list[str], codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All integers of all strings in order, and how many each string has; with codes, of strings[codes]."""
+        """All numbers of all strings in order, and how many each string has; with codes, of strings[codes]."""
         index = self.rows(strings)
         index = index if codes is None else index[codes]
-        ends = np.array(self.ends, dtype=np.int64)
-        starts, counts = ends[index], ends[index + 1] - ends[index]
-        return np.array(self.flat, dtype=np.int32)[runs(starts, counts)], counts
+        starts, counts = self.ends[index], self.ends[index + 1] - self.ends[index]
+        return self.flat[runs(starts, counts)], counts
+
+
+def grown(values: np.ndarray, least: int) -> np.ndarray:
+    """`values` with room for `least` entries."""
+    return values if len(values) >= least else np.concatenate((values, np.zeros(max(least, 2 * len(values)) - len(values), values.dtype)))
 
 
 def split(texts: list[str], by: str = " ") -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -61,10 +61,16 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
             if len(p) == 1 or self.merged(p) == [p]:
-                self.automaton.add_word(p, (i, len(p), p))
+                self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.text_of = {i: p for p, i in self.id.items()}
         self.fits: dict[tuple[int, int], bool] = {}
+        # Between two characters that no piece holds side by side nothing merges: such marks are cut off words.
+        beside = {c for p in self.score for a, b in zip(p, p[1:]) if a.isalpha() != b.isalpha() for c in (a, b) if not c.isalpha()}
+        apart = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in beside) + "\n" * ("\n" not in beside)
+        letters = "".join(c for c in self.known if c.isalpha())
+        self.cut = re.compile(f"(?<=[{letters}])(?=[{re.escape(apart)}])|(?<=[{re.escape(apart)}])(?=[{letters}])").split
+        self.parts: dict[str, list[int]] = {}
         split = "\n" if "\n" not in "".join(self.known) else ""
         self.chunks = re.compile(f"{MARK}+[^{MARK}{split}]*|[^{MARK}{split}]+" + "|\n+" * bool(split)).findall
         self.memo = Memo(lambda new: map(self.encode_chunk, new), most=600_000, most_values=10_000_000)
@@ -87,15 +93,25 @@ class Codec:
     def fit(self, a: int, b: int) -> bool:
         got = self.fits.get((a, b))
         if got is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             x, y = self.text_of[a], self.text_of[b]
             got = self.fits[a, b] = self.merged(x + y) == [x, y]
         return got
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        if self.known.issuperset(chunk):
-            return self.backtrack(chunk)
+        out: list[int] = []
+        for part in self.cut(chunk):
+            ids = self.parts.get(part)
+            if ids is None:
+                if len(self.parts) > 150_000:
+                    self.parts.clear()
+                ids = self.parts[part] = self.longest(part) or self.backtrack(part) if self.known.issuperset(part) else self.with_bytes(part)
+            out += ids
+        return out
+
+    def with_bytes(self, chunk: str) -> list[int]:
+        """The ids of a text with characters outside the model, which become bytes."""
         out: list[int] = []
         start = 0
         for k, c in enumerate(chunk):
@@ -106,26 +122,35 @@ class Codec:
                 start = k + 1
         return out + self.backtrack(chunk[start:]) if start < len(chunk) else out
 
+    def longest(self, text: str) -> list[int] | None:
+        """The longest piece at every step, if that works without going back."""
+        ids = [piece[1] for _, piece in self.automaton.iter_long(text)]
+        fits = self.fits
+        for pair in zip(ids, ids[1:]):
+            if not (fits[pair] if pair in fits else self.fit(*pair)):
+                return None
+        return ids
+
     def backtrack(self, text: str) -> list[int]:
         n = len(text)
         starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (i, length, _) in self.automaton.iter(text):
-            starting[end - length + 1].append((length, i))  # shorter pieces end earlier: longest last
+        for end, piece in self.automaton.iter(text):
+            starting[end - piece[0] + 1].append(piece)  # shorter pieces end earlier: longest last
         ids: list[int] = []
         froms: list[int] = []  # where each taken piece starts
-        tried = [len(x) for x in starting]
         failed = 0  # bit k: nothing from character k on works
         pos = 0
+        before = -1
+        fits = self.fits
         while pos < n:
-            while tried[pos]:
-                tried[pos] -= 1
-                length, i = starting[pos][tried[pos]]
-                if not failed >> (pos + length) & 1 and (not ids or self.fit(ids[-1], i)):
+            choice = starting[pos]
+            while choice:
+                length, i = choice.pop()
+                if not failed >> (pos + length) & 1 and (before < 0 or fits.get((before, i)) or self.fit(before, i)):
                     ids.append(i)
                     froms.append(pos)
                     pos += length
-                    if pos < n:
-                        tried[pos] = len(starting[pos])
+                    before = i
                     break
             else:
                 if not ids:
@@ -133,6 +158,7 @@ class Codec:
                 failed |= 1 << pos
                 ids.pop()
                 pos = froms.pop()
+                before = ids[-1] if ids else -1
         return ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
