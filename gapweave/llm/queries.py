@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.llm import decontamination, line_dedup, sentencepiece_bpe, token_counts, vbyte
-from gapweave.llm.common import table
+from gapweave.llm import decontamination, language_id, line_dedup, sentencepiece_bpe, token_counts, toxicity, vbyte, warc
+from gapweave.llm.common import scratch, table
+from gapweave.llm.features import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,3 +65,31 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op5_decontamination"] = decontamination.SQL
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+
+
+ORACLE_SQL["op6_warc"] = warc.SQL
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model | None:
+    """Learnt from the labels of documents that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return toxicity.fit(docs.join(labels, "doc_id"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return toxicity.score(docs, toxicity_model(spark, sf_dir))
