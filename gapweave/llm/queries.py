@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.llm import decontamination, language_id, line_dedup, sentencepiece_bpe, token_counts, toxicity, vbyte, warc
+from gapweave.llm import decontamination, language_id, line_dedup, ngram_join, sentencepiece_bpe, token_counts, toxicity, vbyte, warc
 from gapweave.llm.common import scratch, table
 from gapweave.llm.features import held_out
 
@@ -93,3 +93,8 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model | None:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return toxicity.score(docs, toxicity_model(spark, sf_dir))
+
+
+@query
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
