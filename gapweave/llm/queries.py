@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.llm import decontamination, language_id, line_dedup, ngram_join, sentencepiece_bpe, token_counts, toxicity, vbyte, warc
+from gapweave.llm import decontamination, language_id, line_dedup, nearest, ngram_join, sentencepiece_bpe, token_counts, toxicity, vbyte, warc
 from gapweave.llm.common import scratch, table
 from gapweave.llm.features import held_out
 
@@ -28,8 +28,12 @@ def vocabulary(name: str) -> str:
 
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_digests(table(spark, sf_dir, "documents"))
+
+
+def sentencepiece_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
     model = vocabulary("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents")
     coded = docs.select("doc_id", sentencepiece_bpe.encode(F.col("text"), model).alias("ids"))
     both = coded.select("doc_id", "ids", sentencepiece_bpe.decode(F.col("ids"), model).alias("decoded"))
     return both.select(
@@ -98,3 +102,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
