@@ -50,7 +50,7 @@ def words(text: Column) -> Column:
 class Memo:
     """Bounded memo from a string to a run of numbers, kept in one flat array so that a batch is one gather.
 
-    `fill(strings)` returns the numbers of each new string. The memo starts anew beyond `most` strings or
+    `fill(strings)` returns the numbers of new strings one after another, and how many each has. The memo starts anew beyond `most` strings or
     `most_values` numbers, so its memory is bounded; no result depends on what it holds.
     """
 
@@ -70,11 +70,10 @@ class Memo:
         at = self.at
         if new := [s for s in dict.fromkeys(strings) if s not in at]:
             had = len(at)
-            got = list(self.fill(new))
-            counts = np.fromiter(map(len, got), np.int64, len(got))
+            values, counts = self.fill(new)
             ends = self.ends[had] + np.cumsum(counts)
             self.ends, self.flat = grown(self.ends, had + len(new) + 1), grown(self.flat, int(ends[-1]))
-            self.flat[self.ends[had] : ends[-1]] = np.concatenate(got) if counts.any() else []
+            self.flat[self.ends[had] : ends[-1]] = values
             self.ends[had + 1 : had + len(new) + 1] = ends
             at.update(zip(new, range(had, had + len(new)), strict=True))
         return np.fromiter(map(at.__getitem__, strings), np.int64, len(strings))

@@ -43,7 +43,11 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @lru_cache(maxsize=1)
 def memo() -> Memo:
-    return Memo(lambda new: ([xxhash.xxh3_64_intdigest(w) for w in WORD.findall(t.lower())] for t in new), most=500_000, most_values=2_000_000, dtype=np.uint64)
+    def hashes(new: list[str]) -> tuple[np.ndarray, list[int]]:
+        each = [WORD.findall(t.lower()) for t in new]
+        return np.array([xxhash.xxh3_64_intdigest(w) for words in each for w in words], np.uint64), list(map(len, each))
+
+    return Memo(hashes, most=500_000, most_values=2_000_000, dtype=np.uint64)
 
 
 @lru_cache(maxsize=1)

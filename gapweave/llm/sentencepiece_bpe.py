@@ -6,7 +6,7 @@ characters from which the rest can't be encoded. Two pieces may stand side by si
 gives just these two. A sequence of which all neighbours may is the model's only encoding, so the result is exact.
 
 No piece of such a model runs from a character into a following word mark, and characters outside the model never merge,
-so texts fall apart into chunks that are encoded one by one and remembered while a task runs.
+so texts fall apart into chunks, and each distinct chunk of a batch is encoded once.
 
 Null and empty texts have no ids and decode to ''. Texts of any length are encoded whole. Repeated rows get equal
 results; other columns, whatever their names, pass through untouched.
@@ -25,7 +25,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapweave.llm.common import Memo, blocks, list_array, per_text, split
+from gapweave.llm.common import blocks, list_array, per_text, runs, split
 
 MARK = "▁"
 
@@ -70,10 +70,10 @@ class Codec:
         apart = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in beside) + "\n" * ("\n" not in beside)
         letters = "".join(c for c in self.known if c.isalpha())
         self.cut = re.compile(f"(?<=[{letters}])(?=[{re.escape(apart)}])|(?<=[{re.escape(apart)}])(?=[{letters}])").split
-        self.parts: dict[str, list[int]] = {}
+        # For each piece the longest shorter one that it begins with.
+        self.shorter = {i: next(((k, self.id[p[:k]]) for k in range(len(p) - 1, 0, -1) if self.automaton.exists(p[:k])), None) for p, i in self.id.items()}
         split = "\n" if "\n" not in "".join(self.known) else ""
         self.chunks = re.compile(f"{MARK}+[^{MARK}{split}]*|[^{MARK}{split}]+" + "|\n+" * bool(split)).findall
-        self.memo = Memo(lambda new: map(self.encode_chunk, new), most=600_000, most_values=10_000_000)
         self.pieces = pa.array(self.bytes_of, pa.binary())
 
     def merged(self, text: str) -> list[str]:
@@ -99,16 +99,38 @@ class Codec:
             got = self.fits[a, b] = self.merged(x + y) == [x, y]
         return got
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for part in self.cut(chunk):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) > 150_000:
-                    self.parts.clear()
-                ids = self.parts[part] = self.longest(part) or self.backtrack(part) if self.known.issuperset(part) else self.with_bytes(part)
-            out += ids
-        return out
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all chunks, and how many each chunk has.
+
+        The longest pieces of all chunks are found in one pass; chunks in which some neighbours don't fit are backtracked.
+        """
+        cut = [self.cut(c) for c in chunks]
+        number = {p: k for k, p in enumerate(dict.fromkeys(p for ps in cut for p in ps))}
+        parts = list(number)
+        joined = "\0".join(parts)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        found = list(self.automaton.iter_long(joined))
+        ids = np.fromiter((p[1] for _, p in found), np.int64, len(found))
+        owner = np.searchsorted(ends, np.fromiter((e for e, _ in found), np.int64, len(found)), "right")
+        bad = np.zeros(len(parts), bool)
+        beside = np.flatnonzero(owner[1:] == owner[:-1])
+        pairs, back = np.unique(ids[beside] * len(self.bytes_of) + ids[beside + 1], return_inverse=True)
+        bad[owner[beside[~np.fromiter((self.fit(*divmod(x, len(self.bytes_of))) for x in pairs.tolist()), bool, len(pairs))[back]]]] = True
+        if outside := set(joined) - self.known:
+            bad |= np.fromiter((not outside.isdisjoint(p) for p in parts), bool, len(parts))
+        again = [self.backtrack(parts[k]) if self.known.issuperset(parts[k]) else self.with_bytes(parts[k]) for k in np.flatnonzero(bad).tolist()]
+        counts = np.bincount(owner, minlength=len(parts))
+        starts = np.cumsum(counts) - counts
+        counts[bad] = list(map(len, again))
+        starts[bad] = len(ids) + np.cumsum(counts[bad]) - counts[bad]
+        ids = np.concatenate((ids, np.fromiter((x for a in again for x in a), np.int64)))
+        used = np.fromiter((number[p] for ps in cut for p in ps), np.int64)
+        return ids[runs(starts[used], counts[used])].astype(np.int32), per_text(counts[used], np.fromiter(map(len, cut), np.int64, len(cut)))
+
+    def encode_many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_chunks(), in turns of a bounded number of chunks."""
+        parts = [self.encode_chunks(chunks[k : k + 100_000]) for k in range(0, len(chunks), 100_000)]
+        return (np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
     def with_bytes(self, chunk: str) -> list[int]:
         """The ids of a text with characters outside the model, which become bytes."""
@@ -122,44 +144,34 @@ class Codec:
                 start = k + 1
         return out + self.backtrack(chunk[start:]) if start < len(chunk) else out
 
-    def longest(self, text: str) -> list[int] | None:
-        """The longest piece at every step, if that works without going back."""
-        ids = [piece[1] for _, piece in self.automaton.iter_long(text)]
-        fits = self.fits
-        for pair in zip(ids, ids[1:]):
-            if not (fits[pair] if pair in fits else self.fit(*pair)):
-                return None
-        return ids
-
     def backtrack(self, text: str) -> list[int]:
-        n = len(text)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(text):
-            starting[end - piece[0] + 1].append(piece)  # shorter pieces end earlier: longest last
+        n, longest, fits, shorter = len(text), self.automaton.iter_long, self.fits, self.shorter
         ids: list[int] = []
         froms: list[int] = []  # where each taken piece starts
         failed = 0  # bit k: nothing from character k on works
-        pos = 0
-        before = -1
-        fits = self.fits
-        while pos < n:
-            choice = starting[pos]
+        pos, before = 0, -1
+        _, choice = next(longest(text))
+        while True:
             while choice:
-                length, i = choice.pop()
+                length, i = choice
                 if not failed >> (pos + length) & 1 and (before < 0 or fits.get((before, i)) or self.fit(before, i)):
-                    ids.append(i)
-                    froms.append(pos)
-                    pos += length
-                    before = i
                     break
+                choice = shorter[i]
+            if choice:
+                ids.append(i)
+                froms.append(pos)
+                pos += length
+                if pos == n:
+                    return ids
+                before = i
+                _, choice = next(longest(text, pos))
             else:
                 if not ids:
                     raise ValueError("the model can't encode this text")
                 failed |= 1 << pos
-                ids.pop()
+                choice = shorter[ids.pop()]
                 pos = froms.pop()
                 before = ids[-1] if ids else -1
-        return ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and how many each text has.
@@ -168,14 +180,15 @@ class Codec:
         """
         odd = [not t or t.startswith(" ") or "  " in t or MARK in t for t in texts]
         parts, codes, per = split([t for t, o in zip(texts, odd) if not o])
-        ids, counts = self.memo.lookup([MARK + p for p in parts], codes)
-        counts = per_text(counts, per)
+        ids, counts = self.encode_many([MARK + p for p in parts])
+        starts = np.cumsum(counts) - counts
+        ids, counts = ids[runs(starts[codes], counts[codes])], per_text(counts[codes], per)
         if not any(odd):
             return ids, counts
         runs_of = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
         out = []
         for t, o in zip(texts, odd):
-            out.append(next(runs_of) if not o else self.memo.lookup(self.chunks(MARK + t.replace(" ", MARK)))[0] if t else ids[:0])
+            out.append(next(runs_of) if not o else self.encode_many(self.chunks(MARK + t.replace(" ", MARK)))[0] if t else ids[:0])
         return np.concatenate(out) if out else ids, np.array([len(x) for x in out], dtype=np.int64)
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
@@ -201,7 +214,7 @@ def encode(text: Column, model: str) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def sentencepiece_encode(texts: pa.Array) -> pa.Array:
-        parts = [list_array(*codec(model).encode(block)) for block in blocks(texts)]
+        parts = [list_array(*codec(model).encode(block)) for block in blocks(texts, 8_000_000)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return sentencepiece_encode(text)
