@@ -115,20 +115,24 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node and group (smallest node connected with it) of every node of edges a, b.
 
-    Each round takes every node to the smallest label beside it and then to that label's label; rounds are written to
-    the shared folder. Their number grows with the logarithm of the longest shortest path, for usual groups two or three.
+    Each round hangs every node below its smallest neighbour, takes what hangs below one node together and keeps the
+    edges between different ones, until none is left. Rounds are written to the shared folder; usual groups need two.
     """
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = materialise(both, f"{name}-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("group")), f"{name}-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "group"), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("group").alias("old"), F.least("group", "near").alias("group"))
-        jump = labels.select(F.col("node").alias("group"), F.col("group").alias("beyond"))
-        new = materialise(lower.join(jump, "group").select("node", "old", F.least("group", "beyond").alias("group")), f"{name}-labels")
-        labels = new.select("node", "group")
-        if new.where("old <> group").isEmpty():
-            return labels
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        return materialise(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+
+    edges, labels = kept(edges), edges.sparkSession.createDataFrame([], "node long, group long")
+    while not edges.isEmpty():
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        above = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("up")), f"{name}-above")
+        top = materialise(above.join(above.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "top"), f"{name}-top")
+        of_a, of_b = (top.select(F.col("node").alias(x), F.col("top").alias(f"top_{x}")) for x in "ab")
+        edges = kept(edges.join(of_a, "a").join(of_b, "b").select(F.col("top_a").alias("a"), F.col("top_b").alias("b")))
+        moved = labels.join(top.select(F.col("node").alias("group"), "top"), "group", "left").select("node", F.coalesce("top", "group").alias("group"))
+        new = top.join(labels, "node", "left_anti").select("node", F.col("top").alias("group"))
+        labels = materialise(moved.unionAll(new), f"{name}-labels")
+    return labels
 
 
 def least_matches(threshold: float) -> list[int]:
