@@ -84,7 +84,7 @@ class TableMemo:
         if new := [s for s in strings if s not in at]:
             need = len(at) + len(new)
             if len(self.table) < need:
-                self.table = np.concatenate((self.table[: len(at)], np.zeros((max(need, 2 * len(at)) - len(at), self.width), np.float32)))
+                self.table = np.concatenate((self.table[: len(at)], np.zeros((max(need, len(at) * 5 // 4) - len(at), self.width), np.float32)))
             self.table[len(at) : need] = self.fill(new)
             at.update(zip(new, range(len(at), need), strict=True))
         return np.fromiter(map(at.__getitem__, strings), np.int64, len(strings))

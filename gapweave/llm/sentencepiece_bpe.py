@@ -93,7 +93,7 @@ class Codec:
     def fit(self, a: int, b: int) -> bool:
         got = self.fits.get((a, b))
         if got is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 250_000:
                 self.fits.clear()
             x, y = self.text_of[a], self.text_of[b]
             got = self.fits[a, b] = self.merged(x + y) == [x, y]
@@ -129,7 +129,7 @@ class Codec:
 
     def encode_many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As encode_chunks(), in turns of a bounded number of chunks."""
-        parts = [self.encode_chunks(chunks[k : k + 100_000]) for k in range(0, len(chunks), 100_000)]
+        parts = [self.encode_chunks(chunks[k : k + 50_000]) for k in range(0, len(chunks), 50_000)]
         return (np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
     def with_bytes(self, chunk: str) -> list[int]:
@@ -214,7 +214,8 @@ def encode(text: Column, model: str) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def sentencepiece_encode(texts: pa.Array) -> pa.Array:
-        parts = [list_array(*codec(model).encode(block)) for block in blocks(texts, 8_000_000)]
+        parts = [list_array(*codec(model).encode(block)) for block in blocks(texts, 4_000_000)]
+        pa.default_memory_pool().release_unused()
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return sentencepiece_encode(text)
