@@ -1,9 +1,8 @@
-"""What the corpus operators share: scratch folders, materialised tables, word normalisation, string memos."""
+"""What the corpus operators share: word normalisation, string memos, blocks of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapweave.sources.scratch import materialise, scratch
+
+__all__ = ["Known", "Memo", "blocks", "coded", "grown", "list_array", "materialise", "per_text", "release", "runs", "scratch", "split", "table", "words"]
+
 #: Near-duplicate operators work on runs of so many words, at this similarity or more.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -20,82 +23,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one that the session names in spark.checkpoint.dir.
-
-    Only a local session, whose executors share the driver's disk, gets a folder of its own when none is named.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='gapweave-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts the lineage, gives Spark its true size."""
-    path = scratch(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order; no words for null."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
     return F.filter(parts, lambda w: w != "")
 
 
+class Known:
+    """The strings that a memo has rows for, in one Arrow array, so that lookups and storage stay outside Python."""
+
+    def __init__(self, most: int):
+        self.most, self.strings = most, pa.array([], pa.large_string())
+
+    def rows(self, strings: pa.Array) -> tuple[np.ndarray, pa.Array, bool]:
+        """The row of each of some distinct strings, the new ones among them (whose rows are the last), and whether all rows before have gone."""
+        anew = len(self.strings) > self.most
+        if anew:
+            self.strings = self.strings[:0]
+        at = pc.index_in(strings, value_set=self.strings)
+        missing = pc.is_null(at).to_numpy(zero_copy_only=False)
+        new = strings.filter(pa.array(missing))
+        rows = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows[missing] = len(self.strings) + np.arange(len(new))
+        self.strings = pa.concat_arrays([self.strings, new])
+        return rows, new, anew
+
+
 class Memo:
     """Bounded memo from a string to a run of numbers, kept in one flat array so that a batch is one gather.
 
-    `fill(strings)` returns the numbers of new strings one after another, and how many each has. The memo starts anew beyond `most` strings or
-    `most_values` numbers, so its memory is bounded; no result depends on what it holds.
+    `fill(strings)` returns the numbers of new strings one after another, and how many each has. The memo starts anew
+    beyond `most` strings, so its memory is bounded; no result depends on what it holds.
     """
 
-    def __init__(self, fill, most: int = 250_000, most_values: int = 4_000_000, dtype=np.int32):
-        self.fill, self.most, self.most_values, self.dtype = fill, most, most_values, dtype
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, self.dtype)
-        self.ends = np.zeros(1 << 14, np.int64)
-
-    def rows(self, strings: list[str]) -> np.ndarray:
-        """The row of each string; rows hold until the next call."""
-        if len(self.at) > self.most or self.ends[len(self.at)] > self.most_values:
-            self.clear()
-        at = self.at
-        if new := [s for s in dict.fromkeys(strings) if s not in at]:
-            had = len(at)
-            values, counts = self.fill(new)
-            ends = self.ends[had] + np.cumsum(counts)
-            self.ends, self.flat = grown(self.ends, had + len(new) + 1), grown(self.flat, int(ends[-1]))
-            self.flat[self.ends[had] : ends[-1]] = values
-            self.ends[had + 1 : had + len(new) + 1] = ends
-            at.update(zip(new, range(had, had + len(new)), strict=True))
-        return np.fromiter(map(at.__getitem__, strings), np.int64, len(strings))
-
-    def lookup(self, strings: list[str], codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All numbers of all strings in order, and how many each string has; with codes, of strings[codes]."""
-        index = self.rows(strings)
-        index = index if codes is None else index[codes]
+    def __init__(self, fill, most: int, dtype=np.int32):
+        self.fill, self.dtype, self.known = fill, dtype, Known(most)
+        self.flat, self.ends, self.n = np.zeros(1 << 16, dtype), np.zeros(1 << 14, np.int64), 0
+
+    def lookup(self, strings: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers of strings[codes] in order, and how many each has; `strings` are distinct."""
+        rows, new, anew = self.known.rows(strings)
+        if anew:
+            self.n = 0
+        if len(new):
+            values, counts = self.fill(new.to_pylist())
+            ends = self.ends[self.n] + np.cumsum(counts)
+            self.ends, self.flat = grown(self.ends, self.n + len(new) + 1), grown(self.flat, int(ends[-1]))
+            self.flat[self.ends[self.n] : ends[-1]] = values
+            self.ends[self.n + 1 : self.n + len(new) + 1] = ends
+            self.n += len(new)
+        index = rows[codes]
         starts, counts = self.ends[index], self.ends[index + 1] - self.ends[index]
         return self.flat[runs(starts, counts)], counts
 
 
 def grown(values: np.ndarray, least: int) -> np.ndarray:
     """`values` with room for `least` entries."""
-    return values if len(values) >= least else np.concatenate((values, np.zeros(max(least, 2 * len(values)) - len(values), values.dtype)))
+    return values if len(values) >= least else np.concatenate((values, np.zeros(max(least, len(values) * 5 // 4) - len(values), values.dtype)))
 
 
-def split(texts: list[str], by: str = " ") -> tuple[list[str], np.ndarray, np.ndarray]:
+def split(texts: list[str], by: str = " ") -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct parts of all texts, the number of each part in order, and how many parts each text has ('' has one)."""
-    lists = pc.split_pattern(pa.array(texts, pa.large_string()), by)
-    coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return coded(pc.split_pattern(pa.array(texts, pa.large_string()), by))
+
+
+def coded(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    of = lists.flatten().dictionary_encode()
+    return of.dictionary, of.indices.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system: workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def per_text(counts: np.ndarray, parts: np.ndarray) -> np.ndarray:

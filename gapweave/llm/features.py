@@ -11,17 +11,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapweave.llm.common import Known, coded
+
 
 #: Odd multipliers of the n-gram hash, one for each place.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 NOT_WORD = regex.compile(r"[^\p{L}\p{N} ]+")
 
 
-def split_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words between white space, the number of each word in order, and the words of each text."""
-    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-    coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return coded(pc.ascii_split_whitespace(pa.array(texts, pa.large_string())))
 
 
 def ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -72,22 +72,22 @@ class TableMemo:
     """Bounded memo from a string to a row of numbers; `fill(strings)` gives the rows of new strings."""
 
     def __init__(self, fill, width: int, most: int):
-        self.fill, self.width, self.most = fill, width, most
-        self.at: dict[str, int] = {}
+        self.fill, self.known, self.n = fill, Known(most), 0
         self.table = np.zeros((0, width), np.float32)
 
-    def rows(self, strings: list[str]) -> np.ndarray:
-        """The row numbers of strings in `table`; they hold until the next call."""
-        if len(self.at) > self.most:
-            self.at, self.table = {}, self.table[:0]
-        at = self.at
-        if new := [s for s in strings if s not in at]:
-            need = len(at) + len(new)
+    def rows(self, strings: pa.Array) -> np.ndarray:
+        """The row numbers of distinct strings in `table`; they hold until the next call."""
+        rows, new, anew = self.known.rows(strings)
+        if anew:
+            self.n = 0
+        if need := len(new) and self.n + len(new):
             if len(self.table) < need:
-                self.table = np.concatenate((self.table[: len(at)], np.zeros((max(need, len(at) * 5 // 4) - len(at), self.width), np.float32)))
-            self.table[len(at) : need] = self.fill(new)
-            at.update(zip(new, range(len(at), need), strict=True))
-        return np.fromiter(map(at.__getitem__, strings), np.int64, len(strings))
+                self.table = np.concatenate((self.table[: self.n], np.zeros((max(need, self.n * 5 // 4) - self.n, self.table.shape[1]), np.float32)))
+            for k in range(0, len(new), 20_000):  # in turns, to bound the memory
+                part = new[k : k + 20_000].to_pylist()
+                self.table[self.n + k : self.n + k + len(part)] = self.fill(part)
+            self.n = need
+        return rows
 
 
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import blocks, per_text
+from gapweave.llm.common import blocks, per_text, release
 from gapweave.llm.features import TableMemo, bounded_sample, ngrams, split_words, summed
 
 SIZES, BUCKETS, UNKNOWN = (1, 2, 3), 1 << 16, "und"
@@ -46,7 +46,7 @@ def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a text's n-grams and their shares."""
     words, codes, _ = split_words([text])
     times = np.bincount(codes, minlength=len(words))
-    h, of = ngrams(words, SIZES, BUCKETS)
+    h, of = ngrams(words.to_pylist(), SIZES, BUCKETS)
     at, back = np.unique(h, return_inverse=True)
     n = np.bincount(back, weights=times[of], minlength=len(at))
     return at, n / max(n.sum(), 1)
@@ -130,6 +130,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 prob.append(np.where(known, p.max(axis=1), 0.0))
             arrays = [*batch.columns[:-1], pa.array(np.concatenate(label) if label else [], pa.string()), pa.array(np.concatenate(prob) if prob else [], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        release()
 
     # Texts without a letter are und; asking that here stops at a text's first letter.
     lettered = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import SHINGLE_WORDS, SIMILARITY, Memo, blocks, materialise
+from gapweave.llm.common import SHINGLE_WORDS, SIMILARITY, Memo, blocks, materialise, release
 from gapweave.llm.features import split_words
 
 VALUES, BANDS, STEP, TOLERANCE = 64, 16, 16, 1e-6
@@ -47,7 +47,7 @@ def memo() -> Memo:
         each = [WORD.findall(t.lower()) for t in new]
         return np.array([xxhash.xxh3_64_intdigest(w) for words in each for w in words], np.uint64), list(map(len, each))
 
-    return Memo(hashes, most=500_000, most_values=2_000_000, dtype=np.uint64)
+    return Memo(hashes, most=500_000, dtype=np.uint64)
 
 
 @lru_cache(maxsize=1)
@@ -102,12 +102,13 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             prints, sizes, signatures = [], [], []
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), 2_000_000):
                 for s in shingle_sets(block):
                     prints.append(fingerprint(s) if len(s) else None)
                     sizes.append(len(s))
                     signatures.append(signature(s).tobytes() if len(s) else None)
             yield pa.record_batch([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())], names=["doc_id", "print", "n", "signature"])
+        release()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, print binary, n int, signature binary")
 
@@ -285,9 +286,10 @@ def shingled(texts: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block in blocks(batch.column(0)):
+            for block in blocks(batch.column(0), 2_000_000):
                 sets = [s for s in shingle_sets(block) if len(s)]
                 yield pa.record_batch([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["print", "shingles"])
+        release()
 
     return texts.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "print binary, shingles binary")
 

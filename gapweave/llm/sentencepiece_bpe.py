@@ -6,7 +6,7 @@ characters from which the rest can't be encoded. Two pieces may stand side by si
 gives just these two. A sequence of which all neighbours may is the model's only encoding, so the result is exact.
 
 No piece of such a model runs from a character into a following word mark, and characters outside the model never merge,
-so texts fall apart into chunks, and each distinct chunk of a batch is encoded once.
+so texts fall apart into chunks that are encoded once and remembered for a while.
 
 Null and empty texts have no ids and decode to ''. Texts of any length are encoded whole. Repeated rows get equal
 results; other columns, whatever their names, pass through untouched.
@@ -25,7 +25,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapweave.llm.common import blocks, list_array, per_text, runs, split
+from gapweave.llm.common import Memo, blocks, list_array, per_text, release, runs, split
 
 MARK = "▁"
 
@@ -74,6 +74,7 @@ class Codec:
         self.shorter = {i: next(((k, self.id[p[:k]]) for k in range(len(p) - 1, 0, -1) if self.automaton.exists(p[:k])), None) for p, i in self.id.items()}
         split = "\n" if "\n" not in "".join(self.known) else ""
         self.chunks = re.compile(f"{MARK}+[^{MARK}{split}]*|[^{MARK}{split}]+" + "|\n+" * bool(split)).findall
+        self.memo = Memo(lambda new: self.encode_many([MARK + x for x in new]), most=800_000)
         self.pieces = pa.array(self.bytes_of, pa.binary())
 
     def merged(self, text: str) -> list[str]:
@@ -180,9 +181,8 @@ class Codec:
         """
         odd = [not t or t.startswith(" ") or "  " in t or MARK in t for t in texts]
         parts, codes, per = split([t for t, o in zip(texts, odd) if not o])
-        ids, counts = self.encode_many([MARK + p for p in parts])
-        starts = np.cumsum(counts) - counts
-        ids, counts = ids[runs(starts[codes], counts[codes])], per_text(counts[codes], per)
+        ids, counts = self.memo.lookup(parts, codes)
+        counts = per_text(counts, per)
         if not any(odd):
             return ids, counts
         runs_of = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
@@ -215,7 +215,7 @@ def encode(text: Column, model: str) -> Column:
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def sentencepiece_encode(texts: pa.Array) -> pa.Array:
         parts = [list_array(*codec(model).encode(block)) for block in blocks(texts, 4_000_000)]
-        pa.default_memory_pool().release_unused()
+        release()
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return sentencepiece_encode(text)
