@@ -33,15 +33,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentencepiece_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
-    model = vocabulary("piece_bpe_32k.model")
-    coded = docs.select("doc_id", sentencepiece_bpe.encode(F.col("text"), model).alias("ids"))
-    both = coded.select("doc_id", "ids", sentencepiece_bpe.decode(F.col("ids"), model).alias("decoded"))
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return sentencepiece_bpe.digests(docs, vocabulary("piece_bpe_32k.model"))
 
 
 @query

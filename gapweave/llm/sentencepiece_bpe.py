@@ -14,6 +14,7 @@ results; other columns, whatever their names, pass through untouched.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,8 +75,9 @@ class Codec:
         self.shorter = {i: next(((k, self.id[p[:k]]) for k in range(len(p) - 1, 0, -1) if self.automaton.exists(p[:k])), None) for p, i in self.id.items()}
         split = "\n" if "\n" not in "".join(self.known) else ""
         self.chunks = re.compile(f"{MARK}+[^{MARK}{split}]*|[^{MARK}{split}]+" + "|\n+" * bool(split)).findall
-        self.memo = Memo(lambda new: self.encode_many([MARK + x for x in new]), most=800_000)
+        self.memo = Memo(lambda new: self.encode_many([MARK + x for x in new]), most=400_000)
         self.pieces = pa.array(self.bytes_of, pa.binary())
+        self.numbers = pa.array([str(i).encode() for i in range(len(self.bytes_of))], pa.binary())
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging the characters of a short text gives: best score first, then leftmost."""
@@ -193,17 +195,21 @@ class Codec:
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The texts of lists of ids: piece after piece, without the mark that encoding puts in front; '' for null."""
-        flat = ids.flatten()
-        offsets = pa.array(np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))).astype(np.int64))
-        joined = pc.binary_join(pa.LargeListArray.from_arrays(offsets, self.pieces.take(flat).cast(pa.large_binary())), pa.scalar(b"", pa.large_binary()))
         out = []
-        for x in joined:
+        for x in joined(ids, self.pieces, b""):
             raw = x.as_py()
             text = raw.decode("utf-8", "replace")
             out.append(text[1:] if text.startswith(" ") else text)
         return pa.array(out, pa.string())
 
 
+def joined(ids: pa.ListArray, names: pa.Array, by: bytes) -> pa.Array:
+    """The names of each list of ids as one binary value."""
+    offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    lists = pa.LargeListArray.from_arrays(pa.array(offsets), names.take(ids.flatten()).cast(pa.large_binary()))
+    return pc.binary_join(lists, pa.scalar(by, pa.large_binary()))
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -214,7 +220,7 @@ def encode(text: Column, model: str) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def sentencepiece_encode(texts: pa.Array) -> pa.Array:
-        parts = [list_array(*codec(model).encode(block)) for block in blocks(texts, 4_000_000)]
+        parts = [list_array(*codec(model).encode(block)) for block in blocks(texts, 2_000_000)]
         release()
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
@@ -230,3 +236,26 @@ def decode(ids: Column, model: str) -> Column:
         return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return sentencepiece_decode(ids)
+
+
+def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 of every document.
+
+    Texts are encoded and decoded block by block in one task, so that ids need not leave it.
+    """
+
+    def run(batches):
+        c = codec(model)
+        for batch in batches:
+            done = 0
+            for block in blocks(batch.column(1), 2_000_000):
+                ids, counts = c.encode(block)
+                lists = list_array(ids, counts)
+                of_ids = [hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in joined(lists, c.numbers, b",")]
+                of_text = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in c.decode(lists)]
+                yield pa.record_batch([batch.column(0).slice(done, len(block)), pa.array(counts), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                done += len(block)
+        release()
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
