@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gapweave.llm.common import SHINGLE_WORDS, SIMILARITY, materialise, words
 
-#: The items' shingles are broadcast up to so many rows of about 30 bytes.
+#: The items' shingles, and ids of documents to drop, are broadcast up to so many rows of about 30 bytes.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -67,6 +67,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY,
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, doc_id: str = "doc_id") -> DataFrame:
     """The documents that contain no item; rows with a null id are compared like others."""
     found = contained(docs, items, threshold, doc_id).select(F.col("doc_id").alias("gw_found")).distinct()
+    found = materialise(found, "contaminated")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     return docs.join(found, F.col(doc_id).eqNullSafe(F.col("gw_found")), "left_anti")
 
 
