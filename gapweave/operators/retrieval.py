@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.functions.text import coverage, label, name_tokens, rerank_tokens
-from gapweave.functions.vector import dot, hashed_bucket, hashed_sign, lexical_features
+from gapweave.functions.vector import hashed_bucket, hashed_sign, lexical_features
+from gapweave.sources.scratch import materialise
 
 #: Share of the vector score in a fused score; the rest is token coverage.
 VECTOR_SHARE = 0.6
+#: Queries of a block of a vector search, about.
+QUERY_BLOCK_ROWS = 10_000
 
 
 def lexical_vectors(texts: DataFrame, key: str, text: str, dims: int = 512) -> DataFrame:
@@ -32,15 +38,66 @@ def top(scores: DataFrame, query_key: str, doc_key: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """Exact top-k by cosine of a few query vectors (checked) over all vectors: a scan with the queries broadcast."""
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError(f"{n} queries: search them in blocks of up to 10000")
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
-    q = queries.select(F.col(key).alias("query_id"), unit(F.col(vector)).alias("q"))
-    pairs = vectors.select(F.col(key), unit(F.col(vector)).alias("v")).join(F.broadcast(q), F.col(key) != F.col("query_id"))
-    return top(pairs.select("query_id", key, F.round(F.coalesce(dot(F.col("q"), F.col("v")), F.lit(0.0)), 6).alias("score")), "query_id", key, k)
+def vector_top(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
+    """Exact top-k by cosine of all query vectors over all vectors, in blocks of about `block_rows` queries.
+
+    A block's queries go to the tasks, which scan the vectors and return k rows for each query and batch of vectors. A
+    query's own id is no hit. Zero vectors and vectors of another length than the query's have cosine 0; rows with a null
+    id or vector take no part.
+    """
+    fine = lambda rows: rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    q, v = fine(queries), fine(vectors)
+    n = ceil(q.count() / block_rows)
+    if n <= 1:
+        return top(block_hits(q, v, key, k), "query_id", key, k)
+    block = F.pmod(F.xxhash64(F.lit("block"), F.col("id")), F.lit(n))
+    found = [materialise(top(block_hits(q.where(block == b), v, key, k), "query_id", key, k), "vector-hits") for b in range(n)]
+    return reduce(DataFrame.unionAll, found)
+
+
+def block_hits(queries: DataFrame, vectors: DataFrame, key: str, k: int) -> DataFrame:
+    """query_id, key and score of the best k of every batch of vectors for a block of queries; both have id and v."""
+    import numpy as np
+    import pyarrow as pa
+
+    def units(table) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """The ids, and for each length the places and unit vectors of its rows; zero for zero vectors."""
+        v = table.column("v")
+        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+        sizes = v.value_lengths().to_numpy(zero_copy_only=False)
+        flat = v.flatten().to_numpy(zero_copy_only=False)
+        starts, out = np.cumsum(sizes) - sizes, {}
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            x = np.nan_to_num(flat[starts[at][:, None] + np.arange(size)], posinf=0, neginf=0)
+            norm = np.sqrt((x * x).sum(axis=1))[:, None]
+            out[int(size)] = at, np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        return table.column("id").to_numpy(), out
+
+    ids, by_size = units(queries.toArrow())
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.take(pa.compute.sort_indices(batch.column("id")))
+            own, own_by_size = units(batch)
+            n = len(own)
+            for b in range(0, len(ids) if n else 0, 512):
+                rounded = np.zeros((min(512, len(ids) - b), n), np.int64)
+                for size, (at, q) in by_size.items():
+                    mine = (at >= b) & (at < b + 512)
+                    if size in own_by_size and mine.any():
+                        rounded[np.ix_(at[mine] - b, own_by_size[size][0])] = np.rint(q[mine] @ own_by_size[size][1].T * 1e6)
+                # Larger scores first, then smaller ids, as one number.
+                order = rounded * n - np.arange(n)
+                order[ids[b : b + 512, None] == own] = np.iinfo(np.int64).min
+                best = np.argpartition(-(order + 1), min(k, n) - 1, axis=1)[:, :k]
+                row = np.repeat(np.arange(len(best)), best.shape[1])
+                col = best.ravel()
+                keep = order[row, col] > np.iinfo(np.int64).min
+                row, col = row[keep], col[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[b + row]), pa.array(own[col]), pa.array(rounded[row, col] / 1e6)], names=["query_id", key, "score"])
+
+    return vectors.mapInArrow(run, f"query_id long, `{key}` long, score double")
 
 
 def reranked(hits: DataFrame, query_text: str, doc_text: str, query_key: str, doc_key: str, k: int) -> DataFrame:

@@ -288,6 +288,12 @@ def vector_topk(d: Domain) -> DataFrame:
     return retrieval.vector_top(d["embeddings"].where("vec_id < 10"), d["embeddings"], "vec_id", "embedding", 4)
 
 
+@query()
+def vector_neighbours(d: Domain) -> DataFrame:
+    """The neighbours of every vector; vector_topk searches only for those that its SQL names."""
+    return retrieval.vector_top(d["embeddings"], d["embeddings"], "vec_id", "embedding", 4)
+
+
 @query()
 def rerank(d: Domain) -> DataFrame:
     hits = lexical_topk(d)

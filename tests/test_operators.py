@@ -1,11 +1,13 @@
 """Ordered and stateful operators against plain Python, and functions against known values."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gapweave.functions import text as T
 from gapweave.functions.vector import cosine
-from gapweave.operators import graph, replay
+from gapweave.operators import graph, replay, retrieval
+from gapweave.plans import skills
 from gapweave.sources.views import Domain
 from gapweave.streaming import replay as stream
 
@@ -59,3 +61,22 @@ def test_functions(spark):
     assert (row.label, row.normalized, row.slug, row.minutes, row.hours, row.zero) == ("a b", "cplusplus machine learning", "hello-world", 63, 5.0, 0.0)
     assert row.tokens == ["ai", "学习", "习路", "路径"] and row.html == "a &lt; b"
     assert row.chunks == ["aaaa\nbbb", "c" * 10, "c" * 10, "c" * 5]
+
+
+def test_every_vector_gets_neighbours(spark):
+    rows = Domain(spark, SF)["embeddings"].select("vec_id", "embedding").collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    ids = np.array([r.vec_id for r in rows])
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    s = np.rint(x @ x.T * 1e6)
+    want = {}
+    for k, own in enumerate(ids):
+        best = [j for j in np.lexsort((ids, -s[k])) if ids[j] != own][:4]
+        want[own] = [(ids[j], s[k, j] / 1e6) for j in best]
+    got = {}
+    for r in skills.QUERIES["vector_neighbours"](spark, SF).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
+    few = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(7)] + [(7, [0.0, 0.0]), (8, [1.0]), (None, [1.0, 1.0])], "id long, v array<double>")
+    one, blocks = (sorted(map(tuple, retrieval.vector_top(few, few, "id", "v", 3, block_rows=n).collect())) for n in (100, 2))
+    assert one == blocks and len(one) == 27
