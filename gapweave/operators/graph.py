@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,19 +12,24 @@ from gapweave.sources.scratch import materialise
 
 #: Average level over a course's skills from which it is mastered, by difficulty (fixed values).
 MASTERED = {"beginner": 2, "intermediate": 3, "advanced": 4}
+#: A longer chain of prerequisites counts as a cycle.
+MOST_ROUNDS = 1000
 
 
 def chains(prerequisite: DataFrame) -> DataFrame:
-    """course_id, ancestor_id and the longest path between them, for every course with prerequisites; cycles are an error."""
-    return prerequisite.sparkSession.sql(
-        """
-        WITH RECURSIVE reach(course_id, ancestor_id, depth) MAX RECURSION LEVEL 1000 AS (
-            SELECT course_id, prerequisite_id, 1 FROM {edge}
-            UNION ALL SELECT r.course_id, e.prerequisite_id, r.depth + 1 FROM reach r JOIN {edge} e ON e.course_id = r.ancestor_id)
-        SELECT course_id, ancestor_id, max(depth) AS depth FROM reach GROUP BY course_id, ancestor_id
-        """,
-        edge=prerequisite,
-    )
+    """course_id, ancestor_id and the longest path between them, for every course with prerequisites; cycles are an error.
+
+    One round for each length of path: pairs, not paths, are carried on and written before the next round.
+    """
+    edge = prerequisite.select(F.col("course_id").alias("ancestor_id"), F.col("prerequisite_id").alias("next_id")).distinct()
+    new = materialise(prerequisite.select("course_id", F.col("prerequisite_id").alias("ancestor_id")).distinct(), "chains")
+    rounds = []
+    while not new.isEmpty():
+        if len(rounds) >= MOST_ROUNDS:
+            raise ValueError(f"a chain of prerequisites has more than {MOST_ROUNDS} steps: there is a cycle")
+        rounds.append(new.withColumn("depth", F.lit(len(rounds) + 1)))
+        new = materialise(new.join(edge, "ancestor_id").select("course_id", F.col("next_id").alias("ancestor_id")).distinct(), "chains")
+    return reduce(DataFrame.unionAll, rounds or [new.withColumn("depth", F.lit(0))]).groupBy("course_id", "ancestor_id").agg(F.max("depth").alias("depth"))
 
 
 def expanded(roots: DataFrame, prerequisite: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -118,20 +124,22 @@ def packed(ordered: DataFrame, hours_per_week: float) -> DataFrame:
     if hours_per_week <= 0:
         raise ValueError(f"hours_per_week must be above 0: {hours_per_week}")
     budget = hours_per_week * 60.0
-    by_employee = ordered.groupBy("employee_id").agg(F.array_sort(F.collect_list(F.struct("position", "course_id", F.col("duration_minutes").cast("double").alias("minutes")))).alias("courses"))
-    start = F.struct(F.lit(1).alias("week"), F.lit(0.0).alias("used"), F.array().cast("array<struct<week:int,position:int,course_id:bigint,minutes:double,continued:boolean>>").alias("out"))
-
-    def place(state: Column, c: Column) -> Column:
-        moves = (state.used > 1e-9) & (state.used + c.minutes > budget + 1e-9)
-        week, used = F.when(moves, state.week + 1).otherwise(state.week), F.when(moves, F.lit(0.0)).otherwise(state.used)
-        # A course that begins in a fresh week may take several; one that doesn't always fits.
-        parts = F.greatest(F.lit(1), F.ceil((c.minutes - 1e-9) / budget)).cast("int")
-        out = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct((week + k).alias("week"), c.position.alias("position"), c.course_id.alias("course_id"), F.least(F.lit(budget), c.minutes - k * budget).alias("minutes"), (k > 0).alias("continued")))
-        last = F.when(parts > 1, c.minutes - (parts - 1) * budget).otherwise(used + c.minutes)
-        return F.struct((week + parts - 1).alias("week"), last.alias("used"), F.concat(state.out, out).alias("out"))
-
-    plan = by_employee.select("employee_id", F.explode(F.aggregate("courses", start, place)["out"]).alias("e"))
-    return plan.select("employee_id", "e.*")
+    import pandas as pd
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, week, used = [], 1, 0.0
+        pdf = pdf.sort_values(["position", "course_id"])
+        for position, course_id, minutes in zip(pdf.position, pdf.course_id, pdf.minutes, strict=True):
+            if used > 1e-9 and used + minutes > budget + 1e-9:
+                week, used = week + 1, 0.0
+            # A course that begins in a fresh week may take several; one that doesn't always fits.
+            parts = max(1, ceil((minutes - 1e-9) / budget))
+            out += [(week + k, position, course_id, min(budget, minutes - k * budget), k > 0) for k in range(parts)]
+            week, used = week + parts - 1, minutes - (parts - 1) * budget if parts > 1 else used + minutes
+        return pd.DataFrame(out, columns=["week", "position", "course_id", "minutes", "continued"]).assign(employee_id=pdf.employee_id.iloc[0])
+
+    rows = ordered.select("employee_id", "position", "course_id", F.col("duration_minutes").cast("double").alias("minutes"))
+    return rows.groupBy("employee_id").applyInPandas(place, "employee_id long, week int, position int, course_id long, minutes double, continued boolean")
 
 
 def path_totals(plan: DataFrame, deadline_weeks: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gapweave.functions import text as T
 from gapweave.operators import gap, graph, recall, replay, retrieval, team
 from gapweave.sources.scratch import materialise
-from gapweave.sources.views import Domain, duckdb_views
+from gapweave.sources.views import VIEWS, WHOLE_VIEWS, Domain, duckdb_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,13 +30,23 @@ steps AS (SELECT *, least(4, base + coalesce(sum(raises::INT) OVER (w ROWS BETWE
 """
 
 
-def query(sql: str | None = None):
-    """Registers a query; its SQL may use the views and PARTS."""
+def query(sql: str | None = None, courses: bool = False):
+    """Registers a query; its SQL may use the views and PARTS.
+
+    courses: its work depends on the catalogue. With SQL, which keeps about 200 courses, whole_<name> is the same query
+    over the whole catalogue; without SQL the query itself takes the whole catalogue.
+    """
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Domain(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {duckdb_views()},{PARTS}{sql}"
+        def add(name: str, views: dict[str, str]) -> None:
+            QUERIES[name] = lambda spark, sf_dir: f(Domain(spark, sf_dir, views))
+            if sql:
+                ORACLE_SQL[name] = f"WITH RECURSIVE {duckdb_views(views)},{PARTS}{sql}"
+
+        if sql or not courses:
+            add(f.__name__, VIEWS)
+        if courses:
+            add(f"whole_{f.__name__}" if sql else f.__name__, WHOLE_VIEWS)
         return f
 
     return register
@@ -79,17 +89,17 @@ def skill_status(d: Domain) -> DataFrame:
     return requirements(d).select("employee_id", "skill_id", gap.status(F.col("current_level"), F.col("required_level")).alias("status"), gap.summary_label(F.col("importance"), F.col("required_level"), F.col("current_level")).alias("label"))
 
 
-@query("SELECT employee_id, course_id FROM found")
+@query("SELECT employee_id, course_id FROM found", courses=True)
 def candidate_recall(d: Domain) -> DataFrame:
     return found(d)
 
 
-@query("SELECT g.employee_id, g.skill_id FROM gaps g WHERE NOT EXISTS (FROM found f JOIN teaches t USING (course_id) WHERE f.employee_id = g.employee_id AND t.skill_id = g.skill_id)")
+@query("SELECT g.employee_id, g.skill_id FROM gaps g WHERE NOT EXISTS (FROM found f JOIN teaches t USING (course_id) WHERE f.employee_id = g.employee_id AND t.skill_id = g.skill_id)", courses=True)
 def candidate_uncovered(d: Domain) -> DataFrame:
     return recall.uncovered(gaps(d), found(d), d["teaches"])
 
 
-@query("SELECT DISTINCT f.employee_id, p.prerequisite_id AS course_id FROM found f JOIN prerequisite p USING (course_id) WHERE (f.employee_id, p.prerequisite_id) NOT IN (SELECT employee_id, course_id FROM found)")
+@query("SELECT DISTINCT f.employee_id, p.prerequisite_id AS course_id FROM found f JOIN prerequisite p USING (course_id) WHERE (f.employee_id, p.prerequisite_id) NOT IN (SELECT employee_id, course_id FROM found)", courses=True)
 def prereq_context(d: Domain) -> DataFrame:
     return recall.context(found(d), d["prerequisite"])
 
@@ -104,12 +114,12 @@ scored AS (SELECT employee_id, course_id, round(g, 6) AS gap_coverage, round(i,
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY total DESC, course_id) AS rank FROM scored) WHERE rank <= 5"""
 
 
-@query(RANKED)
+@query(RANKED, courses=True)
 def course_ranking_topk(d: Domain) -> DataFrame:
     return recall.ranked(gaps(d), materialise(found(d), "candidates"), d["course"], d["teaches"], d["prerequisite"], d["has_skill"], top_k=5)
 
 
-@query("SELECT course_id, ancestor_id, max(depth) AS depth FROM chain GROUP BY ALL")
+@query("SELECT course_id, ancestor_id, max(depth) AS depth FROM chain GROUP BY ALL", courses=True)
 def prereq_chain(d: Domain) -> DataFrame:
     return graph.chains(materialise(d["prerequisite"], "prerequisites"))
 
@@ -123,8 +133,7 @@ SELECT DISTINCT employee_id, course_id, kept FROM walk"""
 
 def blocked(d: Domain, roots: DataFrame) -> DataFrame:
     """Courses that each employee has passed or mastered, of all that the roots can lead to."""
-    reach = graph.chains(materialise(d["prerequisite"], "prerequisites")).select("course_id", F.col("ancestor_id"))
-    near = roots.join(reach, "course_id").select("employee_id", F.col("ancestor_id").alias("course_id")).unionAll(roots.select("employee_id", "course_id")).distinct()
+    near = graph.expanded(roots, d["prerequisite"], roots.where("false")).select("employee_id", "course_id")
     return replay.passed_courses(d["training_record"]).unionAll(graph.mastered(recall.average_levels(near, d["teaches"], d["has_skill"]), d["course"]))
 
 
@@ -133,7 +142,7 @@ def expanded(d: Domain) -> DataFrame:
     return graph.expanded(roots, d["prerequisite"], materialise(blocked(d, roots), "blocked"))
 
 
-@query(PRUNED)
+@query(PRUNED, courses=True)
 def prune_expand(d: Domain) -> DataFrame:
     return expanded(d)
 
@@ -144,32 +153,32 @@ def ordered(d: Domain) -> DataFrame:
     return graph.topological(kept, d["prerequisite"], priority)
 
 
-@query()
+@query(courses=True)
 def topo_order(d: Domain) -> DataFrame:
     return ordered(d)
 
 
-@query()
+@query(courses=True)
 def week_plan(d: Domain) -> DataFrame:
     return graph.packed(ordered(d).join(d["course"].select("course_id", "duration_minutes"), "course_id"), hours_per_week=4)
 
 
-@query()
+@query(courses=True)
 def path_totals(d: Domain) -> DataFrame:
     return graph.path_totals(week_plan(d), deadline_weeks=8)
 
 
-@query("SELECT 'prerequisite without course' AS kind, p.prerequisite_id::VARCHAR AS id, count(*) AS n FROM prerequisite p ANTI JOIN course c ON c.course_id = p.prerequisite_id GROUP BY ALL UNION ALL SELECT 'taught skill unknown', skill_id, count(*) FROM teaches ANTI JOIN skill USING (skill_id) GROUP BY ALL")
+@query("SELECT 'prerequisite without course' AS kind, p.prerequisite_id::VARCHAR AS id, count(*) AS n FROM prerequisite p ANTI JOIN course c ON c.course_id = p.prerequisite_id GROUP BY ALL UNION ALL SELECT 'taught skill unknown', skill_id, count(*) FROM teaches ANTI JOIN skill USING (skill_id) GROUP BY ALL", courses=True)
 def integrity_errors(d: Domain) -> DataFrame:
     return graph.dangling(d["prerequisite"], "prerequisite_id", d["course"], "course_id", "prerequisite without course").unionAll(graph.dangling(d["teaches"], "skill_id", d["skill"], "skill_id", "taught skill unknown"))
 
 
-@query("SELECT course_id FROM prerequisite WHERE course_id = prerequisite_id")
+@query("SELECT course_id FROM prerequisite WHERE course_id = prerequisite_id", courses=True)
 def dag_check(d: Domain) -> DataFrame:
     return graph.on_cycles(d["prerequisite"])
 
 
-@query("SELECT 'skill' AS label, count(*) AS n FROM skill UNION ALL SELECT 'course', count(*) FROM course UNION ALL SELECT 'employee', count(*) FROM employee UNION ALL SELECT 'requires', count(*) FROM requires UNION ALL SELECT 'teaches', count(*) FROM teaches UNION ALL SELECT 'prerequisite', count(*) FROM prerequisite UNION ALL SELECT 'has_skill', count(*) FROM has_skill")
+@query("SELECT 'skill' AS label, count(*) AS n FROM skill UNION ALL SELECT 'course', count(*) FROM course UNION ALL SELECT 'employee', count(*) FROM employee UNION ALL SELECT 'requires', count(*) FROM requires UNION ALL SELECT 'teaches', count(*) FROM teaches UNION ALL SELECT 'prerequisite', count(*) FROM prerequisite UNION ALL SELECT 'has_skill', count(*) FROM has_skill", courses=True)
 def edge_counts(d: Domain) -> DataFrame:
     return graph.counts({k: d[k] for k in ("skill", "course", "employee", "requires", "teaches", "prerequisite", "has_skill")})
 
@@ -178,22 +187,22 @@ def replayed(d: Domain) -> DataFrame:
     return replay.steps(d["training_record"], d["course"], d["teaches"], d["has_skill"])
 
 
-@query("SELECT employee_id, record_id, course_id, skill_id, exam_score, passed_before, raises, from_level::INT AS from_level, to_level::INT AS to_level, flagged_before, flagged FROM steps")
+@query("SELECT employee_id, record_id, course_id, skill_id, exam_score, passed_before, raises, from_level::INT AS from_level, to_level::INT AS to_level, flagged_before, flagged FROM steps", courses=True)
 def replay_steps(d: Domain) -> DataFrame:
     return replayed(d)
 
 
-@query("SELECT employee_id, record_id, course_id, skill_id, from_level::INT AS from_level, to_level::INT AS to_level, kind FROM (SELECT *, CASE WHEN exam_score < 70 AND NOT passed_before THEN 'failed' WHEN raises THEN 'raised' WHEN NOT raises AND exam_score >= 85 AND flagged_before THEN 'cleared' END AS kind FROM steps) WHERE kind IS NOT NULL")
+@query("SELECT employee_id, record_id, course_id, skill_id, from_level::INT AS from_level, to_level::INT AS to_level, kind FROM (SELECT *, CASE WHEN exam_score < 70 AND NOT passed_before THEN 'failed' WHEN raises THEN 'raised' WHEN NOT raises AND exam_score >= 85 AND flagged_before THEN 'cleared' END AS kind FROM steps) WHERE kind IS NOT NULL", courses=True)
 def replay_changes(d: Domain) -> DataFrame:
     return replay.changes(replayed(d))
 
 
-@query(", fin AS (SELECT employee_id, skill_id, max_by(to_level, record_id) AS l, max_by(flagged, record_id) AS f FROM steps GROUP BY ALL) SELECT employee_id, skill_id, coalesce(l, level)::INT AS level, coalesce(f, false) AS flagged FROM has_skill FULL JOIN fin USING (employee_id, skill_id)")
+@query(", fin AS (SELECT employee_id, skill_id, max_by(to_level, record_id) AS l, max_by(flagged, record_id) AS f FROM steps GROUP BY ALL) SELECT employee_id, skill_id, coalesce(l, level)::INT AS level, coalesce(f, false) AS flagged FROM has_skill FULL JOIN fin USING (employee_id, skill_id)", courses=True)
 def replay_profile(d: Domain) -> DataFrame:
     return replay.profile(replayed(d), d["has_skill"])
 
 
-@query(", todo AS (SELECT t.record_id, p.prerequisite_id FROM training_record t JOIN prerequisite p USING (course_id) WHERE exam_score < 70 AND (t.employee_id, p.prerequisite_id) NOT IN (SELECT employee_id, course_id FROM passed)) SELECT record_id, employee_id, course_id, coalesce(prerequisite_id, course_id) AS suggested_id, prerequisite_id IS NULL AS is_retake FROM training_record LEFT JOIN todo USING (record_id) WHERE exam_score < 70")
+@query(", todo AS (SELECT t.record_id, p.prerequisite_id FROM training_record t JOIN prerequisite p USING (course_id) WHERE exam_score < 70 AND (t.employee_id, p.prerequisite_id) NOT IN (SELECT employee_id, course_id FROM passed)) SELECT record_id, employee_id, course_id, coalesce(prerequisite_id, course_id) AS suggested_id, prerequisite_id IS NULL AS is_retake FROM training_record LEFT JOIN todo USING (record_id) WHERE exam_score < 70", courses=True)
 def remediation(d: Domain) -> DataFrame:
     return replay.remediation(d["training_record"], d["prerequisite"])
 
@@ -218,12 +227,12 @@ def recent_records(d: Domain) -> DataFrame:
     return team.recent(d["training_record"], each=3)
 
 
-@query("SELECT employee_id, skill_id, score, CASE WHEN score >= 85 THEN 'solid' WHEN score >= 70 THEN 'consolidate' ELSE 'fail' END AS verdict FROM (SELECT employee_id, skill_id, exam_score AS score, row_number() OVER (PARTITION BY employee_id, skill_id ORDER BY completed_at DESC, record_id DESC) AS n FROM training_record JOIN teaches USING (course_id)) WHERE n = 1")
+@query("SELECT employee_id, skill_id, score, CASE WHEN score >= 85 THEN 'solid' WHEN score >= 70 THEN 'consolidate' ELSE 'fail' END AS verdict FROM (SELECT employee_id, skill_id, exam_score AS score, row_number() OVER (PARTITION BY employee_id, skill_id ORDER BY completed_at DESC, record_id DESC) AS n FROM training_record JOIN teaches USING (course_id)) WHERE n = 1", courses=True)
 def latest_assessment(d: Domain) -> DataFrame:
     return team.latest_assessment(d["training_record"], d["teaches"])
 
 
-@query("SELECT skill_id, count(*) AS attempts, round(avg(exam_score), 6) AS mean_score, round(avg((exam_score >= 70)::INT), 6) AS pass_rate FROM training_record JOIN teaches USING (course_id) GROUP BY ALL")
+@query("SELECT skill_id, count(*) AS attempts, round(avg(exam_score), 6) AS mean_score, round(avg((exam_score >= 70)::INT), 6) AS pass_rate FROM training_record JOIN teaches USING (course_id) GROUP BY ALL", courses=True)
 def assessment_stats(d: Domain) -> DataFrame:
     return team.assessment_stats(d["training_record"], d["teaches"])
 
@@ -321,7 +330,7 @@ def intent_parse(d: Domain) -> DataFrame:
 PLANS = ", b AS (SELECT g.employee_id, t.course_id FROM gaps g JOIN teaches t USING (skill_id) GROUP BY ALL) SELECT coalesce(b.employee_id, f.employee_id) AS employee_id, coalesce(b.course_id, f.course_id) AS course_id, CASE WHEN f.course_id IS NULL THEN 'removed' ELSE 'added' END AS change FROM b FULL JOIN found f USING (employee_id, course_id) WHERE b.course_id IS NULL OR f.course_id IS NULL"
 
 
-@query(PLANS)
+@query(PLANS, courses=True)
 def plan_diff(d: Domain) -> DataFrame:
     before, after = recall.candidates(gaps(d), d["teaches"]), found(d)
     removed, added = before.join(after, ["employee_id", "course_id"], "left_anti"), after.join(before, ["employee_id", "course_id"], "left_anti")

@@ -19,25 +19,32 @@ VIEWS = {
     "training_record": "SELECT event_id AS record_id, user_id AS employee_id, CAST(CAST(get_json_object(props, '$.k') AS INT) % 200 + 1 AS BIGINT) AS course_id, CAST(floor(value) AS INT) % 101 AS exam_score, ts AS completed_at FROM events",
 }
 
+#: The views with every row of part as a course; courses are numbered from 0, and each person's hundred keys of records are the next hundred of them.
+WHOLE_VIEWS = VIEWS | {
+    "course": "SELECT p_partkey AS course_id, p_name AS name, CASE p_size % 3 WHEN 0 THEN 'beginner' WHEN 1 THEN 'intermediate' ELSE 'advanced' END AS difficulty, CAST(p_size * 7 AS INT) AS duration_minutes FROM part",
+    "teaches": "SELECT p_partkey AS course_id, p_brand AS skill_id FROM part UNION SELECT p_partkey, concat('Brand#', CAST((CAST(substr(p_brand, 7) AS INT) * 3 + p_partkey) % 25 + 1 AS VARCHAR(10))) FROM part WHERE p_partkey % 2 = 0",
+    "training_record": "SELECT event_id AS record_id, user_id AS employee_id, CAST((CAST(get_json_object(props, '$.k') AS INT) + user_id * 100) % n AS BIGINT) AS course_id, CAST(floor(value) AS INT) % 101 AS exam_score, ts AS completed_at FROM events CROSS JOIN (SELECT count(*) AS n FROM part)",
+}
+
 
 class Domain:
     """The domain tables of one folder as DataFrames: `domain["employee"]`."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, views: dict[str, str] = VIEWS):
+        self.spark, self.sf_dir, self.views = spark, sf_dir, views
         self.frames: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.frames:
-            if name in VIEWS:
-                used = set(re.findall(r"(?:FROM|JOIN) (\w+)", VIEWS[name]))
-                self.frames[name] = self.spark.sql(re.sub(r"(FROM|JOIN) (\w+)", r"\1 {\2}", VIEWS[name]), **{x: self[x] for x in used})
+            if name in self.views:
+                used = set(re.findall(r"(?:FROM|JOIN) (\w+)", self.views[name]))
+                self.frames[name] = self.spark.sql(re.sub(r"(FROM|JOIN) (\w+)", r"\1 {\2}", self.views[name]), **{x: self[x] for x in used})
             else:
                 self.frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.frames[name]
 
 
-def duckdb_views() -> str:
+def duckdb_views(views: dict[str, str] = VIEWS) -> str:
     """The views as common table expressions of a recursive WITH clause, without the word WITH."""
     json = "CAST(json_extract_string(props, '$.k') AS INT)"
-    return ",\n".join(f"{k} AS ({v.replace("CAST(get_json_object(props, '$.k') AS INT)", json)})" for k, v in VIEWS.items())
+    return ",\n".join(f"{k} AS ({v.replace("CAST(get_json_object(props, '$.k') AS INT)", json)})" for k, v in views.items())

@@ -8,7 +8,7 @@ from gapweave.functions import text as T
 from gapweave.functions.vector import cosine
 from gapweave.operators import graph, replay, retrieval
 from gapweave.plans import skills
-from gapweave.sources.views import Domain
+from gapweave.sources.views import WHOLE_VIEWS, Domain
 from gapweave.streaming import replay as stream
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +80,39 @@ def test_every_vector_gets_neighbours(spark):
     few = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(7)] + [(7, [0.0, 0.0]), (8, [1.0]), (None, [1.0, 1.0])], "id long, v array<double>")
     one, blocks = (sorted(map(tuple, retrieval.vector_top(few, few, "id", "v", 3, block_rows=n).collect())) for n in (100, 2))
     assert one == blocks and len(one) == 27
+
+
+def test_course_queries_reach_the_whole_catalogue(spark):
+    sf = "/root/testdata/sf0.01"
+    parts = {r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    whole = Domain(spark, sf, WHOLE_VIEWS)
+    for name in ("course", "teaches"):
+        assert {r[0] for r in whole[name].select("course_id").distinct().collect()} == parts, name
+    recorded = {r[0] for r in whole["training_record"].select("course_id").distinct().collect()}
+    assert recorded <= parts and len(recorded) > 0.95 * len(parts)
+    assert max(r[0] for r in skills.QUERIES["whole_prereq_chain"](spark, sf).select("course_id").collect()) > 1900
+    found = skills.QUERIES["whole_candidate_recall"](spark, sf)
+    recalled = {r[0] for r in found.select("course_id").distinct().collect()}
+    assert recalled <= parts and len(recalled) > 0.5 * len(parts)
+    order = skills.QUERIES["topo_order"](spark, SF)
+    assert order.count() == skills.QUERIES["whole_prune_expand"](spark, SF).where("kept").count()
+
+
+def test_chains_carry_pairs(spark):
+    edges = spark.createDataFrame([(k + 1, k // 3 * 3 + j) for k in range(2, 60, 3) for j in range(-2, 1) if k // 3 * 3 + j > 0] + [(2, 1), (3, 2), (3, 1)], "course_id long, prerequisite_id long").where("course_id > prerequisite_id").distinct()
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r.course_id, set()).add(r.prerequisite_id)
+    longest = {}
+
+    def walk(course):
+        out = {}
+        for p in near.get(course, ()):
+            out[p] = max(out.get(p, 0), 1)
+            for x, n in walk(p).items():
+                out[x] = max(out.get(x, 0), n + 1)
+        return out
+
+    for c in near:
+        longest |= {(c, a): n for a, n in walk(c).items()}
+    assert {(r.course_id, r.ancestor_id): r.depth for r in graph.chains(edges).collect()} == longest
