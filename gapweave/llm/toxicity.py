@@ -3,14 +3,17 @@
 A word's embedding is the scaled sum of hashed embeddings of the word and of its character 3- to 5-grams. Filters of
 widths 1, 2 and 3 run over the words, rectified and max-pooled over the whole text, and a logistic unit joins them. All
 of it is trained in numpy. Texts are assigned to a language group by naive Bayes on the same hashed features (language
-labels teach that, but are no input), and each group has a threshold of its own, found on rows kept back; scores are
-shifted in log-odds so that every group's threshold becomes CUT.
+labels teach that, but are no input), and each group has a threshold of its own; scores are shifted in log-odds so that
+every group's threshold becomes CUT. Thresholds come from all labelled rows, with texts of any length: tasks score them
+and count log-odds by group and label in bins of BIN, and the threshold of best F1 is chosen from these counts. A group
+without labelled rows of both kinds takes the threshold that is best over the rows of all groups.
 
 Since filters are linear before pooling, a word's contributions to all filters are worked out once for each distinct
 word of a batch, and scoring a text is a few additions and one maximum for each word.
 
-Training uses at most about `sample_rows` labelled rows, half of them toxic if there are as many, with texts of up to
-`sample_chars` characters, chosen by a hash of the id. Scoring takes whole texts of any length. Null and empty texts have
+The weights are trained on at most about `sample_rows` labelled rows, half of them toxic if there are as many, with texts of up to
+`sample_chars` characters, chosen by a hash of the id; a fifth of them is kept out, so that some
+rows that set thresholds are unseen. Scoring takes whole texts of any length. Null and empty texts have
 no words and get the score of an empty pool. Rows with a null label teach nothing; without labels of both kinds all
 scores are 0. Repeated rows get equal results.
 """
@@ -30,6 +33,8 @@ from gapweave.llm.features import TableMemo, bounded_sample, ngrams, split_words
 
 #: Scores from here on are toxic.
 CUT = 0.7
+#: Width of a bin of log-odds, and the number of bins on either side of 0; the outermost hold all beyond.
+BIN, MOST_BINS = 0.01, 10_000
 SIZES, BUCKETS, DIMS, FILTERS, WIDTHS = (3, 4, 5), 1 << 16, 8, 8, (1, 2, 3)
 
 
@@ -98,7 +103,7 @@ class Model:
 
 
 def train(sample: pd.DataFrame, epochs: int = 8, batch: int = 32, rate: float = 0.05, l2: float = 1e-5, seed: int = 11) -> Model | None:
-    """A model of a sample with the columns text, label (0 or 1) and lang (may be null); a fifth is kept back for thresholds."""
+    """A model of a sample with the columns text, label (0 or 1) and lang (may be null), with thresholds of 0; a fifth of it is kept back."""
     truth = sample["label"].to_numpy().astype(np.float64)
     if len(set(truth)) < 2:
         return None
@@ -115,7 +120,7 @@ def train(sample: pd.DataFrame, epochs: int = 8, batch: int = 32, rate: float =
     h, n_of = np.concatenate(h or [np.zeros(0, np.int32)]), np.concatenate(n_of or [np.zeros(0, np.int64)])
     first_of = np.cumsum(n_of) - n_of
     order = rng.permutation(len(truth))
-    kept, own = order[: len(truth) // 5], order[len(truth) // 5 :]
+    own = order[len(truth) // 5 :]
 
     # Log-odds of the documents' features are the first dimension; the others begin at random.
     df = np.zeros((2, BUCKETS))
@@ -180,39 +185,63 @@ def train(sample: pd.DataFrame, epochs: int = 8, batch: int = 32, rate: float =
                 step("e", e, g, at)
     model.embeddings = e.astype(np.float32)
     model.groups = model.groups.astype(np.float32)
-    logits, group = np.zeros(len(truth)), np.zeros(len(truth), np.int64)
-    for b in range(0, len(truth), 200):
-        docs = np.arange(b, min(b + 200, len(truth)))
-        local, rows = np.unique(codes[runs(starts[docs], per[docs])], return_inverse=True)
-        logits[docs], group[docs] = model.logits(rows, model.word_table([words[k] for k in local]), per[docs])
-    everywhere = best_threshold(logits[kept], truth[kept])
-    model.thresholds = np.full(len(model.prior), everywhere)
-    for g in range(len(model.prior)):
-        mine = kept[group[kept] == g]
-        if truth[mine].sum() >= 20 and (1 - truth[mine]).sum() >= 20:
-            model.thresholds[g] = best_threshold(logits[mine], truth[mine])
+    model.thresholds = np.zeros(len(model.prior))
     return model
 
 
-def best_threshold(logits: np.ndarray, truth: np.ndarray) -> float:
-    """The log-odds above which F1 is best, in the middle of the gap to the next value; 0 without both kinds."""
-    if not len(logits) or len(set(truth)) < 2:
-        return 0.0
-    order = np.argsort(-logits, kind="stable")
-    z, right = logits[order], np.cumsum(truth[order])
-    f1 = 2 * right / (np.arange(1, len(z) + 1) + truth.sum())
-    k = len(f1) - 1 - int(np.argmax(f1[::-1]))
-    return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k]) - 1e-6
+def calibrated(model: Model, docs: DataFrame, labels: DataFrame, text: str, label: str, key: str) -> Model:
+    """The model with thresholds from all labelled rows; only counts by group, bin and label come to the driver.
+
+    All documents are scored where they are read, and their bins, not their texts, are shuffled to the labels.
+    """
+
+    def run(batches):
+        memo = word_memo(model)
+        for batch in batches:
+            logits, group = logits_of(model, memo, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(group, pa.int64()), pa.array(bins(logits))], names=["key", "group", "bin"])
+        release()
+
+    scored = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, group long, bin long")
+    wanted = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("long").alias("label"))
+    counts = scored.join(wanted, "key").groupBy("group", "bin", "label").agg(F.count("*").alias("n")).toPandas()
+    model.thresholds = thresholds(counts, len(model.prior))
+    return model
 
 
+def bins(logits: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(logits / BIN), -MOST_BINS, MOST_BINS).astype(np.int64)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", key: str = "doc_id", sample_rows: int = 3000, sample_chars: int = 8_000) -> Model | None:
-    """A model of a bounded sample of the labelled rows, as many of them toxic as not where there are enough."""
+def thresholds(counts: pd.DataFrame, groups: int) -> np.ndarray:
+    """The threshold of each group from counts with the columns group, bin, label and n."""
+    out = np.full(groups, best_threshold(counts))
+    for g, mine in counts.groupby("group"):
+        if mine["label"].nunique() == 2:
+            out[int(g)] = best_threshold(mine)
+    return out
+
+
+def best_threshold(counts: pd.DataFrame) -> float:
+    """The log-odds above which F1 is best, in the middle of the gap to the next bin that holds rows; 0 without both kinds."""
+    if counts["label"].nunique() < 2:
+        return 0.0
+    by_bin = counts.pivot_table(index="bin", columns="label", values="n", aggfunc="sum", fill_value=0).sort_index(ascending=False)
+    right = by_bin[1].cumsum().to_numpy()
+    f1 = 2 * right / (by_bin.sum(axis=1).cumsum().to_numpy() + right[-1])
+    k = len(f1) - 1 - int(np.argmax(f1[::-1]))
+    low = by_bin.index[k] * BIN
+    return float((low + (by_bin.index[k + 1] + 1) * BIN) / 2) if k + 1 < len(f1) else float(low)
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", key: str = "doc_id", sample_rows: int = 3000, sample_chars: int = 8_000) -> Model | None:
+    """A model of a bounded sample of the labelled rows, as many of them toxic as not where there are enough, with thresholds from all of them."""
+    labelled = docs.join(labels.select(key, label), key)
     usable = labelled.where(F.col(text).isNotNull() & (F.char_length(F.col(text)) <= sample_chars))
     columns = [F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.col(lang).cast("string").alias("lang")]
     kinds = [bounded_sample(usable.where(F.col(label) == k), key, sample_rows // 2).select(*columns).toPandas() for k in (0, 1)]
-    return train(pd.concat(kinds).sort_values(["key", "label", "text"]).reset_index(drop=True))
+    model = train(pd.concat(kinds).sort_values(["key", "label", "text"]).reset_index(drop=True))
+    return None if model is None else calibrated(model, docs, labels, text, label, key)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -237,13 +266,18 @@ def word_memo(model: Model) -> TableMemo:
     return TableMemo(model.word_table, model.table_width, 100_000)
 
 
-def scores_of(model: Model, memo: TableMemo, texts: pa.Array) -> np.ndarray:
+def logits_of(model: Model, memo: TableMemo, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for block in blocks(texts, 1_000_000):
         words, codes, per = split_words(block)
         rows = memo.rows(words)[codes]
-        out.append(model.scores(*model.logits(rows, memo.table, per)))
-    return np.concatenate(out) if out else np.zeros(0)
+        out.append(model.logits(rows, memo.table, per))
+    logits, group = zip(*out, strict=True) if out else ([np.zeros(0)], [np.zeros(0, np.int64)])
+    return np.concatenate(logits), np.concatenate(group)
+
+
+def scores_of(model: Model, memo: TableMemo, texts: pa.Array) -> np.ndarray:
+    return model.scores(*logits_of(model, memo, texts))
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import sentencepiece
@@ -168,3 +169,22 @@ def test_pipeline_stages(spark):
         docs = out
     kept = p.STAGES[2][1](spark, docs, SF)
     assert kept.count() == docs.count() and not links([r.text for r in kept.collect()])
+
+
+def test_toxicity_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    labels = table(spark, sf, "labels").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    docs = table(spark, sf, "documents").join(labels, "doc_id").select("doc_id", "text", "lang", "toxic")
+    long = docs.where("toxic = 1").limit(3).withColumn("text", F.repeat("text", 200)).withColumn("doc_id", -F.col("doc_id") - 1)
+    both, seen = docs.unionAll(long), []
+    monkeypatch.setattr(toxicity, "thresholds", lambda counts, groups, own=toxicity.thresholds: seen.append(counts) or own(counts, groups))
+    model = toxicity.fit(both.drop("toxic"), both.select("doc_id", "toxic"), sample_rows=100)
+    assert seen[0]["n"].sum() == both.count()
+    rows = both.collect()
+    logits, group = toxicity.logits_of(model, toxicity.word_memo(model), pa.array([r.text for r in rows]))
+    truth = np.array([r.toxic for r in rows])
+    f1 = lambda mine, t: 2 * truth[mine & (logits >= t)].sum() / ((mine & (logits >= t)).sum() + truth[mine].sum())
+    for g in set(group):
+        mine = group == g
+        if len(set(truth[mine])) == 2:
+            assert f1(mine, model.thresholds[g]) >= max(f1(mine, t) for t in np.unique(toxicity.bins(logits[mine])) * toxicity.BIN) - 1e-9
