@@ -12,17 +12,43 @@ from pyspark.sql import functions as F
 
 from gapweave.sources.scratch import materialise, scratch
 
-__all__ = ["Known", "Memo", "blocks", "coded", "grown", "list_array", "materialise", "per_text", "release", "runs", "scratch", "split", "table", "words"]
+__all__ = ["Known", "Memo", "binary_view", "blocks", "bounded_batches", "coded", "fresh", "grown", "list_array", "materialise", "per_text", "release", "runs", "scratch", "split", "table", "words"]
 
 #: Near-duplicate operators work on runs of so many words, at this similarity or more.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Rows and bytes of the Arrow batches that tasks exchange with Python, at most; a longer row is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+#: What a memo's strings may take together.
+MEMO_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, after lowering its session's limits of Arrow batches to BATCH_ROWS and BATCH_BYTES; lower ones stay.
+
+    Whole partitions in one batch would take their size several times over, in the executor and in Python. The limits are
+    read when a result runs, so they stay in the session.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name).lower().rstrip("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, longer if `df` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order; no words for null."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
@@ -32,12 +58,12 @@ def words(text: Column) -> Column:
 class Known:
     """The strings that a memo has rows for, in one Arrow array, so that lookups and storage stay outside Python."""
 
-    def __init__(self, most: int):
-        self.most, self.strings = most, pa.array([], pa.large_string())
+    def __init__(self, most: int, most_bytes: int = MEMO_BYTES):
+        self.most, self.most_bytes, self.strings = most, most_bytes, pa.array([], pa.large_string())
 
     def rows(self, strings: pa.Array) -> tuple[np.ndarray, pa.Array, bool]:
         """The row of each of some distinct strings, the new ones among them (whose rows are the last), and whether all rows before have gone."""
-        anew = len(self.strings) > self.most
+        anew = len(self.strings) > self.most or self.strings.nbytes > self.most_bytes
         if anew:
             self.strings = self.strings[:0]
         at = pc.index_in(strings, value_set=self.strings)
@@ -53,18 +79,22 @@ class Memo:
     """Bounded memo from a string to a run of numbers, kept in one flat array so that a batch is one gather.
 
     `fill(strings)` returns the numbers of new strings one after another, and how many each has. The memo starts anew
-    beyond `most` strings, so its memory is bounded; no result depends on what it holds.
+    beyond `most` strings or MEMO_BYTES of them, so its memory is bounded; no result depends on what it holds.
     """
 
     def __init__(self, fill, most: int, dtype=np.int32):
-        self.fill, self.dtype, self.known = fill, dtype, Known(most)
-        self.flat, self.ends, self.n = np.zeros(1 << 16, dtype), np.zeros(1 << 14, np.int64), 0
+        self.fill, self.dtype, self.most = fill, dtype, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = Known(self.most)
+        self.flat, self.ends, self.n = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), 0
 
     def lookup(self, strings: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All numbers of strings[codes] in order, and how many each has; `strings` are distinct."""
         rows, new, anew = self.known.rows(strings)
         if anew:
-            self.n = 0
+            self.flat, self.ends, self.n = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), 0
         if len(new):
             values, counts = self.fill(new.to_pylist())
             ends = self.ends[self.n] + np.cumsum(counts)
@@ -123,6 +153,18 @@ def blocks(texts: pa.Array, most_chars: int = 4_000_000):
         yield block
 
 
+def binary_view(column: pa.Array | pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column without nulls, one after another, and the place where each row's begin (and the end)."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    a = pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a
+    if not len(a):
+        return np.zeros(0, dtype), np.zeros(1, np.int64)
+    wide = np.int64 if pa.types.is_large_binary(a.type) else np.int32
+    offsets = np.frombuffer(a.buffers()[1], wide)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    data = np.frombuffer(a.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if a.buffers()[2] else np.zeros(0, np.uint8)
+    return data.view(dtype), (offsets - offsets[0]) // np.dtype(dtype).itemsize
+
+
 def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
