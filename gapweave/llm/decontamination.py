@@ -1,19 +1,22 @@
 """Benchmark decontamination: short test items found inside long documents by MinHash containment search.
 
-Texts are sets of runs of five words. An item is contained in a document that has a share of at least `threshold` of the
-item's shingles. Items are partitioned by size, and the size decides how long a MinHash sketch has to be: of n shingles
-at most n - ceil(threshold * n) may be missing, so the sketch is the n - ceil(threshold * n) + 1 shingles of smallest
-hash, of which every containing document has one. A document that has none is no candidate; candidates are verified by
-counting all shared shingles. (Banded signatures of whole documents lose such pairs: the Jaccard similarity of 30
-shingles and a document of 10,000 is 0.003, for which even 256 bands of one value miss half of them.)
+Texts are sets of runs of five words; an item of one to four words is one run of all its words. An item is contained in a
+document that has a share of at least `threshold` of the item's shingles. Items are partitioned by size, and the size n
+decides the length of the MinHash sketch: of n shingles at most n - ceil(threshold * n) may be missing, so the sketch is
+the n - ceil(threshold * n) + 1 shingles of smallest hash. Every containing document has one of them at least, so the
+search by sketches loses no pair. Candidates are found by the sketches' hashes alone, about a fifth of the items'
+shingles; only documents that are candidates are read again, and each candidate pair is verified by counting all shared
+shingles. (Banded signatures of whole documents lose such pairs: the Jaccard similarity of 30 shingles and a document of
+10,000 is 0.003, for which even 256 bands of one value miss half of them.)
 
 Everything is DataFrame functions. Shingles are compared by 64-bit hashes of the hashes of their words. Documents are
-never shuffled as long as the items' shingles are few enough to broadcast, which is counted first; beyond that Spark
-joins by hash. What is shuffled are matches.
+never shuffled as long as sketches and candidates are few enough to broadcast, which is counted first; beyond that Spark
+joins by hash.
 
-Null and empty texts and texts of under five words have no shingles: such items are never found, such documents contain
-nothing. Rows of equal doc_id are one document with the shingles of all; rows of equal item_id likewise. Null ids match
-as one id. Empty tables give no rows. Other columns, whatever their names, are not read.
+Null and empty texts have no shingles: such items are never found, such documents contain nothing. Rows of equal doc_id
+are one document with the shingles of all; rows of equal item_id likewise (their sizes are added up). Null ids match as
+one id. Empty tables give no rows. Other columns, whatever their names, are not read by contained() and come through
+drop_contaminated() untouched.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import SHINGLE_WORDS, SIMILARITY, materialise, words
+from gapweave.llm.common import SHINGLE_WORDS, SIMILARITY, fresh, materialise, words
 
-#: The items' shingles, and ids of documents to drop, are broadcast up to so many rows of about 30 bytes.
-BROADCAST_ROWS = 1_000_000
+#: Sketches, candidates and ids of documents to drop are broadcast up to so many bytes, at ROW_BYTES each.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,54 +37,70 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shingles(text: Column, size: int = SHINGLE_WORDS) -> Column:
-    """The distinct hashes of all runs of `size` words."""
+def runs_of(hashes: Column, size: int) -> Column:
+    """The hashes of all runs of `size` of an array's word hashes; none if it has fewer."""
+    run = F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]))
+    return F.when(F.size(hashes) >= size, run).otherwise(F.array().cast("array<bigint>"))
 
-    def runs_of(w: Column) -> Column:
-        run = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
-        return F.when(F.size(w) >= size, F.array_distinct(run)).otherwise(F.array().cast("array<bigint>"))
 
-    return let(F.transform(words(text), lambda x: F.xxhash64(x)), runs_of)
+def shingles(text: Column, sizes: list[int]) -> Column:
+    """The distinct hashes of all runs of so many words, of each of the sizes."""
+    return let(F.transform(words(text), lambda x: F.xxhash64(x)), lambda w: F.array_distinct(F.concat(*[runs_of(w, n) for n in sizes])))
 
 
 def item_shingles(items: DataFrame, item_id: str, text: str, threshold: float) -> DataFrame:
-    """item_id, h, n (shingles of the item) and in_sketch."""
-    each = items.select(F.col(item_id).alias("item_id"), F.explode(shingles(F.col(text))).alias("h")).distinct()
+    """item_id, h, n (shingles of the item), k (place of h by its value) and words (its length in words)."""
+    hashes = F.transform(words(F.col(text)), lambda x: F.xxhash64(x))
+    each = items.select(F.col(item_id).alias("item_id"), F.explode(F.array(hashes)).alias("w")).where(F.size("w") > 0)
+    by_size = F.coalesce(*[F.when(F.size("w") == n, runs_of(F.col("w"), n)) for n in range(1, SHINGLE_WORDS)], runs_of(F.col("w"), SHINGLE_WORDS))
+    each = each.select("item_id", F.least(F.size("w"), F.lit(SHINGLE_WORDS)).alias("words"), F.explode(by_size).alias("h")).distinct()
     of_item = Window.partitionBy("item_id")
-    sized = each.withColumn("n", F.count("*").over(of_item)).withColumn("k", F.row_number().over(of_item.orderBy("h")))
-    return sized.select("item_id", "h", "n", (F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).alias("in_sketch"))
+    sized = each.withColumn("n", F.count("*").over(of_item)).withColumn("k", F.row_number().over(of_item.orderBy("h", "words")))
+    return sized.withColumn("in_sketch", F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).drop("k")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() * ROW_BYTES <= BROADCAST_BYTES else df
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, shared, shingles and containment of every document and the items that it contains."""
     wanted = materialise(item_shingles(items, item_id, item_text, threshold), "item-shingles")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.explode(shingles(F.col(doc_text))).alias("h"))
-    matches = own.join(wanted, "h").groupBy("doc_id", "item_id", "h").agg(F.max("n").alias("n"), F.max("in_sketch").alias("in_sketch"))
-    pairs = matches.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.max("n").alias("shingles"), F.max("in_sketch").alias("candidate"))
-    verified = pairs.where("candidate").withColumn("containment", F.col("shared") / F.col("shingles")).where(F.col("containment") >= threshold)
+    sizes = sorted(r["words"] for r in wanted.select("words").distinct().collect()) or [SHINGLE_WORDS]  # five values at most
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
+    sketches = small(wanted.where("in_sketch").select("item_id", "h"))
+    hits = docs.select("doc_id", F.explode(shingles(F.col("text"), sizes)).alias("h")).join(sketches, "h")
+    pairs = materialise(hits.select("doc_id", "item_id").distinct(), "contamination-candidates")
+    whole = wanted.groupBy("item_id").agg(F.first("n").alias("n"), F.collect_list("h").alias("item"))
+    asked = pairs.join(whole, pairs["item_id"].eqNullSafe(whole["item_id"])).select(pairs["doc_id"].alias("asked_id"), pairs["item_id"], "n", "item")
+    ids = small(materialise(pairs.select(F.col("doc_id").alias("asked_id")).distinct(), "contamination-documents"))
+    again = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi").select("doc_id", shingles(F.col("text"), sizes).alias("own"))
+    found = again.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id"))).select("doc_id", "item_id", "n", F.array_intersect("own", "item").alias("hits"))
+    # One row of a document usually decides; rows of equal doc_id put theirs together.
+    shared = found.groupBy("doc_id", "item_id").agg(F.max("n").alias("shingles"), F.size(F.array_distinct(F.flatten(F.collect_set("hits")))).cast("long").alias("shared"))
+    verified = shared.withColumn("containment", F.col("shared") / F.col("shingles")).where(F.col("containment") >= threshold)
     return verified.select("doc_id", "item_id", "shared", "shingles", "containment")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, doc_id: str = "doc_id") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that contain no item; rows with a null id are compared like others."""
-    found = contained(docs, items, threshold, doc_id).select(F.col("doc_id").alias("gw_found")).distinct()
-    found = materialise(found, "contaminated")
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("gw_found")), "left_anti")
+    name = fresh(docs, "gw_found")
+    found = small(materialise(contained(docs, items, threshold, doc_id, text).select(F.col("doc_id").alias(name)).distinct(), "contaminated"))
+    return docs.join(found, docs[doc_id].eqNullSafe(found[name]), "left_anti")
 
 
-def shingle_sql(table: str, key: str) -> str:
-    """DuckDB SQL for the distinct shingles of a table as columns of key and g."""
+def shingle_sql(table: str, key: str, sizes: str) -> str:
+    """DuckDB SQL for the distinct shingles of a table as columns of key, size and g; `sizes` is SQL for a list of run lengths."""
     w = rf"[x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
-    return f"""SELECT DISTINCT {key}, unnest([w[i : i + 4] FOR i IN range(1, len(w) - 3)]) AS g FROM (SELECT {key}, {w} AS w FROM {table}) WHERE len(w) >= 5"""
+    return f"""SELECT DISTINCT {key}, size, unnest([w[i : i + size - 1] FOR i IN range(1, len(w) - size + 2)]) AS g FROM (SELECT {key}, w, unnest({sizes}) AS size FROM (SELECT {key}, {w} AS w FROM {table})) WHERE len(w) >= size"""
 
 
 SQL = f"""
-WITH i AS ({shingle_sql("benchmark", "item_id")}), d AS ({shingle_sql("documents", "doc_id")}),
+WITH i AS ({shingle_sql("benchmark", "item_id", "[greatest(1, least(5, len(w)))]")}),
+l AS (SELECT list(DISTINCT size) AS ls FROM i),
+d AS ({shingle_sql("documents", "doc_id", "(SELECT ls FROM l)")}),
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
-s AS (SELECT doc_id, item_id, count(*) AS shared FROM i JOIN d USING (g) GROUP BY ALL)
+s AS (SELECT doc_id, item_id, count(*) AS shared FROM i JOIN d USING (size, g) GROUP BY ALL)
 SELECT doc_id, item_id, shared, n AS shingles, shared / n AS containment FROM s JOIN n USING (item_id) WHERE shared / n >= {SIMILARITY}
 """
