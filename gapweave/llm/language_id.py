@@ -8,7 +8,8 @@ Training uses at most about `sample_rows` labelled rows with texts of up to `sam
 of the id and brought to the driver; everything else runs in the tasks. Scoring takes whole texts of any length.
 
 Texts that are null or have no letter are `und` with score 0. Rows with a null label teach nothing. Repeated rows get
-equal results. Without any labelled row all texts are `und`. Ties go to the label that sorts first.
+equal results. Without any labelled row all texts are `und`. Ties go to the label that sorts first. Columns named
+lang_pred or score are replaced; other columns, whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import blocks, per_text, release
+from gapweave.llm.common import blocks, bounded_batches, fresh, per_text, release
 from gapweave.llm.features import TableMemo, bounded_sample, ngrams, split_words, summed
 
 SIZES, BUCKETS, UNKNOWN = (1, 2, 3), 1 << 16, "und"
@@ -106,7 +107,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of `docs` but the text, with lang_pred and score."""
+    """All columns of `docs` but the text, with lang_pred and score, which replace columns of that name."""
     width = len(model.labels) + 1
 
     def word_table(words: list[str]) -> np.ndarray:
@@ -114,11 +115,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return summed(np.column_stack((model.weights[h], np.ones(len(h), np.float32))), of, len(words))
 
     def score(batches):
-        memo = TableMemo(word_table, width, 400_000)
+        memo = TableMemo(word_table, width, 200_000)
         names = np.array([*model.labels, UNKNOWN], object)
         for batch in batches:
             label, prob = [], []
-            for block in blocks(batch.column(batch.num_columns - 1), 2_000_000):
+            for block in blocks(batch.column(batch.num_columns - 1), 1_000_000):
                 words, codes, per = split_words(block)
                 rows = memo.rows(words)
                 values = memo.table[rows]
@@ -134,8 +135,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     # Texts without a letter are und; asking that here stops at a text's first letter.
     lettered = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
+    rest = [c for c in docs.columns if c != text and c.lower() not in ("lang_pred", "score")]
+    kept = [F.col(f"`{c}`") for c in rest]
     if not model.labels:
-        return docs.drop(text).withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
-    rest = [c for c in docs.columns if c != text]
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c != text] + ["lang_pred string", "score double"])
-    return docs.select(*rest, lettered.alias("gw_text")).mapInArrow(score, schema)
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c in rest] + ["lang_pred string", "score double"])
+    return bounded_batches(docs).select(*kept, lettered.alias(fresh(docs, "gw_text"))).mapInArrow(score, schema)
