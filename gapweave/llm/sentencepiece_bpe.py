@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -26,9 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapweave.llm.common import Memo, blocks, list_array, per_text, release, runs, split
+from gapweave.llm.common import Memo, blocks, bounded_batches, list_array, per_text, release, runs, split
 
 MARK = "▁"
+#: Chunks are found in passes over about so many characters; a longer chunk is backtracked right away.
+PASS_CHARS = 500_000
 
 
 class Codec:
@@ -65,6 +68,7 @@ class Codec:
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.text_of = {i: p for p, i in self.id.items()}
+        self.longest_piece = max(map(len, self.id), default=1)
         self.fits: dict[tuple[int, int], bool] = {}
         # Between two characters that no piece holds side by side nothing merges: such marks are cut off words.
         beside = {c for p in self.score for a, b in zip(p, p[1:]) if a.isalpha() != b.isalpha() for c in (a, b) if not c.isalpha()}
@@ -75,7 +79,7 @@ class Codec:
         self.shorter = {i: next(((k, self.id[p[:k]]) for k in range(len(p) - 1, 0, -1) if self.automaton.exists(p[:k])), None) for p, i in self.id.items()}
         split = "\n" if "\n" not in "".join(self.known) else ""
         self.chunks = re.compile(f"{MARK}+[^{MARK}{split}]*|[^{MARK}{split}]+" + "|\n+" * bool(split)).findall
-        self.memo = Memo(lambda new: self.encode_many([MARK + x for x in new]), most=400_000)
+        self.memo = Memo(lambda new: self.encode_many([MARK + x for x in new]), most=200_000)
         self.pieces = pa.array(self.bytes_of, pa.binary())
         self.numbers = pa.array([str(i).encode() for i in range(len(self.bytes_of))], pa.binary())
 
@@ -131,47 +135,62 @@ class Codec:
         return ids[runs(starts[used], counts[used])].astype(np.int32), per_text(counts[used], np.fromiter(map(len, cut), np.int64, len(cut)))
 
     def encode_many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As encode_chunks(), in turns of a bounded number of chunks."""
-        parts = [self.encode_chunks(chunks[k : k + 50_000]) for k in range(0, len(chunks), 50_000)]
+        """As encode_chunks(), in turns of a bounded number of characters."""
+        parts, turn, size = [], [], 0
+        for chunk in chunks:
+            if len(chunk) > PASS_CHARS:
+                if turn:
+                    parts.append(self.encode_chunks(turn))
+                    turn, size = [], 0
+                ids = np.concatenate([np.frombuffer(self.with_bytes(x), np.int32) for x in self.cut(chunk) if x])
+                parts.append((ids, np.array([len(ids)], np.int64)))
+                continue
+            turn.append(chunk)
+            size += len(chunk) + 1
+            if size >= PASS_CHARS:
+                parts.append(self.encode_chunks(turn))
+                turn, size = [], 0
+        if turn:
+            parts.append(self.encode_chunks(turn))
         return (np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
-    def with_bytes(self, chunk: str) -> list[int]:
-        """The ids of a text with characters outside the model, which become bytes."""
-        out: list[int] = []
-        start = 0
+    def with_bytes(self, chunk: str) -> array:
+        """The ids of a text, of which characters outside the model become bytes."""
+        out, known, start = array("i"), self.known, 0
         for k, c in enumerate(chunk):
-            if c not in self.known:
+            if c not in known:
                 if start < k:
                     out += self.backtrack(chunk[start:k])
-                out += [self.byte_id[b] for b in c.encode("utf-8", "replace")]
+                out.extend(self.byte_id[b] for b in c.encode("utf-8", "replace"))
                 start = k + 1
         return out + self.backtrack(chunk[start:]) if start < len(chunk) else out
 
-    def backtrack(self, text: str) -> list[int]:
-        n, longest, fits, shorter = len(text), self.automaton.iter_long, self.fits, self.shorter
-        ids: list[int] = []
-        froms: list[int] = []  # where each taken piece starts
-        failed = 0  # bit k: nothing from character k on works
+    def backtrack(self, text: str) -> array:
+        """The ids of a text of known characters; time and memory grow in proportion to its length."""
+        n, longest, window, fits, shorter = len(text), self.automaton.iter_long, self.longest_piece, self.fits, self.shorter
+        ids, froms = array("i"), array("q")  # the taken pieces and where they start
+        failed = bytearray(n // 8 + 1)  # bit k: nothing from character k on works
         pos, before = 0, -1
-        _, choice = next(longest(text))
+        _, choice = next(longest(text[:window]))
         while True:
             while choice:
                 length, i = choice
-                if not failed >> (pos + length) & 1 and (before < 0 or fits.get((before, i)) or self.fit(before, i)):
+                end = pos + length
+                if not failed[end >> 3] >> (end & 7) & 1 and (before < 0 or fits.get((before, i)) or self.fit(before, i)):
                     break
                 choice = shorter[i]
             if choice:
                 ids.append(i)
                 froms.append(pos)
-                pos += length
+                pos = end
                 if pos == n:
                     return ids
                 before = i
-                _, choice = next(longest(text, pos))
+                _, choice = next(longest(text[pos : pos + window]))
             else:
                 if not ids:
                     raise ValueError("the model can't encode this text")
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 choice = shorter[ids.pop()]
                 pos = froms.pop()
                 before = ids[-1] if ids else -1
@@ -193,6 +212,12 @@ class Codec:
             out.append(next(runs_of) if not o else self.encode_many(self.chunks(MARK + t.replace(" ", MARK)))[0] if t else ids[:0])
         return np.concatenate(out) if out else ids, np.array([len(x) for x in out], dtype=np.int64)
 
+    def forget(self) -> None:
+        """Drops what is remembered of texts; workers stay for later stages."""
+        self.memo.clear()
+        self.fits.clear()
+        release()
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The texts of lists of ids: piece after piece, without the mark that encoding puts in front; '' for null."""
         out = []
@@ -248,14 +273,14 @@ def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
         c = codec(model)
         for batch in batches:
             done = 0
-            for block in blocks(batch.column(1), 2_000_000):
+            for block in blocks(batch.column(1), 1_000_000):
                 ids, counts = c.encode(block)
                 lists = list_array(ids, counts)
                 of_ids = [hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in joined(lists, c.numbers, b",")]
                 of_text = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in c.decode(lists)]
                 yield pa.record_batch([batch.column(0).slice(done, len(block)), pa.array(counts), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 done += len(block)
-        release()
+        c.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
