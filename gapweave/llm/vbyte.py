@@ -6,11 +6,12 @@ three or four bytes; control bytes and data bytes are kept apart. Decoding looks
 of 256 control bytes and gathers all bytes of a block at once.
 
 A token file is one partition of a Parquet table: documents of one range of doc_id in ascending order, in blocks of a
-bounded number of ids. A row is a block: `bucket` (number of the range), `block` (number within the range), `start` (ids
-of the range before the block), `doc_ids`, `counts` (ids of each document), `control`, `data`. Documents are never cut.
+bounded number of ids. Spark's range partitioning samples a bounded number of doc_ids of each task for the ranges. A row
+is a block: `bucket` (number of the range), `block` (number within the range), `start` (ids of the range before the
+block), `doc_ids`, `counts` (ids of each document), `control`, `data`. Documents are never cut.
 
-Null and empty texts have the end id only. Null doc_ids come first. Rows of equal doc_id each keep their ids and stand
-in the order of their codes. An empty table gives no rows. Other columns are not read.
+Null and empty texts have the end id only. Null doc_ids come first. Rows of equal doc_id each keep their ids; the one
+with fewer ids stands first. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.llm.byte_bpe import encoder
-from gapweave.llm.common import list_array, materialise, runs
+from gapweave.llm.common import bounded_batches, list_array, materialise, release, runs
 
 #: The number of bytes of each of the four ranks of a control byte.
 LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], axis=1).astype(np.int64)
@@ -71,8 +72,9 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
                 part = batch.slice(k, 500)
                 coded = [np.append(enc.encode(t.as_py() or ""), np.uint32(end_id)).astype(width).tobytes() for t in part.column(1)]
                 yield pa.record_batch([part.column(0), pa.array(coded, pa.binary())], names=["doc_id", "ids"])
+        release()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(ids, "doc_id long, ids binary")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(ids, "doc_id long, ids binary")
 
 
 def id_type(size: int) -> str:
@@ -97,31 +99,16 @@ def frequencies(tokens: DataFrame, tokenizer: str) -> DataFrame:
 def write_files(tokens: DataFrame, tokenizer: str, file_ids: int = 8_000_000, block_ids: int = 500_000) -> tuple[DataFrame, np.ndarray]:
     """Token files of `tokens` and the id of each rank.
 
-    Only the ranking (at most one entry for each id of the vocabulary) and the bounds of the ranges of doc_id (one for
-    each file) pass through the driver.
+    Only the ranking (at most one entry for each id of the vocabulary) and Spark's sample for the ranges of doc_id pass
+    through the driver.
     """
     seen = [r["id"] for r in frequencies(tokens, tokenizer).orderBy(F.desc("n"), "id").collect()]
     id_of = np.array(seen, np.int64)
     rank_of = np.zeros(max(seen, default=0) + 1, np.uint32)
     rank_of[id_of] = np.arange(len(seen), dtype=np.uint32)
     size = tokens.agg(F.sum(F.octet_length("ids")).alias("n")).first()["n"] or 0
-    files = max(1, math.ceil(size / 2 / file_ids))
-    bounds = []
-    if files > 1:
-        shares = [k / files for k in range(1, files)]
-        bounds = sorted(set(tokens.agg(F.percentile_approx("doc_id", shares, 20 * files).alias("at")).first()["at"] or []))
-
-    def code(batches):
-        width, at = id_type(encoder(tokenizer).size), np.array(bounds, np.int64)
-        for batch in batches:
-            ids = [np.frombuffer(x.as_py(), width) for x in batch.column(1)]
-            coded = [encode_ranks(rank_of[x]) for x in ids]
-            doc = batch.column(0)
-            bucket = np.searchsorted(at, doc.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
-            yield pa.record_batch(
-                [pa.array(bucket.astype(np.int32)), doc, pa.array([len(x) for x in ids], pa.int32()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                names=["bucket", "doc_id", "n", "control", "data"],
-            )
+    width = id_type(encoder(tokenizer).size)
+    files = max(1, math.ceil(size / np.dtype(width).itemsize / file_ids))
 
     def pack(batches):
         bucket, block, start, docs, size = None, 0, 0, [], 0
@@ -133,20 +120,22 @@ def write_files(tokens: DataFrame, tokenizer: str, file_ids: int = 8_000_000, bl
             )
 
         for batch in batches:
-            for b, doc, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, doc, raw in zip(*batch.columns, strict=True):
+                b, doc, ids = b.as_py(), doc.as_py(), np.frombuffer(raw.as_buffer(), width)
+                n = len(ids)
                 if docs and (b != bucket or size + n > block_ids):
                     yield row()
                     block, start = block + 1, start + size
                     docs, size = [], 0
                 if b != bucket:
                     bucket, block, start = b, 0, 0
-                docs.append((doc, n, control, data))
+                docs.append((doc, n, *encode_ranks(rank_of[ids])))
                 size += n
         if docs:
             yield row()
 
-    coded = tokens.mapInArrow(code, "bucket int, doc_id long, n int, control binary, data binary")
-    dealt = coded.repartitionById(files, F.col("bucket")).sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "n", "control", "data")
+    dealt = tokens.repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.octet_length("ids"), "ids")
+    dealt = bounded_batches(dealt).select(F.spark_partition_id().alias("bucket"), "doc_id", "ids")
     return materialise(dealt.mapInArrow(pack, BLOCKS), "token-files"), id_of
 
 
