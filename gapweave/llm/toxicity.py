@@ -5,17 +5,18 @@ widths 1, 2 and 3 run over the words, rectified and max-pooled over the whole te
 of it is trained in numpy. Texts are assigned to a language group by naive Bayes on the same hashed features (language
 labels teach that, but are no input), and each group has a threshold of its own; scores are shifted in log-odds so that
 every group's threshold becomes CUT. Thresholds come from all labelled rows, with texts of any length: tasks score them
-and count log-odds by group and label in bins of BIN, and the threshold of best F1 is chosen from these counts. A group
-without labelled rows of both kinds takes the threshold that is best over the rows of all groups.
+and count log-odds by group and label in bins of BIN, and the threshold of best F1 is chosen from these counts. Rows that
+the model was trained on count with log-odds from models that have not seen them (FOLDS of them). A group's threshold is
+drawn towards the best one of all groups together as if SHRINK of its toxic rows voted for that, so that a group with few
+toxic rows (or without rows of both kinds) stays near it.
 
 Since filters are linear before pooling, a word's contributions to all filters are worked out once for each distinct
 word of a batch, and scoring a text is a few additions and one maximum for each word.
 
-The weights are trained on at most about `sample_rows` labelled rows, half of them toxic if there are as many, with texts of up to
-`sample_chars` characters, chosen by a hash of the id; a fifth of them is kept out, so that some
-rows that set thresholds are unseen. Scoring takes whole texts of any length. Null and empty texts have
-no words and get the score of an empty pool. Rows with a null label teach nothing; without labels of both kinds all
-scores are 0. Repeated rows get equal results.
+The weights are trained on at most about `sample_rows` labelled rows, half of them toxic if there are as many, with texts
+of up to `sample_chars` characters, chosen by a hash of the id. Scoring takes whole texts of any length. Null and empty
+texts have no words and get the score of an empty pool. Rows with a null label teach nothing; without labels of both
+kinds all scores are 0. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import blocks, per_text, release, runs
+from gapweave.llm.common import blocks, bounded_batches, fresh, materialise, per_text, release, runs
 from gapweave.llm.features import TableMemo, bounded_sample, ngrams, split_words, summed
 
 #: Scores from here on are toxic.
 CUT = 0.7
 #: Width of a bin of log-odds, and the number of bins on either side of 0; the outermost hold all beyond.
 BIN, MOST_BINS = 0.01, 10_000
+#: Models for the log-odds of rows that training has seen, and the weight of all groups in a group's threshold.
+FOLDS, SHRINK = 3, 20
 SIZES, BUCKETS, DIMS, FILTERS, WIDTHS = (3, 4, 5), 1 << 16, 8, 8, (1, 2, 3)
 
 
@@ -103,7 +106,7 @@ class Model:
 
 
 def train(sample: pd.DataFrame, epochs: int = 8, batch: int = 32, rate: float = 0.05, l2: float = 1e-5, seed: int = 11) -> Model | None:
-    """A model of a sample with the columns text, label (0 or 1) and lang (may be null), with thresholds of 0; a fifth of it is kept back."""
+    """A model of a sample with the columns text, label (0 or 1) and lang (may be null), with thresholds of 0."""
     truth = sample["label"].to_numpy().astype(np.float64)
     if len(set(truth)) < 2:
         return None
@@ -119,8 +122,7 @@ def train(sample: pd.DataFrame, epochs: int = 8, batch: int = 32, rate: float =
         n_of.append(np.bincount(of, minlength=len(part)))
     h, n_of = np.concatenate(h or [np.zeros(0, np.int32)]), np.concatenate(n_of or [np.zeros(0, np.int64)])
     first_of = np.cumsum(n_of) - n_of
-    order = rng.permutation(len(truth))
-    own = order[len(truth) // 5 :]
+    own = rng.permutation(len(truth))
 
     # Log-odds of the documents' features are the first dimension; the others begin at random.
     df = np.zeros((2, BUCKETS))
@@ -189,10 +191,20 @@ def train(sample: pd.DataFrame, epochs: int = 8, batch: int = 32, rate: float =
     return model
 
 
-def calibrated(model: Model, docs: DataFrame, labels: DataFrame, text: str, label: str, key: str) -> Model:
+def unseen(sample: pd.DataFrame) -> np.ndarray:
+    """The log-odds of each row of a sample under a model of the other folds; not a number where there is none."""
+    out, fold = np.full(len(sample), np.nan), np.arange(len(sample)) % FOLDS
+    for k in range(FOLDS):
+        if (own := fold == k).any() and (model := train(sample[~own])) is not None:
+            out[own] = logits_of(model, word_memo(model), pa.array(sample["text"][own], pa.string()))[0]
+    return out
+
+
+def calibrated(model: Model, sample: pd.DataFrame, docs: DataFrame, labels: DataFrame, text: str, label: str, key: str) -> Model:
     """The model with thresholds from all labelled rows; only counts by group, bin and label come to the driver.
 
-    All documents are scored where they are read, and their bins, not their texts, are shuffled to the labels.
+    All documents are scored where they are read, and their bins, not their texts, are shuffled to the labels. The sample
+    is bounded, and so are its bins, which are broadcast.
     """
 
     def run(batches):
@@ -202,9 +214,13 @@ def calibrated(model: Model, docs: DataFrame, labels: DataFrame, text: str, labe
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(group, pa.int64()), pa.array(bins(logits))], names=["key", "group", "bin"])
         release()
 
-    scored = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, group long, bin long")
+    kind = docs.schema[key].dataType.simpleString()
+    scored = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, group long, bin long")
     wanted = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("long").alias("label"))
-    counts = scored.join(wanted, "key").groupBy("group", "bin", "label").agg(F.count("*").alias("n")).toPandas()
+    own = pd.DataFrame({"key": sample["key"], "logit": unseen(sample)}).dropna().groupby("key", as_index=False)["logit"].mean()
+    own = docs.sparkSession.createDataFrame(list(zip(own["key"].tolist(), bins(own["logit"].to_numpy()).tolist(), strict=True)), f"key {kind}, own long")
+    rows = scored.join(wanted, "key").join(F.broadcast(own), "key", "left")
+    counts = rows.groupBy("group", F.coalesce("own", "bin").alias("bin"), "label").agg(F.count("*").alias("n")).toPandas()
     model.thresholds = thresholds(counts, len(model.prior))
     return model
 
@@ -215,10 +231,12 @@ def bins(logits: np.ndarray) -> np.ndarray:
 
 def thresholds(counts: pd.DataFrame, groups: int) -> np.ndarray:
     """The threshold of each group from counts with the columns group, bin, label and n."""
-    out = np.full(groups, best_threshold(counts))
+    shared = best_threshold(counts)
+    out = np.full(groups, shared)
     for g, mine in counts.groupby("group"):
         if mine["label"].nunique() == 2:
-            out[int(g)] = best_threshold(mine)
+            toxic = mine["n"][mine["label"] == 1].sum()
+            out[int(g)] = (toxic * best_threshold(mine) + SHRINK * shared) / (toxic + SHRINK)
     return out
 
 
@@ -236,19 +254,21 @@ def best_threshold(counts: pd.DataFrame) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", key: str = "doc_id", sample_rows: int = 3000, sample_chars: int = 8_000) -> Model | None:
     """A model of a bounded sample of the labelled rows, as many of them toxic as not where there are enough, with thresholds from all of them."""
-    labelled = docs.join(labels.select(key, label), key)
+    labelled = materialise(docs.select(key, text, lang).join(labels.select(key, label), key), "labelled")
     usable = labelled.where(F.col(text).isNotNull() & (F.char_length(F.col(text)) <= sample_chars))
     columns = [F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.col(lang).cast("string").alias("lang")]
     kinds = [bounded_sample(usable.where(F.col(label) == k), key, sample_rows // 2).select(*columns).toPandas() for k in (0, 1)]
-    model = train(pd.concat(kinds).sort_values(["key", "label", "text"]).reset_index(drop=True))
-    return None if model is None else calibrated(model, docs, labels, text, label, key)
+    sample = pd.concat(kinds).sort_values(["key", "label", "text"]).reset_index(drop=True)
+    model = train(sample)
+    return None if model is None else calibrated(model, sample, docs, labels, text, label, key)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """All columns of `docs` but the text, with score and predicted, which replace columns of that name."""
-    rest = [c for c in docs.columns if c != text and c not in ("score", "predicted")]
+    rest = [c for c in docs.columns if c != text and c.lower() not in ("score", "predicted")]
+    kept = [F.col(f"`{c}`") for c in rest]
     if model is None:
-        return docs.select(*rest, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(*kept, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
 
     def run(batches):
         memo = word_memo(model)
@@ -259,7 +279,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         release()
 
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c in rest] + ["score double", "predicted int"])
-    return docs.select(*rest, F.col(text).alias("gw_text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(*kept, F.col(text).cast("string").alias(fresh(docs, "gw_text"))).mapInArrow(run, schema)
 
 
 def word_memo(model: Model) -> TableMemo:
@@ -291,5 +311,5 @@ def drop_toxic(docs: DataFrame, model: Model | None, text: str = "text") -> Data
             yield batch.filter(pa.array(scores_of(model, memo, batch.column(0).field(text)) < CUT))
         release()
 
-    packed = docs.select(F.struct(*docs.columns).alias("gw_row"))
+    packed = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("gw_row"))
     return packed.mapInArrow(run, packed.schema).select("gw_row.*")

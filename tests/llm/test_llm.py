@@ -138,7 +138,8 @@ def test_classifiers_on_held_out_rows(spark):
     assert r.where("lang = lang_pred").count() >= 0.97 * r.count()
     toxic = table(spark, sf, "labels").select("doc_id", "toxic")
     r = queries.op3_toxicity(spark, sf).join(toxic, "doc_id").where("held_out")
-    assert r.where("toxic = predicted").count() >= 0.85 * r.count()
+    hits, flagged, toxic = (r.where(x).count() for x in ("toxic = 1 AND predicted = 1", "predicted = 1", "toxic = 1"))
+    assert hits >= 0.7 * toxic and hits >= 0.9 * flagged and toxic >= 15
 
 
 def test_odd_and_empty_tables(spark):
@@ -151,8 +152,10 @@ def test_odd_and_empty_tables(spark):
         assert language_id.predict(d.select("doc_id", "text"), lang).count() == n
         assert line_dedup.drop_boilerplate(d).count() == n and line_dedup.drop_boilerplate(d).columns == d.columns
         assert ngram_join.join(d).count() == n
-        assert decontamination.contained(d, items).count() == (1 if n else 0)
-        assert decontamination.drop_contaminated(d, items).count() == max(n - 1, 0)
+        # "x" is an item of one word, which eight texts with a number and the row (None, "a b c d e f") hold or are held by
+        held = [r for r in d.collect() if "x" in regex.findall(r"[\p{L}\p{N}]+", (r.text or "").lower()) or r.text == "a b c d e f"]
+        assert decontamination.contained(d, items).count() == len({r.doc_id for r in held})
+        assert decontamination.drop_contaminated(d, items).count() == n - len(held)
         path = queries.vocabulary("byte_bpe_50k.json")
         assert vbyte.write_and_read(d, path).count() == n and token_counts.write_and_count(d.where("doc_id > 0").dropDuplicates(["doc_id"]), path, 50256).count() == max(n - 3, 0)
     assert nearest.search(table(spark, SF, "embeddings").limit(0), F.col("vec_id") % 20 == 0).count() == 0
@@ -171,7 +174,7 @@ def test_pipeline_stages(spark):
     assert kept.count() == docs.count() and not links([r.text for r in kept.collect()])
 
 
-def test_toxicity_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+def test_toxicity_thresholds_come_from_the_counts_of_all_labelled_rows(spark, monkeypatch):
     sf = "/root/testdata/sf0.01"
     labels = table(spark, sf, "labels").where("toxic IS NOT NULL").select("doc_id", "toxic")
     docs = table(spark, sf, "documents").join(labels, "doc_id").select("doc_id", "text", "lang", "toxic")
@@ -180,11 +183,14 @@ def test_toxicity_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "thresholds", lambda counts, groups, own=toxicity.thresholds: seen.append(counts) or own(counts, groups))
     model = toxicity.fit(both.drop("toxic"), both.select("doc_id", "toxic"), sample_rows=100)
     assert seen[0]["n"].sum() == both.count()
-    rows = both.collect()
-    logits, group = toxicity.logits_of(model, toxicity.word_memo(model), pa.array([r.text for r in rows]))
-    truth = np.array([r.toxic for r in rows])
-    f1 = lambda mine, t: 2 * truth[mine & (logits >= t)].sum() / ((mine & (logits >= t)).sum() + truth[mine].sum())
-    for g in set(group):
-        mine = group == g
-        if len(set(truth[mine])) == 2:
-            assert f1(mine, model.thresholds[g]) >= max(f1(mine, t) for t in np.unique(toxicity.bins(logits[mine])) * toxicity.BIN) - 1e-9
+    counts, best = seen[0], {}
+    for g in [None, *sorted(set(counts["group"]))]:  # the best threshold by trying every bin
+        rows = counts if g is None else counts[counts["group"] == g]
+        toxic = rows["n"][rows["label"] == 1].sum()
+        f1 = lambda b: 2 * rows["n"][(rows["bin"] >= b) & (rows["label"] == 1)].sum() / (rows["n"][rows["bin"] >= b].sum() + toxic)  # noqa: B023, E731
+        best[g] = (toxic, rows["label"].nunique(), max((f1(b), -b) for b in set(rows["bin"])))
+    for g, (toxic, kinds, (_, low)) in best.items():
+        if g is not None and kinds == 2:
+            between = (model.thresholds[g] * (toxic + toxicity.SHRINK) - toxicity.SHRINK * toxicity.best_threshold(counts)) / toxic
+            below = [b for b in counts["bin"][counts["group"] == g] if b < -low]
+            assert -low * toxicity.BIN + 1e-9 >= between >= (max(below) * toxicity.BIN if below else -np.inf) - 1e-9
