@@ -3,17 +3,21 @@
 Largest inner products become smallest distances: vectors get one more coordinate that brings all of them to the largest
 norm. A hash function is one random projection; an index holds, for each of PROJECTIONS functions, the sorted array of
 the projected values of its vectors. For a query, the window around its own value in every sorted array is widened by
-virtual rehashing: radius R, then GROWTH times R, and so on. A vector inside the window of a function collides there, and
-vectors with at least `least` collisions are verified by their exact inner product. A vector at distance R collides with
-known probability, and `least` lies DEVIATIONS standard deviations below the mean of that binomial, so all but a few of
-the vectors within R have been verified; a query is done when its k-th nearest verified vector is within R.
+virtual rehashing: radius R, then GROWTH times R, and so on; each step counts only what newly enters at the two ends of
+the windows. A vector inside the window of a function collides there, and vectors with at least `least` collisions are
+verified by their exact inner product. A vector at distance R collides with known probability, and `least` lies
+DEVIATIONS standard deviations below the mean of that binomial, so most vectors within R have been verified; a query is
+done when its k-th nearest verified vector is within R. The more functions, the sharper a count tells distances apart:
+with 48 of them over half of 2,000 vectors were verified for each query, with 512 under a tenth are.
 
 Vectors are dealt to indexes by a hash of their id, queries to blocks by another; each task gets one index and one block,
-both of bounded size, and returns k rows for each query. A window then keeps the k nearest of each query.
+both of bounded size, and returns k rows for each query. A window then keeps the k nearest of each query. An index's
+vectors are shuffled once for each block of BLOCK_ROWS queries.
 
 Null vectors, zero vectors, and vectors with null or non-finite components or another length than most take no part.
 Equal rows count once; rows of equal id but different vectors are candidates of their own. A query's own id is no
-candidate. Ties go to the smaller id. Queries with fewer than k candidates get all. An empty table gives no rows.
+candidate. Ties go to the smaller id. Queries with fewer than k candidates get all. An empty table gives no rows. Other
+columns, whatever their names, are not read, but `is_query` may name vec_id only.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import materialise
+from gapweave.llm.common import materialise, release
 
-PROJECTIONS, HALF_WIDTH, GROWTH, DEVIATIONS = 48, 1.3, 1.12, 1.5
-#: Vectors of an index and queries of a block, about.
-INDEX_ROWS, BLOCK_ROWS = 16_384, 512
+PROJECTIONS, HALF_WIDTH, GROWTH, DEVIATIONS = 512, 1.3, 1.05, 0.5
+#: Queries begin at this share of the radius at which those before them ended, so that few steps are needed.
+START = 0.93
+#: Vectors of an index (their numbers are 16-bit) and queries of a block, about, and the bytes of either's vectors.
+INDEX_ROWS, BLOCK_ROWS, VECTOR_BYTES = 16_384, 2_048, 32 << 20
 #: P(|standard normal| <= HALF_WIDTH)
 COLLIDES = 0.8064
 
@@ -47,47 +53,71 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float):
         rng = np.random.default_rng(20170801)
+        n = len(ids)
         self.ids, self.vectors, self.norm = ids, vectors, norm
         self.directions = rng.normal(size=(vectors.shape[1] + 1, PROJECTIONS))
         more = np.sqrt(np.maximum(norm * norm - (vectors * vectors).sum(axis=1), 0))
-        values = np.column_stack((vectors, more)) @ self.directions
-        order = np.argsort(values, axis=0, kind="stable")
-        self.sorted = np.ascontiguousarray(np.take_along_axis(values, order, axis=0).T)
-        self.rank = np.empty(values.shape[::-1], np.int32)  # the place of every vector in every sorted array
+        full = np.column_stack((vectors, more))
+        number = np.uint16 if n <= 1 << 16 else np.uint32
+        self.sorted = np.empty((PROJECTIONS, n), np.float32)
+        self.order = np.empty((PROJECTIONS, n), number)
+        self.rank = np.empty((PROJECTIONS, n), number)  # the place of every vector in every sorted array
         for k in range(PROJECTIONS):
-            self.rank[k, order[:, k]] = np.arange(len(ids), dtype=np.int32)
+            values = (full @ self.directions[:, k]).astype(np.float32)
+            self.order[k] = np.argsort(values, kind="stable")
+            self.sorted[k] = values[self.order[k]]
+            self.rank[k, self.order[k]] = np.arange(n)
         self.least = COLLIDES * PROJECTIONS - DEVIATIONS * sqrt(PROJECTIONS * COLLIDES * (1 - COLLIDES))
 
-    def collisions(self, projected: np.ndarray, radius: float) -> np.ndarray:
-        """In how many sorted arrays each vector lies in the window around the query's value."""
-        count = np.zeros(len(self.ids), np.uint8)
-        half = HALF_WIDTH * radius
-        for k in range(PROJECTIONS):
-            lo, hi = np.searchsorted(self.sorted[k], (projected[k] - half, projected[k] + half))
-            count += (self.rank[k] - np.int32(lo)).view(np.uint32) < np.uint32(hi - lo)
-        return count
-
-    def search(self, query_id: int, query: np.ndarray, k: int, start: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """Ids and inner products of the k nearest verified vectors, and the distance of the last."""
+    def windows(self, projected: np.ndarray, radius: float) -> np.ndarray:
+        """The first place and the one after the last of every function's window of a query."""
+        ends = (projected[:, None] + np.array([-1, 1]) * (HALF_WIDTH * radius)).astype(np.float32)
+        return np.array([np.searchsorted(values, e) for values, e in zip(self.sorted, ends, strict=True)])
+
+    def collisions(self, windows: np.ndarray) -> np.ndarray:
+        """In how many windows each vector lies."""
+        count, part = np.zeros(len(self.ids), np.uint16), np.zeros(len(self.ids), np.uint8)
+        for k, (lo, hi) in enumerate(windows.tolist()):
+            if hi - lo == len(self.ids):
+                part += np.uint8(1)
+            else:
+                part += (self.rank[k] - self.rank.dtype.type(lo) < self.rank.dtype.type(hi - lo)).view(np.uint8)
+            if k % 255 == 254:
+                count += part
+                part[:] = 0
+        return count + part
+
+    def entered(self, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """How many windows each vector has newly entered."""
+        ends = [x for k, ((a, b), (c, d)) in enumerate(zip(old.tolist(), new.tolist(), strict=True)) for x in (self.order[k, c:a], self.order[k, b:d])]
+        return np.bincount(np.concatenate(ends), minlength=len(self.ids)).astype(np.uint16)
+
+    def search(self, query_id: int, query: np.ndarray, k: int, start: float) -> tuple[np.ndarray, np.ndarray, float, int]:
+        """Ids and inner products of the k nearest verified vectors, the distance of the last, and how many were verified."""
         size = np.linalg.norm(query)
         projected = np.append(query * (self.norm / size), 0.0) @ self.directions
-        radius, best, reach, far = start, np.zeros(0, np.int64), np.inf, 2.0 * self.norm
-        scores = np.full(len(self.ids), -np.inf)
+        radius, far = min(start, 2.0 * self.norm), 2.0 * self.norm
         todo = self.ids != query_id
         others = int(todo.sum())
+        windows = self.windows(projected, radius)
+        count = self.collisions(windows)
+        seen, scores = np.zeros(0, np.int64), np.zeros(0)
         while True:
-            new = np.flatnonzero(todo & (self.collisions(projected, radius) >= self.least)) if radius < far else np.flatnonzero(todo)
-            scores[new] = self.vectors[new] @ query
+            new = np.flatnonzero(todo & (count >= self.least)) if radius < far else np.flatnonzero(todo)
             todo[new] = False
-            seen = np.flatnonzero(scores > -np.inf)
+            seen, scores = np.concatenate((seen, new)), np.concatenate((scores, self.vectors[new] @ query))
             if len(seen) >= min(k, others):
-                if len(seen) > 4 * k:
-                    seen = seen[np.argpartition(-scores[seen], 2 * k)[: 2 * k]]
-                best = seen[np.lexsort((self.ids[seen], -scores[seen]))][:k]
+                best = np.argpartition(-scores, k - 1)[:k] if len(seen) > k else np.arange(len(seen))
+                if len(seen) > k:  # ties at the last place
+                    best = np.flatnonzero(scores >= scores[best].min())
+                best = best[np.lexsort((self.ids[seen[best]], -scores[best]))][:k]
                 reach = sqrt(max(2 * self.norm**2 - 2 * self.norm * scores[best[-1]] / size, 0)) if len(best) else 0.0
                 if reach <= radius or radius >= far:
-                    return self.ids[best], scores[best], reach
+                    return self.ids[seen[best]], scores[best], reach, len(seen)
             radius = min(radius * GROWTH, far)
+            wider = self.windows(projected, radius)
+            count += self.entered(windows, wider)
+            windows = wider
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -97,7 +127,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     queries = rows.where(is_query) if shape is None else rows.where((F.size("v") == shape["dims"]) & is_query)
     n, norm = (0, 1.0) if shape is None else (shape["n"], sqrt(shape["square"]))
     rows = rows if shape is None else rows.where(F.size("v") == shape["dims"])
-    n_indexes, n_blocks = max(1, ceil(n / INDEX_ROWS)), max(1, ceil(queries.count() / BLOCK_ROWS))
+    most = max(1, VECTOR_BYTES // (8 * max(1, shape["dims"]))) if shape else INDEX_ROWS
+    n_indexes, n_blocks = max(1, ceil(n / min(INDEX_ROWS, most))), max(1, ceil(queries.count() / min(BLOCK_ROWS, most)))
 
     def task(index: Column, block: Column) -> Column:
         return (index * n_blocks + block).cast("long").alias("task")
@@ -113,12 +144,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
             index = Index(stored["vec_id"].to_numpy(), matrix(stored), norm)
             reach = []
             for q, v in zip(asked["vec_id"].to_numpy().tolist(), matrix(asked), strict=True):
-                # Queries begin near the radius at which those before them ended, so that few steps are needed.
-                start = float(np.median(reach[-50:])) if reach else norm / 2
-                ids, scores, last = index.search(q, v, k, max(start, norm / 100))
+                start = START * float(np.median(reach[-50:])) if reach else norm / 2
+                ids, scores, last, _ = index.search(q, v, k, max(start, norm / 100))
                 reach.append(last)
                 for part, values in zip(out, (np.full(len(ids), q), ids, scores), strict=True):
                     part.append(values)
+            release()
         return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
 
     found = stored.select(task(F.col("index"), F.col("block")), "vec_id", "v").groupBy("task").cogroup(asked.select(task(F.col("index"), F.col("block")), "vec_id", "v").groupBy("task"))
