@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import Known, coded
+from gapweave.llm.common import Known, coded, per_text
 
 
 #: Odd multipliers of the n-gram hash, one for each place.
@@ -20,8 +20,13 @@ NOT_WORD = regex.compile(r"[^\p{L}\p{N} ]+")
 
 
 def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words between white space, the number of each word in order, and the words of each text."""
-    return coded(pc.ascii_split_whitespace(pa.array(texts, pa.large_string())))
+    """Distinct words between white space, the number of each word in order, and how many words each text has."""
+    words, codes, per = coded(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pa.array(texts, pa.large_string()))))
+    blank = pc.index(words, "").as_py()
+    if blank >= 0:  # the only part of a text without words
+        full = codes != blank
+        codes, per = codes[full], per_text(full.astype(np.int64), per)
+    return words, codes, per
 
 
 def ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
