@@ -1,4 +1,10 @@
-"""Skill gaps of employees against the skills that their target position requires."""
+"""Skill gaps of employees against the skills that their target position requires.
+
+Missing skills count as level 0. Requirements of level 0 or null ask for nothing. Employees without a target, or with a
+target that requires nothing, have no gaps and a readiness of 1. Keys that are null match nothing. Repeated rows of an
+input repeat in the result, so tables must be unique by their keys (plans/checks reports rows that are not). Empty
+tables give empty results. Other columns are not read.
+"""
 
 from __future__ import annotations
 
@@ -23,21 +29,26 @@ def met(req: DataFrame) -> DataFrame:
 
 
 def extra(employee: DataFrame, requires: DataFrame, has_skill: DataFrame) -> DataFrame:
-    """Skills of employees that their target does not require at all."""
-    wanted = requires.where("required_level > 0").select(F.col("position_id").alias("target_position_id"), "skill_id")
-    return has_skill.join(employee.select("employee_id", "target_position_id"), "employee_id").join(wanted, ["target_position_id", "skill_id"], "left_anti").select("employee_id", "skill_id", "level")
+    """Skills of employees that their target does not list, at whatever level."""
+    listed = requires.select(F.col("position_id").alias("target_position_id"), "skill_id")
+    return has_skill.join(employee.select("employee_id", "target_position_id"), "employee_id").join(listed, ["target_position_id", "skill_id"], "left_anti").select("employee_id", "skill_id", "level")
 
 
-def readiness(req: DataFrame) -> DataFrame:
+def readiness(employee: DataFrame, req: DataFrame) -> DataFrame:
     """Covered share of weighted requirements (1 without weight), number and sum of gaps, for every employee."""
     gap = F.greatest(F.lit(0), F.col("required_level") - F.col("current_level"))
-    weight = F.sum(F.col("required_level") * F.col("importance"))
-    covered = F.sum(F.least("current_level", "required_level") * F.col("importance"))
-    return req.groupBy("employee_id").agg(
+    sums = req.groupBy("employee_id").agg(
         F.count_if(gap > 0).alias("missing_count"),
         F.sum(gap).alias("total_gap"),
         F.sum(gap * F.col("importance")).alias("weighted_total_gap"),
-        F.round(F.when(weight > 0, covered / weight).otherwise(1.0), 6).alias("readiness"),
+        F.sum(F.col("required_level") * F.col("importance")).alias("weight"),
+        F.sum(F.least("current_level", "required_level") * F.col("importance")).alias("covered"),
+    )
+    none = F.lit(0)
+    return employee.select("employee_id").join(sums, "employee_id", "left").select(
+        "employee_id",
+        *[F.coalesce(c, none).alias(c) for c in ("missing_count", "total_gap", "weighted_total_gap")],
+        F.round(F.when(F.col("weight") > 0, F.col("covered") / F.col("weight")).otherwise(1.0), 6).alias("readiness"),
     )
 
 

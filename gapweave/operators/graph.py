@@ -1,4 +1,9 @@
-"""Prerequisite chains, pruned closures and checks of the course graph."""
+"""Prerequisite chains, pruned closures, schedules and checks of the course graph.
+
+Graphs are edge tables; searches go on in rounds, one for each step away from where they began, and write every round to
+the shared folder. Edges whose ends are null lead nowhere. Repeated edges count once. Empty tables give empty results.
+Ties are broken by smaller course_id, as each function says. Other columns are not read.
+"""
 
 from __future__ import annotations
 
@@ -66,17 +71,69 @@ def dangling(edges: DataFrame, key: str, nodes: DataFrame, node_key: str, kind:
     return edges.join(known, F.col(key) == F.col("known"), "left_anti").groupBy(F.col(key).cast("string").alias("id")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "id", "n")
 
 
-def on_cycles(prerequisite: DataFrame) -> DataFrame:
-    """Courses that are on or behind a cycle: what is left when courses without open prerequisites are peeled off."""
-    left = materialise(prerequisite.select("course_id", "prerequisite_id").distinct(), "edges")
+def tangled(edges: DataFrame) -> DataFrame:
+    """The edges that are on cycles or between them: edges into or out of a dead end are peeled off until none is left."""
+    left = materialise(edges.select("course_id", "prerequisite_id").distinct(), "edges")
     while True:
-        waiting = left.select(F.col("course_id").alias("prerequisite_id")).distinct()
-        new = materialise(left.join(waiting, "prerequisite_id", "left_semi").select("course_id", "prerequisite_id"), "edges")
+        waiting, behind = left.select(F.col("course_id").alias("prerequisite_id")).distinct(), left.select(F.col("prerequisite_id").alias("course_id")).distinct()
+        new = materialise(left.join(waiting, "prerequisite_id", "left_semi").join(behind, "course_id", "left_semi").select("course_id", "prerequisite_id"), "edges")
         if new.count() == left.count():
-            return new.select("course_id").distinct()
+            return new
         left = new
 
 
+def on_cycles(prerequisite: DataFrame) -> DataFrame:
+    """course_id of the courses that lead back to themselves. Searches only what peeling leaves, a round for each step."""
+    edge = tangled(prerequisite)
+    step = edge.select(F.col("course_id").alias("node"), F.col("prerequisite_id").alias("next"))
+    new = edge.select("course_id", F.col("prerequisite_id").alias("node"))
+    rounds = [new]
+    while not new.isEmpty():
+        seen = reduce(DataFrame.unionAll, rounds)
+        new = materialise(new.join(step, "node").select("course_id", F.col("next").alias("node")).distinct().join(seen, ["course_id", "node"], "left_anti"), "reached")
+        rounds.append(new)
+    return reduce(DataFrame.unionAll, rounds).where("course_id = node").select("course_id").distinct()
+
+
+def cycle_paths(prerequisite: DataFrame) -> DataFrame:
+    """course_id and path of a shortest cycle through each course that is the smallest of such a one; path begins and ends with it."""
+    edge = tangled(prerequisite)
+    step = edge.select(F.col("course_id").alias("node"), F.col("prerequisite_id").alias("next"))
+    new = edge.where("prerequisite_id >= course_id").select("course_id", F.col("prerequisite_id").alias("node"), F.array("course_id", "prerequisite_id").alias("path"))
+    rounds = [materialise(new, "paths")]
+    while not rounds[-1].isEmpty():
+        seen = reduce(DataFrame.unionAll, [r.select("course_id", "node") for r in rounds])
+        longer = rounds[-1].where("node <> course_id").join(step, "node").where("next >= course_id")
+        longer = longer.select("course_id", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path")).groupBy("course_id", "node").agg(F.min("path").alias("path"))
+        rounds.append(materialise(longer.join(seen, ["course_id", "node"], "left_anti"), "paths"))
+    return reduce(DataFrame.unionAll, rounds).where("course_id = node").select("course_id", "path")
+
+
+def closure(roots: DataFrame, prerequisite: DataFrame) -> DataFrame:
+    """course_id of the roots and of everything they lead to."""
+    edge = prerequisite.select("course_id", F.col("prerequisite_id").alias("next"))
+    rounds = [materialise(roots.select("course_id").distinct(), "closure")]
+    while not rounds[-1].isEmpty():
+        seen = reduce(DataFrame.unionAll, rounds)
+        rounds.append(materialise(rounds[-1].join(edge, "course_id").select(F.col("next").alias("course_id")).distinct().join(seen, "course_id", "left_anti"), "closure"))
+    return reduce(DataFrame.unionAll, rounds)
+
+
+def with_lists(courses: DataFrame, teaches: DataFrame, prerequisite: DataFrame) -> DataFrame:
+    """The courses with skills and prerequisites as sorted lists; empty without any."""
+    out = courses
+    for edges, key, name in ((teaches, "skill_id", "skills"), (prerequisite, "prerequisite_id", "prerequisites")):
+        lists = edges.groupBy("course_id").agg(F.array_sort(F.collect_set(key)).alias(name))
+        out = out.join(lists, "course_id", "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+    return out
+
+
+def with_priority(courses: DataFrame, teaches: DataFrame, gaps: DataFrame) -> DataFrame:
+    """employee_id, course_id and priority: the weighted gaps that the course's skills cover together."""
+    rows = courses.join(teaches, "course_id", "left").join(gaps.select("employee_id", "skill_id", "weighted_gap"), ["employee_id", "skill_id"], "left")
+    return rows.groupBy("employee_id", "course_id").agg(F.coalesce(F.sum("weighted_gap"), F.lit(0)).alias("priority"))
+
+
 def topological(kept: DataFrame, prerequisite: DataFrame, priority: DataFrame) -> DataFrame:
     """employee_id, course_id and position: prerequisites first, then higher priority, then smaller course_id.
 

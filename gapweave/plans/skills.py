@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from gapweave.functions import text as T
 from gapweave.operators import gap, graph, recall, replay, retrieval, team
 from gapweave.sources.scratch import materialise
-from gapweave.sources.views import VIEWS, WHOLE_VIEWS, Domain, duckdb_views
+from gapweave.sources.views import Domain, duckdb_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,7 +22,7 @@ req AS (SELECT e.employee_id, r.skill_id, coalesce(h.level, 0) AS current_level,
 gaps AS (SELECT *, required_level - current_level AS gap, (required_level - current_level) * importance AS weighted_gap FROM req WHERE required_level > current_level),
 passed AS (SELECT DISTINCT employee_id, course_id FROM training_record WHERE exam_score >= 70),
 found AS (SELECT DISTINCT g.employee_id, t.course_id FROM gaps g JOIN teaches t USING (skill_id) WHERE (g.employee_id, t.course_id) NOT IN (SELECT employee_id, course_id FROM passed)),
-ready AS (SELECT employee_id, count(*) FILTER (current_level < required_level) AS missing_count, sum(greatest(0, required_level - current_level)) AS total_gap, sum(greatest(0, required_level - current_level) * importance) AS weighted_total_gap, round(sum(least(current_level, required_level) * importance)::DOUBLE / sum(required_level * importance), 6) AS readiness FROM req GROUP BY employee_id),
+ready AS (SELECT e.employee_id, count(*) FILTER (current_level < required_level) AS missing_count, coalesce(sum(greatest(0, required_level - current_level)), 0) AS total_gap, coalesce(sum(greatest(0, required_level - current_level) * importance), 0) AS weighted_total_gap, coalesce(round(sum(least(current_level, required_level) * importance)::DOUBLE / sum(required_level * importance), 6), 1) AS readiness FROM employee e LEFT JOIN req USING (employee_id) GROUP BY e.employee_id),
 chain(course_id, ancestor_id, depth) AS (SELECT course_id, prerequisite_id, 1 FROM prerequisite UNION ALL SELECT c.course_id, p.prerequisite_id, c.depth + 1 FROM chain c JOIN prerequisite p ON p.course_id = c.ancestor_id),
 marked AS (SELECT *, coalesce(max((exam_score >= 70)::INT) OVER (PARTITION BY employee_id, course_id ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS passed_before FROM training_record),
 tiers AS (SELECT m.*, t.skill_id, exam_score >= 70 AND row_number() OVER (PARTITION BY m.employee_id, t.skill_id, c.difficulty, exam_score >= 70 ORDER BY record_id) = 1 AS raises FROM marked m JOIN course c USING (course_id) JOIN teaches t USING (course_id)),
@@ -30,23 +31,13 @@ steps AS (SELECT *, least(4, base + coalesce(sum(raises::INT) OVER (w ROWS BETWE
 """
 
 
-def query(sql: str | None = None, courses: bool = False):
-    """Registers a query; its SQL may use the views and PARTS.
-
-    courses: its work depends on the catalogue. With SQL, which keeps about 200 courses, whole_<name> is the same query
-    over the whole catalogue; without SQL the query itself takes the whole catalogue.
-    """
+def query(sql: str | None = None):
+    """Registers a query; its SQL may use the views and PARTS."""
 
     def register(f):
-        def add(name: str, views: dict[str, str]) -> None:
-            QUERIES[name] = lambda spark, sf_dir: f(Domain(spark, sf_dir, views))
-            if sql:
-                ORACLE_SQL[name] = f"WITH RECURSIVE {duckdb_views(views)},{PARTS}{sql}"
-
-        if sql or not courses:
-            add(f.__name__, VIEWS)
-        if courses:
-            add(f"whole_{f.__name__}" if sql else f.__name__, WHOLE_VIEWS)
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Domain(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {duckdb_views()},{PARTS}{sql}"
         return f
 
     return register
@@ -71,7 +62,7 @@ def gap_list(d: Domain) -> DataFrame:
 
 @query("SELECT employee_id, missing_count, total_gap, weighted_total_gap, readiness FROM ready")
 def gap_readiness(d: Domain) -> DataFrame:
-    return gap.readiness(requirements(d))
+    return gap.readiness(d["employee"], requirements(d))
 
 
 @query("SELECT employee_id, skill_id, current_level, required_level, importance FROM req WHERE current_level >= required_level")
@@ -79,7 +70,7 @@ def gap_met(d: Domain) -> DataFrame:
     return gap.met(requirements(d))
 
 
-@query("SELECT h.employee_id, h.skill_id, h.level FROM has_skill h JOIN employee e USING (employee_id) WHERE NOT EXISTS (FROM requires r WHERE r.position_id = e.target_position_id AND r.skill_id = h.skill_id AND r.required_level > 0)")
+@query("SELECT h.employee_id, h.skill_id, h.level FROM has_skill h JOIN employee e USING (employee_id) WHERE NOT EXISTS (FROM requires r WHERE r.position_id = e.target_position_id AND r.skill_id = h.skill_id)")
 def gap_extra(d: Domain) -> DataFrame:
     return gap.extra(d["employee"], d["requires"], d["has_skill"])
 
@@ -89,17 +80,17 @@ def skill_status(d: Domain) -> DataFrame:
     return requirements(d).select("employee_id", "skill_id", gap.status(F.col("current_level"), F.col("required_level")).alias("status"), gap.summary_label(F.col("importance"), F.col("required_level"), F.col("current_level")).alias("label"))
 
 
-@query("SELECT employee_id, course_id FROM found", courses=True)
+@query("SELECT employee_id, course_id FROM found")
 def candidate_recall(d: Domain) -> DataFrame:
     return found(d)
 
 
-@query("SELECT g.employee_id, g.skill_id FROM gaps g WHERE NOT EXISTS (FROM found f JOIN teaches t USING (course_id) WHERE f.employee_id = g.employee_id AND t.skill_id = g.skill_id)", courses=True)
+@query("SELECT g.employee_id, g.skill_id FROM gaps g WHERE NOT EXISTS (FROM found f JOIN teaches t USING (course_id) WHERE f.employee_id = g.employee_id AND t.skill_id = g.skill_id)")
 def candidate_uncovered(d: Domain) -> DataFrame:
     return recall.uncovered(gaps(d), found(d), d["teaches"])
 
 
-@query("SELECT DISTINCT f.employee_id, p.prerequisite_id AS course_id FROM found f JOIN prerequisite p USING (course_id) WHERE (f.employee_id, p.prerequisite_id) NOT IN (SELECT employee_id, course_id FROM found)", courses=True)
+@query("SELECT DISTINCT f.employee_id, p.prerequisite_id AS course_id FROM found f JOIN prerequisite p USING (course_id) WHERE (f.employee_id, p.prerequisite_id) NOT IN (SELECT employee_id, course_id FROM found)")
 def prereq_context(d: Domain) -> DataFrame:
     return recall.context(found(d), d["prerequisite"])
 
@@ -114,12 +105,13 @@ scored AS (SELECT employee_id, course_id, round(g, 6) AS gap_coverage, round(i,
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY total DESC, course_id) AS rank FROM scored) WHERE rank <= 5"""
 
 
-@query(RANKED, courses=True)
+@query(RANKED)
 def course_ranking_topk(d: Domain) -> DataFrame:
-    return recall.ranked(gaps(d), materialise(found(d), "candidates"), d["course"], d["teaches"], d["prerequisite"], d["has_skill"], top_k=5)
+    d.written("has_skill")
+    return recall.ranked(materialise(gaps(d), "gaps"), materialise(found(d), "candidates"), d["course"], d["teaches"], d["prerequisite"], d["has_skill"], top_k=5)
 
 
-@query("SELECT course_id, ancestor_id, max(depth) AS depth FROM chain GROUP BY ALL", courses=True)
+@query("SELECT course_id, ancestor_id, max(depth) AS depth FROM chain GROUP BY ALL")
 def prereq_chain(d: Domain) -> DataFrame:
     return graph.chains(materialise(d["prerequisite"], "prerequisites"))
 
@@ -142,43 +134,109 @@ def expanded(d: Domain) -> DataFrame:
     return graph.expanded(roots, d["prerequisite"], materialise(blocked(d, roots), "blocked"))
 
 
-@query(PRUNED, courses=True)
+@query(PRUNED)
 def prune_expand(d: Domain) -> DataFrame:
     return expanded(d)
 
 
 def ordered(d: Domain) -> DataFrame:
     kept = materialise(expanded(d).where("kept").select("employee_id", "course_id"), "kept")
-    priority = kept.join(d["teaches"], "course_id").join(gaps(d).select("employee_id", "skill_id", "weighted_gap"), ["employee_id", "skill_id"]).groupBy("employee_id", "course_id").agg(F.sum("weighted_gap").alias("priority"))
-    return graph.topological(kept, d["prerequisite"], priority)
+    return graph.topological(kept, d["prerequisite"], graph.with_priority(kept, d["teaches"], gaps(d)))
+
+
+ORDERED = PRUNED[: PRUNED.index("SELECT DISTINCT employee_id, course_id, kept FROM walk")] + """, kept AS (SELECT DISTINCT employee_id, course_id FROM walk WHERE kept),
+weights AS (SELECT k.employee_id, k.course_id, coalesce(sum(g.weighted_gap), 0) AS priority FROM kept k LEFT JOIN teaches t USING (course_id) LEFT JOIN gaps g ON g.employee_id = k.employee_id AND g.skill_id = t.skill_id GROUP BY ALL),
+needs AS (SELECT w.employee_id, w.course_id, w.priority, coalesce(list(k.course_id) FILTER (k.course_id IS NOT NULL), []) AS before FROM weights w LEFT JOIN prerequisite p USING (course_id) LEFT JOIN kept k ON k.employee_id = w.employee_id AND k.course_id = p.prerequisite_id GROUP BY ALL),
+took(employee_id, position, done) AS (SELECT DISTINCT employee_id, 0, []::BIGINT[] FROM kept
+  UNION ALL SELECT t.employee_id, t.position + 1, list_append(any_value(t.done), arg_min(n.course_id, {'p': -n.priority, 'c': n.course_id})) FROM took t JOIN needs n ON n.employee_id = t.employee_id WHERE NOT list_contains(t.done, n.course_id) AND list_has_all(t.done, n.before) GROUP BY t.employee_id, t.position),
+sorted AS (SELECT employee_id, done[-1] AS course_id, position::INT AS position FROM took WHERE position > 0)
+"""
 
 
-@query(courses=True)
+@query(ORDERED + "SELECT employee_id, course_id, position FROM sorted")
 def topo_order(d: Domain) -> DataFrame:
     return ordered(d)
 
 
-@query(courses=True)
+@query(ORDERED + "SELECT employee_id, course_id, priority FROM weights")
+def course_priority(d: Domain) -> DataFrame:
+    kept = materialise(expanded(d).where("kept").select("employee_id", "course_id"), "kept")
+    return graph.with_priority(kept, d["teaches"], gaps(d))
+
+
+PACKED = ORDERED + """, packed(employee_id, position, course_id, minutes, first_week, parts, week, used) AS (SELECT employee_id, 0, NULL::BIGINT, 0.0::DOUBLE, 1, 0, 1, 0.0::DOUBLE FROM (SELECT DISTINCT employee_id FROM sorted)
+  UNION ALL SELECT employee_id, position, course_id, minutes, first_week, parts, first_week + parts - 1, CASE WHEN parts > 1 THEN minutes - (parts - 1) * 240 WHEN first_week > week THEN minutes ELSE used + minutes END FROM
+    (SELECT p.employee_id, s.position, s.course_id, c.duration_minutes::DOUBLE AS minutes, p.week, p.used, CASE WHEN p.used > 1e-9 AND p.used + c.duration_minutes > 240 + 1e-9 THEN p.week + 1 ELSE p.week END AS first_week, greatest(1, ceil((c.duration_minutes - 1e-9) / 240))::INT AS parts FROM packed p JOIN sorted s ON s.employee_id = p.employee_id AND s.position = p.position + 1 JOIN course c ON c.course_id = s.course_id)),
+plan AS (SELECT employee_id, (first_week + k)::INT AS week, position::INT AS position, course_id, least(240, minutes - k * 240)::DOUBLE AS minutes, k > 0 AS continued FROM (SELECT *, unnest(range(parts)) AS k FROM packed WHERE position > 0))
+"""
+
+
+@query(PACKED + "SELECT * FROM plan")
 def week_plan(d: Domain) -> DataFrame:
     return graph.packed(ordered(d).join(d["course"].select("course_id", "duration_minutes"), "course_id"), hours_per_week=4)
 
 
-@query(courses=True)
+@query(PACKED + "SELECT employee_id, count(DISTINCT course_id) AS course_count, max(week) AS planned_weeks, sum(minutes) AS total_minutes, max(week) <= 8 AS fits_deadline FROM plan GROUP BY employee_id")
 def path_totals(d: Domain) -> DataFrame:
     return graph.path_totals(week_plan(d), deadline_weeks=8)
 
 
-@query("SELECT 'prerequisite without course' AS kind, p.prerequisite_id::VARCHAR AS id, count(*) AS n FROM prerequisite p ANTI JOIN course c ON c.course_id = p.prerequisite_id GROUP BY ALL UNION ALL SELECT 'taught skill unknown', skill_id, count(*) FROM teaches ANTI JOIN skill USING (skill_id) GROUP BY ALL", courses=True)
+@query("""SELECT 'prerequisite without course' AS kind, p.prerequisite_id::VARCHAR AS id, count(*) AS n FROM prerequisite p ANTI JOIN course c ON c.course_id = p.prerequisite_id GROUP BY ALL
+UNION ALL SELECT 'taught skill unknown', skill_id, count(*) FROM teaches ANTI JOIN skill USING (skill_id) GROUP BY ALL
+UNION ALL SELECT 'required skill never taught', skill_id, count(*) FROM requires ANTI JOIN teaches USING (skill_id) GROUP BY ALL
+UNION ALL SELECT 'record of an unknown course', course_id::VARCHAR, count(*) FROM training_record ANTI JOIN course USING (course_id) GROUP BY ALL
+UNION ALL SELECT 'record of an unknown employee', employee_id::VARCHAR, count(*) FROM training_record ANTI JOIN employee USING (employee_id) GROUP BY ALL""")
 def integrity_errors(d: Domain) -> DataFrame:
-    return graph.dangling(d["prerequisite"], "prerequisite_id", d["course"], "course_id", "prerequisite without course").unionAll(graph.dangling(d["teaches"], "skill_id", d["skill"], "skill_id", "taught skill unknown"))
+    checks = [
+        (d["prerequisite"], "prerequisite_id", d["course"], "course_id", "prerequisite without course"),
+        (d["teaches"], "skill_id", d["skill"], "skill_id", "taught skill unknown"),
+        (d["requires"], "skill_id", d["teaches"], "skill_id", "required skill never taught"),
+        (d["training_record"], "course_id", d["course"], "course_id", "record of an unknown course"),
+        (d["training_record"], "employee_id", d["employee"], "employee_id", "record of an unknown employee"),
+    ]
+    return reduce(DataFrame.unionAll, [graph.dangling(*c) for c in checks])
+
 
+REACHED = ", reached(course_id, node) AS (SELECT course_id, prerequisite_id FROM draft_prerequisite UNION SELECT r.course_id, p.prerequisite_id FROM reached r JOIN draft_prerequisite p ON p.course_id = r.node)"
 
-@query("SELECT course_id FROM prerequisite WHERE course_id = prerequisite_id", courses=True)
+
+@query(REACHED + " SELECT course_id FROM reached WHERE course_id = node")
 def dag_check(d: Domain) -> DataFrame:
-    return graph.on_cycles(d["prerequisite"])
+    return graph.on_cycles(d["draft_prerequisite"])
+
+
+CYCLES = """, walk(course_id, node, path) AS (SELECT course_id, prerequisite_id, [course_id, prerequisite_id] FROM draft_prerequisite WHERE prerequisite_id >= course_id
+  UNION ALL SELECT w.course_id, p.prerequisite_id, list_append(path, p.prerequisite_id) FROM walk w JOIN draft_prerequisite p ON p.course_id = w.node WHERE w.node <> w.course_id AND p.prerequisite_id >= w.course_id AND NOT list_contains(path[2:], p.prerequisite_id))
+SELECT course_id, arg_min(path, {'n': len(path), 'path': path}) AS path FROM walk WHERE course_id = node GROUP BY course_id"""
+
+
+@query(CYCLES)
+def cycle_path(d: Domain) -> DataFrame:
+    return graph.cycle_paths(d["draft_prerequisite"])
+
+
+CLOSED = """, closed(course_id) AS (SELECT DISTINCT course_id FROM training_record JOIN course USING (course_id) WHERE exam_score < 70 UNION SELECT p.prerequisite_id FROM closed c JOIN prerequisite p USING (course_id))
+SELECT course_id, coalesce((SELECT list_sort(list(skill_id)) FROM teaches t WHERE t.course_id = c.course_id), []) AS skills, coalesce((SELECT list_sort(list(prerequisite_id)) FROM prerequisite p WHERE p.course_id = c.course_id), []) AS prerequisites FROM closed c"""
+
+
+@query(CLOSED)
+def course_closure(d: Domain) -> DataFrame:
+    roots = d["training_record"].where("exam_score < 70").join(d["course"], "course_id", "left_semi")
+    return graph.with_lists(graph.closure(roots, d["prerequisite"]), d["teaches"], d["prerequisite"])
+
+
+@query("""SELECT course_id, count(*) AS n, sum(duration_minutes) AS total_minutes, list(ancestor_id ORDER BY depth DESC, name, ancestor_id) AS chain, list_sort(list(ancestor_id) FILTER (direct)) AS direct
+FROM (SELECT d.course_id, d.ancestor_id, d.depth, c.name, c.duration_minutes, (d.course_id, d.ancestor_id) IN (SELECT course_id, prerequisite_id FROM prerequisite) AS direct FROM (SELECT course_id, ancestor_id, max(depth) AS depth FROM chain GROUP BY ALL) d JOIN course c ON c.course_id = d.ancestor_id) GROUP BY course_id""")
+def chain_summary(d: Domain) -> DataFrame:
+    deep = graph.chains(materialise(d["prerequisite"], "prerequisites"))
+    about = d["course"].select(F.col("course_id").alias("ancestor_id"), "name", "duration_minutes")
+    direct = d["prerequisite"].select("course_id", F.col("prerequisite_id").alias("ancestor_id"), F.lit(True).alias("direct"))
+    rows = deep.join(about, "ancestor_id").join(direct, ["course_id", "ancestor_id"], "left")
+    chain = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "name", "ancestor_id")))
+    return rows.groupBy("course_id").agg(F.count("*").alias("n"), F.sum("duration_minutes").alias("total_minutes"), chain.alias("all"), F.array_sort(F.collect_list(F.when(F.col("direct"), F.col("ancestor_id")))).alias("direct")).select("course_id", "n", "total_minutes", F.col("all.ancestor_id").alias("chain"), "direct")
 
 
-@query("SELECT 'skill' AS label, count(*) AS n FROM skill UNION ALL SELECT 'course', count(*) FROM course UNION ALL SELECT 'employee', count(*) FROM employee UNION ALL SELECT 'requires', count(*) FROM requires UNION ALL SELECT 'teaches', count(*) FROM teaches UNION ALL SELECT 'prerequisite', count(*) FROM prerequisite UNION ALL SELECT 'has_skill', count(*) FROM has_skill", courses=True)
+@query("SELECT 'skill' AS label, count(*) AS n FROM skill UNION ALL SELECT 'course', count(*) FROM course UNION ALL SELECT 'employee', count(*) FROM employee UNION ALL SELECT 'requires', count(*) FROM requires UNION ALL SELECT 'teaches', count(*) FROM teaches UNION ALL SELECT 'prerequisite', count(*) FROM prerequisite UNION ALL SELECT 'has_skill', count(*) FROM has_skill")
 def edge_counts(d: Domain) -> DataFrame:
     return graph.counts({k: d[k] for k in ("skill", "course", "employee", "requires", "teaches", "prerequisite", "has_skill")})
 
@@ -187,22 +245,22 @@ def replayed(d: Domain) -> DataFrame:
     return replay.steps(d["training_record"], d["course"], d["teaches"], d["has_skill"])
 
 
-@query("SELECT employee_id, record_id, course_id, skill_id, exam_score, passed_before, raises, from_level::INT AS from_level, to_level::INT AS to_level, flagged_before, flagged FROM steps", courses=True)
+@query("SELECT employee_id, record_id, course_id, skill_id, exam_score, passed_before, raises, from_level::INT AS from_level, to_level::INT AS to_level, flagged_before, flagged FROM steps")
 def replay_steps(d: Domain) -> DataFrame:
     return replayed(d)
 
 
-@query("SELECT employee_id, record_id, course_id, skill_id, from_level::INT AS from_level, to_level::INT AS to_level, kind FROM (SELECT *, CASE WHEN exam_score < 70 AND NOT passed_before THEN 'failed' WHEN raises THEN 'raised' WHEN NOT raises AND exam_score >= 85 AND flagged_before THEN 'cleared' END AS kind FROM steps) WHERE kind IS NOT NULL", courses=True)
+@query("SELECT employee_id, record_id, course_id, skill_id, from_level::INT AS from_level, to_level::INT AS to_level, kind FROM (SELECT *, CASE WHEN exam_score < 70 AND NOT passed_before THEN 'failed' WHEN raises THEN 'raised' WHEN NOT raises AND exam_score >= 85 AND flagged_before THEN 'cleared' END AS kind FROM steps) WHERE kind IS NOT NULL")
 def replay_changes(d: Domain) -> DataFrame:
     return replay.changes(replayed(d))
 
 
-@query(", fin AS (SELECT employee_id, skill_id, max_by(to_level, record_id) AS l, max_by(flagged, record_id) AS f FROM steps GROUP BY ALL) SELECT employee_id, skill_id, coalesce(l, level)::INT AS level, coalesce(f, false) AS flagged FROM has_skill FULL JOIN fin USING (employee_id, skill_id)", courses=True)
+@query(", fin AS (SELECT employee_id, skill_id, max_by(to_level, record_id) AS l, max_by(flagged, record_id) AS f FROM steps GROUP BY ALL) SELECT employee_id, skill_id, coalesce(l, level)::INT AS level, coalesce(f, false) AS flagged FROM has_skill FULL JOIN fin USING (employee_id, skill_id)")
 def replay_profile(d: Domain) -> DataFrame:
     return replay.profile(replayed(d), d["has_skill"])
 
 
-@query(", todo AS (SELECT t.record_id, p.prerequisite_id FROM training_record t JOIN prerequisite p USING (course_id) WHERE exam_score < 70 AND (t.employee_id, p.prerequisite_id) NOT IN (SELECT employee_id, course_id FROM passed)) SELECT record_id, employee_id, course_id, coalesce(prerequisite_id, course_id) AS suggested_id, prerequisite_id IS NULL AS is_retake FROM training_record LEFT JOIN todo USING (record_id) WHERE exam_score < 70", courses=True)
+@query(", todo AS (SELECT t.record_id, p.prerequisite_id FROM training_record t JOIN prerequisite p USING (course_id) WHERE exam_score < 70 AND (t.employee_id, p.prerequisite_id) NOT IN (SELECT employee_id, course_id FROM passed)) SELECT record_id, employee_id, course_id, coalesce(prerequisite_id, course_id) AS suggested_id, prerequisite_id IS NULL AS is_retake FROM training_record LEFT JOIN todo USING (record_id) WHERE exam_score < 70")
 def remediation(d: Domain) -> DataFrame:
     return replay.remediation(d["training_record"], d["prerequisite"])
 
@@ -214,7 +272,7 @@ def team_gaps(d: Domain) -> DataFrame:
 
 @query("SELECT department, CASE WHEN readiness >= 0.8 THEN 'ready' WHEN readiness >= 0.5 THEN 'close' ELSE 'far' END AS bucket, count(*) AS n, round(avg(readiness), 6) AS avg_readiness FROM ready JOIN employee USING (employee_id) GROUP BY ALL")
 def team_buckets(d: Domain) -> DataFrame:
-    return team.buckets(gap.readiness(requirements(d)), d["employee"])
+    return team.buckets(gap.readiness(d["employee"], requirements(d)), d["employee"])
 
 
 @query("SELECT e.employee_id, count(*) FILTER (exam_score >= 70) AS completions, count(DISTINCT course_id) FILTER (exam_score >= 70) AS courses, round(avg((exam_score >= 70)::INT), 6) AS pass_rate, round_even(avg(exam_score), 1) AS mean_score FROM employee e LEFT JOIN training_record USING (employee_id) GROUP BY ALL")
@@ -227,12 +285,12 @@ def recent_records(d: Domain) -> DataFrame:
     return team.recent(d["training_record"], each=3)
 
 
-@query("SELECT employee_id, skill_id, score, CASE WHEN score >= 85 THEN 'solid' WHEN score >= 70 THEN 'consolidate' ELSE 'fail' END AS verdict FROM (SELECT employee_id, skill_id, exam_score AS score, row_number() OVER (PARTITION BY employee_id, skill_id ORDER BY completed_at DESC, record_id DESC) AS n FROM training_record JOIN teaches USING (course_id)) WHERE n = 1", courses=True)
+@query("SELECT employee_id, skill_id, score, CASE WHEN score >= 85 THEN 'solid' WHEN score >= 70 THEN 'consolidate' ELSE 'fail' END AS verdict FROM (SELECT employee_id, skill_id, exam_score AS score, row_number() OVER (PARTITION BY employee_id, skill_id ORDER BY completed_at DESC, record_id DESC) AS n FROM training_record JOIN teaches USING (course_id)) WHERE n = 1")
 def latest_assessment(d: Domain) -> DataFrame:
     return team.latest_assessment(d["training_record"], d["teaches"])
 
 
-@query("SELECT skill_id, count(*) AS attempts, round(avg(exam_score), 6) AS mean_score, round(avg((exam_score >= 70)::INT), 6) AS pass_rate FROM training_record JOIN teaches USING (course_id) GROUP BY ALL", courses=True)
+@query("SELECT skill_id, count(*) AS attempts, round(avg(exam_score), 6) AS mean_score, round(avg((exam_score >= 70)::INT), 6) AS pass_rate FROM training_record JOIN teaches USING (course_id) GROUP BY ALL")
 def assessment_stats(d: Domain) -> DataFrame:
     return team.assessment_stats(d["training_record"], d["teaches"])
 
@@ -330,7 +388,7 @@ def intent_parse(d: Domain) -> DataFrame:
 PLANS = ", b AS (SELECT g.employee_id, t.course_id FROM gaps g JOIN teaches t USING (skill_id) GROUP BY ALL) SELECT coalesce(b.employee_id, f.employee_id) AS employee_id, coalesce(b.course_id, f.course_id) AS course_id, CASE WHEN f.course_id IS NULL THEN 'removed' ELSE 'added' END AS change FROM b FULL JOIN found f USING (employee_id, course_id) WHERE b.course_id IS NULL OR f.course_id IS NULL"
 
 
-@query(PLANS, courses=True)
+@query(PLANS)
 def plan_diff(d: Domain) -> DataFrame:
     before, after = recall.candidates(gaps(d), d["teaches"]), found(d)
     removed, added = before.join(after, ["employee_id", "course_id"], "left_anti"), after.join(before, ["employee_id", "course_id"], "left_anti")

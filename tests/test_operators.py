@@ -8,7 +8,7 @@ from gapweave.functions import text as T
 from gapweave.functions.vector import cosine
 from gapweave.operators import graph, replay, retrieval
 from gapweave.plans import skills
-from gapweave.sources.views import WHOLE_VIEWS, Domain
+from gapweave.sources.views import Domain
 from gapweave.streaming import replay as stream
 
 SF = "/root/testdata/sf0.001"
@@ -28,7 +28,10 @@ def test_order_and_cycles(spark):
     got = [r.course_id for r in graph.topological(kept, edges, priority).orderBy("position").collect()]
     assert got == [4, 2, 3, 1]
     loop = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "course_id long, prerequisite_id long")
-    assert {r.course_id for r in graph.on_cycles(loop).collect()} == {1, 2, 3}
+    assert {r.course_id for r in graph.on_cycles(loop).collect()} == {1, 2}
+    more = loop.unionAll(spark.createDataFrame([(4, 4), (5, 6), (6, 7), (7, 5), (7, 8), (9, 5)], loop.schema))
+    assert {r.course_id for r in graph.on_cycles(more).collect()} == {1, 2, 4, 5, 6, 7}
+    assert {r.course_id: r.path for r in graph.cycle_paths(more).collect()} == {1: [1, 2, 1], 4: [4, 4], 5: [5, 6, 7, 5]}
     with pytest.raises(Exception, match="wait for each other"):
         graph.topological(kept, loop, priority).collect()
 
@@ -84,18 +87,17 @@ def test_every_vector_gets_neighbours(spark):
 
 def test_course_queries_reach_the_whole_catalogue(spark):
     sf = "/root/testdata/sf0.01"
-    parts = {r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
-    whole = Domain(spark, sf, WHOLE_VIEWS)
+    d = Domain(spark, sf)
+    all_courses = {r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()}
     for name in ("course", "teaches"):
-        assert {r[0] for r in whole[name].select("course_id").distinct().collect()} == parts, name
-    recorded = {r[0] for r in whole["training_record"].select("course_id").distinct().collect()}
-    assert recorded <= parts and len(recorded) > 0.95 * len(parts)
-    assert max(r[0] for r in skills.QUERIES["whole_prereq_chain"](spark, sf).select("course_id").collect()) > 1900
-    found = skills.QUERIES["whole_candidate_recall"](spark, sf)
-    recalled = {r[0] for r in found.select("course_id").distinct().collect()}
-    assert recalled <= parts and len(recalled) > 0.5 * len(parts)
-    order = skills.QUERIES["topo_order"](spark, SF)
-    assert order.count() == skills.QUERIES["whole_prune_expand"](spark, SF).where("kept").count()
+        assert {r[0] for r in d[name].select("course_id").distinct().collect()} == all_courses, name
+    recorded = {r[0] for r in d["training_record"].select("course_id").distinct().collect()}
+    assert recorded > all_courses and len(recorded) == len(all_courses) + 2
+    assert max(r[0] for r in skills.QUERIES["prereq_chain"](spark, sf).select("course_id").collect()) >= 95
+    recalled = {r[0] for r in skills.QUERIES["candidate_recall"](spark, sf).select("course_id").distinct().collect()}
+    lacking = {r[0] for r in skills.QUERIES["gap_list"](spark, sf).select("skill_id").distinct().collect()}
+    assert recalled == {r.course_id for r in d["teaches"].collect() if r.skill_id in lacking} and len(recalled) > 0.5 * len(all_courses)
+    assert skills.QUERIES["topo_order"](spark, SF).count() == skills.QUERIES["prune_expand"](spark, SF).where("kept").count()
 
 
 def test_chains_carry_pairs(spark):
