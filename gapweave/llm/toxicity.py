@@ -79,7 +79,9 @@ class Model:
         padded = np.full(int(ends[-1]) if len(per) else 0, len(table), np.int64)
         at = np.repeat(starts - (np.cumsum(per) - per), per) + np.arange(len(rows))
         padded[at] = rows
-        values = np.vstack((table[:, : sum(WIDTHS) * FILTERS], np.zeros((1, sum(WIDTHS) * FILTERS), np.float32)))[padded]
+        outside = padded == len(table)
+        values = np.zeros((len(padded), sum(WIDTHS) * FILTERS), np.float32)
+        values[~outside] = table[padded[~outside], : sum(WIDTHS) * FILTERS]
         pools, places, column = [], [], 0
         for w, offset in zip(WIDTHS, self.offsets, strict=True):
             conv = values[:, column : column + FILTERS].copy()
@@ -283,12 +285,12 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
 
 
 def word_memo(model: Model) -> TableMemo:
-    return TableMemo(model.word_table, model.table_width, 100_000)
+    return TableMemo(model.word_table, model.table_width, 60_000)
 
 
 def logits_of(model: Model, memo: TableMemo, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for block in blocks(texts, 1_000_000):
+    for block in blocks(texts, 300_000):
         words, codes, per = split_words(block)
         rows = memo.rows(words)[codes]
         out.append(model.logits(rows, memo.table, per))
