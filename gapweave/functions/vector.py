@@ -19,8 +19,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def lexical_features(text: Column) -> Column:
-    """Distinct words with weight 2 and character 2- and 3-grams of each word with weight 1, as structs."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    """Words between blanks with weight 2 and character 2- and 3-grams of each word with weight 1, as structs."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
     grams = lambda n: F.flatten(F.transform(F.filter(words, lambda w: F.char_length(w) >= n), lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - (n - 1)), lambda i: F.substring(w, i, n))))
     weigh = lambda a, x: F.transform(a, lambda t: F.struct(t.alias("token"), F.lit(x).alias("weight")))
     return F.concat(weigh(words, 2.0), weigh(grams(2), 1.0), weigh(grams(3), 1.0))

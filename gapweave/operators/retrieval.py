@@ -1,4 +1,9 @@
-"""Retrieval of documents: hashed lexical vectors, top-k by cosine, re-ranking, tags and names."""
+"""Retrieval of documents: hashed lexical vectors, top-k by cosine, re-ranking, tags and names.
+
+Rows with a null key or text take no part in searches; empty texts have the zero vector and score 0. Repeated keys are
+hits of their own. Ties go to the smaller key. Queries with fewer documents than k get all. Empty tables give empty
+results. Other columns are not read. Query sets are worked off in blocks, every document is read once for each block.
+"""
 
 from __future__ import annotations
 
@@ -14,23 +19,93 @@ from gapweave.sources.scratch import materialise
 
 #: Share of the vector score in a fused score; the rest is token coverage.
 VECTOR_SHARE = 0.6
-#: Queries of a block of a vector search, about.
-QUERY_BLOCK_ROWS = 10_000
+#: Dimensions of lexical vectors.
+DIMS = 512
+#: Queries of a block of a vector search and of a lexical search, about.
+QUERY_BLOCK_ROWS, LEXICAL_BLOCK_ROWS = 10_000, 1_000
+#: Hits that re-ranking chooses from, as a multiple of those that stay.
+POOL = 3
 
 
-def lexical_vectors(texts: DataFrame, key: str, text: str, dims: int = 512) -> DataFrame:
+def lexical_vectors(texts: DataFrame, key: str, text: str, dims: int = DIMS) -> DataFrame:
     """key, dim and value of the normalised sparse vector of every text."""
     each = texts.select(key, F.explode(lexical_features(F.col(text))).alias("f"))
-    sums = each.groupBy(key, hashed_bucket(F.col("f.token"), dims).alias("dim")).agg(F.sum(F.col("f.weight") * hashed_sign(F.col("f.token"))).alias("raw")).where("raw <> 0")
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return sums.join(norms, key).select(key, "dim", (F.col("raw") / F.col("norm")).alias("value"))
+    sums = each.groupBy(key, hashed_bucket(F.col("f.token"), dims).alias("dim")).agg(F.sum(F.col("f.weight") * hashed_sign(F.col("f.token"))).alias("raw_sum")).where("raw_sum <> 0")
+    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("raw_sum") * F.col("raw_sum"))).alias("vector_norm"))
+    return sums.join(norms, key).select(key, "dim", (F.col("raw_sum") / F.col("vector_norm")).alias("value"))
+
+
+def lexical_encoder(dims: int = DIMS):
+    """A function from texts to the rows of their lexical vectors, the ones of lexical_vectors(); it remembers words."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    words: dict[str, tuple[list[int], list[float]]] = {}
+
+    def features(word: str) -> tuple[list[int], list[float]]:
+        at, by = [], []
+        for token, weight in [(word, 2.0), *((word[i : i + n], 1.0) for n in (2, 3) for i in range(len(word) - n + 1))]:
+            digest = hashlib.md5(token.encode("utf-8", "replace")).digest()
+            at.append(int.from_bytes(digest[:4], "big") % dims)
+            by.append(weight if digest[4] & 1 else -weight)
+        return at, by
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dims))
+        for row, text in zip(out, texts, strict=True):
+            at, by = [], []
+            for word in re.split(r"[ \t\n\x0b\f\r]+", text.lower()):
+                if word:
+                    if (found := words.get(word)) is None:
+                        if len(words) >= 50_000:
+                            words.clear()
+                        found = words[word] = features(word)
+                    at += found[0]
+                    by += found[1]
+            row += np.bincount(np.array(at, np.int64), by, dims)
+        size = np.sqrt((out * out).sum(axis=1))[:, None]
+        return np.divide(out, size, out=out, where=size > 0)
+
+    return encode
+
+
+def lexical_search(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, doc_key: str, doc_text: str, k: int, block_rows: int = LEXICAL_BLOCK_ROWS) -> DataFrame:
+    """The k documents of largest cosine of lexical vectors for each query, with score and rank.
+
+    A block's queries (their texts, block_rows of them) go to the tasks, which encode the documents and return k rows for
+    each query and batch of documents.
+    """
+    q = queries.where(F.col(query_key).isNotNull() & F.col(query_text).isNotNull()).select(F.col(query_key).alias("q"), F.col(query_text).alias("t"))
+    d = docs.where(F.col(doc_key).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_key).alias(doc_key), F.col(doc_text).alias("gw_text"))
+    n = max(1, ceil(q.count() / block_rows))
+    block = F.pmod(F.xxhash64(F.lit("block"), F.col("q")), F.lit(n))
+    found = [top(lexical_block(q.where(block == b), query_key, d, doc_key, k), query_key, doc_key, k) for b in range(n)]
+    return found[0] if n == 1 else reduce(DataFrame.unionAll, [materialise(x, "lexical-hits") for x in found])
 
 
-def lexical_top(queries: DataFrame, query_key: str, docs: DataFrame, doc_key: str, k: int) -> DataFrame:
-    """The k documents of largest inner product of sparse vectors for each query, joined by dimension."""
-    q = queries.select(query_key, "dim", F.col("value").alias("q_value"))
-    scores = docs.join(F.broadcast(q) if queries.count() <= 200_000 else q, "dim").groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("value") * F.col("q_value")), 6).alias("score"))
-    return top(scores, query_key, doc_key, k)
+def lexical_block(queries: DataFrame, query_key: str, docs: DataFrame, doc_key: str, k: int) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    rows = queries.toArrow()
+    kinds = dict(queries.dtypes)["q"], dict(docs.dtypes)[doc_key]
+    matrix = lexical_encoder()(rows.column("t").to_pylist())
+
+    def run(batches):
+        encode = lexical_encoder()
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                part = batch.slice(a, 500)
+                part = part.take(pa.compute.sort_indices(part.column(0)))
+                scores = np.rint(matrix @ encode(part.column(1).to_pylist()).T * 1e6)
+                # Larger scores first, then smaller keys, as one number.
+                order = np.argsort(-(scores * len(part) - np.arange(len(part))), axis=1)[:, :k]
+                row, col = np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
+                yield pa.RecordBatch.from_arrays([rows.column("q").combine_chunks().take(pa.array(row)), part.column(0).take(pa.array(col)), pa.array(scores[row, col] / 1e6)], names=[query_key, doc_key, "score"])
+
+    return docs.mapInArrow(run, f"`{query_key}` {kinds[0]}, `{doc_key}` {kinds[1]}, score double")
 
 
 def top(scores: DataFrame, query_key: str, doc_key: str, k: int) -> DataFrame:
@@ -114,18 +189,39 @@ def tagged(docs: DataFrame, key: str, text: str, names: dict[str, list[str]]) ->
     return docs.select(key, F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("tag"))
 
 
-def resolved(keys: DataFrame, items: DataFrame, limit: int = 100_000, threshold: float = 0.6) -> DataFrame:
-    """key and the item that it names: by id, equal name, containment either way, or share of tokens; null without any.
+def resolved(keys: DataFrame, items: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """key and the item that it names, by tier: 1 id, 2 equal name, 3 equal alias, 4 one name within the other, 5 share of
+    tokens that the item's names have (at least `threshold`; then the shorter name). Null without any; ties go to the name
+    and item_id that sort first. Items have item_id, name and perhaps aliases (a list).
 
-    Every key is held against every item, of which there may be `limit` at most; they are broadcast.
+    Only pairs that may match are compared: equal ids or names, a first three characters that the other name has too, or a
+    shared token; each of these is an equi-join.
     """
-    if items.count() > limit:
-        raise ValueError(f"more than {limit} items")
     k = keys.select("key").distinct().withColumns({"k": label(F.col("key")), "kt": name_tokens(F.col("key"))}).where("k <> ''")
-    i = items.select("item_id", "name").withColumns({"n": label(F.col("name")), "nt": name_tokens(F.col("name"))})
+    aliases = F.coalesce(F.col("aliases"), F.array().cast("array<string>")) if "aliases" in items.columns else F.array().cast("array<string>")
+    i = items.select("item_id", "name", F.transform(aliases, label).alias("as"), F.array_distinct(F.flatten(F.concat(F.array(name_tokens(F.col("name"))), F.transform(aliases, name_tokens)))).alias("nt")).withColumn("n", label(F.col("name")))
+    grams = lambda x: F.when(F.char_length(x) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(x) - 2), lambda a: F.substring(x, a, 3)))).otherwise(F.array(x))
+    # Names of under three characters are looked for by each one or two characters of the other.
+    short = lambda x: F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x) - n + 1, F.lit(1))), lambda a, n=n: F.substring(x, a, n)) for n in (1, 2)])))
+    whole = lambda x: F.array_union(grams(x), short(x))
+    start = lambda x: F.substring(x, 1, 3)
+
+    def meet(left: Column, right: Column) -> DataFrame:
+        return k.select("key", left.alias("on")).join(i.select("item_id", "name", right.alias("on")), "on").select("key", "item_id", "name")
+
+    either = [
+        meet(F.trim("key"), F.col("item_id").cast("string")),
+        meet(F.col("k"), F.col("n")),
+        meet(F.col("k"), F.explode("as")),
+        meet(start(F.col("k")), F.explode(whole(F.col("n")))),
+        meet(F.explode(whole(F.col("k"))), start(F.col("n"))),
+        meet(F.explode("kt"), F.explode("nt")),
+    ]
+    pairs = reduce(DataFrame.unionAll, either).distinct().join(k, "key").join(i, ["item_id", "name"])
     share = coverage(F.col("kt"), F.col("nt"))
-    tier = F.when(F.trim("key") == F.col("item_id"), 1).when(F.col("k") == F.col("n"), 2).when(F.contains("n", "k") | F.contains("k", "n"), 4).when(share >= threshold, 5)
-    pairs = k.join(F.broadcast(i)).withColumns({"tier": tier, "share": F.when(tier == 5, share).otherwise(1.0)}).where("tier IS NOT NULL")
+    inside = F.contains("n", "k") | F.contains("k", "n")
+    tier = F.when(F.trim("key") == F.col("item_id"), 1).when(F.col("k") == F.col("n"), 2).when(F.array_contains("as", F.col("k")), 3).when(inside, 4).when(share >= threshold, 5)
+    pairs = pairs.withColumns({"tier": tier, "share": F.when(tier == 5, share).otherwise(1.0)}).where("tier IS NOT NULL")
     shorter = F.when(F.col("tier") == 5, F.char_length("name")).otherwise(0)
     best = pairs.groupBy("key").agg(F.min_by(F.struct("item_id", "tier"), F.struct("tier", -F.col("share"), shorter, "name", "item_id")).alias("b"))
     return keys.select("key").distinct().join(best, "key", "left").select("key", "b.item_id", "b.tier")

@@ -123,15 +123,17 @@ walk(employee_id, course_id, kept) AS (SELECT f.employee_id, f.course_id, (f.emp
 SELECT DISTINCT employee_id, course_id, kept FROM walk"""
 
 
-def blocked(d: Domain, roots: DataFrame) -> DataFrame:
-    """Courses that each employee has passed or mastered, of all that the roots can lead to."""
+def plan(d: Domain, has_skill: DataFrame, passed: DataFrame) -> DataFrame:
+    """employee_id, course_id and kept of what each employee's candidates lead to, given levels and passed courses."""
+    lacking = gap.gaps(gap.requirements(d["employee"], d["requires"], has_skill))
+    roots = materialise(recall.candidates(lacking, d["teaches"], passed), "candidates")
     near = graph.expanded(roots, d["prerequisite"], roots.where("false")).select("employee_id", "course_id")
-    return replay.passed_courses(d["training_record"]).unionAll(graph.mastered(recall.average_levels(near, d["teaches"], d["has_skill"]), d["course"]))
+    blocked = passed.unionAll(graph.mastered(recall.average_levels(near, d["teaches"], has_skill), d["course"]))
+    return graph.expanded(roots, d["prerequisite"], materialise(blocked, "blocked"))
 
 
 def expanded(d: Domain) -> DataFrame:
-    roots = materialise(found(d), "candidates")
-    return graph.expanded(roots, d["prerequisite"], materialise(blocked(d, roots), "blocked"))
+    return plan(d, d.written("has_skill"), replay.passed_courses(d["training_record"]))
 
 
 @query(PRUNED)
@@ -309,16 +311,16 @@ def normalize_text(d: Domain) -> DataFrame:
 
 
 NAMES = rf""", k AS (SELECT DISTINCT p_name AS key, {LABEL.replace('lower(x)', 'lower(p_name)')} AS k, list_distinct([t FOR t IN string_split_regex(lower(p_name), '[^0-9a-z一-鿿]+') IF t <> '']) AS kt FROM part),
-i AS (SELECT p_brand AS item_id, min(p_type) AS name, {LABEL.replace('lower(x)', 'lower(min(p_type))')} AS n, list_distinct([t FOR t IN string_split_regex(lower(min(p_type)), '[^0-9a-z一-鿿]+') IF t <> '']) AS nt FROM part GROUP BY p_brand),
-j AS (SELECT key, item_id, name, CASE WHEN len(kt) > 0 THEN len(list_intersect(kt, nt)) / len(kt) ELSE 0 END AS share, CASE WHEN trim(key) = item_id THEN 1 WHEN k = n THEN 2 WHEN contains(n, k) OR contains(k, n) THEN 4 WHEN (CASE WHEN len(kt) > 0 THEN len(list_intersect(kt, nt)) / len(kt) ELSE 0 END) >= 0.6 THEN 5 END AS tier FROM k CROSS JOIN i),
+i AS (SELECT p_brand AS item_id, min(p_type) AS name, [max(p_name)] AS al, {LABEL.replace('lower(x)', 'lower(min(p_type))')} AS n, list_distinct([t FOR t IN string_split_regex(lower(concat(min(p_type), ' ', max(p_name))), '[^0-9a-z一-鿿]+') IF t <> '']) AS nt FROM part GROUP BY p_brand),
+j AS (SELECT key, item_id, name, CASE WHEN len(kt) > 0 THEN len(list_intersect(kt, nt)) / len(kt) ELSE 0 END AS share, CASE WHEN trim(key) = item_id THEN 1 WHEN k = n THEN 2 WHEN k = {LABEL.replace('lower(x)', 'lower(al[1])')} THEN 3 WHEN contains(n, k) OR contains(k, n) THEN 4 WHEN (CASE WHEN len(kt) > 0 THEN len(list_intersect(kt, nt)) / len(kt) ELSE 0 END) >= 0.5 THEN 5 END AS tier FROM k CROSS JOIN i),
 b AS (SELECT key, item_id, tier, row_number() OVER (PARTITION BY key ORDER BY tier, CASE WHEN tier = 5 THEN -share ELSE -1 END, CASE WHEN tier = 5 THEN length(name) ELSE 0 END, name, item_id) AS n FROM j WHERE tier IS NOT NULL)
 SELECT k.key, b.item_id, b.tier FROM (SELECT DISTINCT key FROM k) k LEFT JOIN b ON b.key = k.key AND b.n = 1"""
 
 
 @query(NAMES)
 def resolve_name(d: Domain) -> DataFrame:
-    items = d["part"].groupBy(F.col("p_brand").alias("item_id")).agg(F.min("p_type").alias("name"))
-    return retrieval.resolved(d["part"].select(F.col("p_name").alias("key")), items)
+    items = d["part"].groupBy(F.col("p_brand").alias("item_id")).agg(F.min("p_type").alias("name"), F.array(F.max("p_name")).alias("aliases"))
+    return retrieval.resolved(d["part"].select(F.col("p_name").alias("key")), items, threshold=0.5)
 
 
 TAGS = {"license": ["license", "licensed"], "mail": ["@"], "table": [" | "], "question": ["?"]}
@@ -329,21 +331,32 @@ def tag_documents(d: Domain) -> DataFrame:
     return retrieval.tagged(d["documents"], "doc_id", "text", TAGS)
 
 
-VECTORS = r""", w AS (SELECT item_id, [x FOR x IN string_split_regex(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM benchmark),
-f AS (SELECT item_id, unnest(w) AS t, 2.0::DOUBLE AS u FROM w UNION ALL SELECT item_id, unnest(flatten([[substr(x, i, 2) FOR i IN range(1, length(x))] FOR x IN w])), 1.0 FROM w UNION ALL SELECT item_id, unnest(flatten([[substr(x, i, 3) FOR i IN range(1, length(x) - 1)] FOR x IN w])), 1.0 FROM w),
-r AS (SELECT item_id, (('0x' || substr(md5(t), 1, 8))::BIGINT % 512)::INT AS dim, sum(u * CASE WHEN ('0x' || substr(md5(t), 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS raw FROM f GROUP BY ALL HAVING raw <> 0),
-v AS (SELECT item_id, dim, raw / sqrt(sum(raw * raw) OVER (PARTITION BY item_id)) AS value FROM r)"""
+def vectors_sql(table: str, key: str) -> str:
+    """Common table expressions of the lexical vectors of a table: {key}_v with key, dim and value."""
+    return rf""", {key}_w AS (SELECT {key}, [x FOR x IN string_split_regex(lower(text), '\s+') IF x <> ''] AS w FROM {table}),
+{key}_t AS (SELECT {key}, x, count(*) AS n FROM (SELECT {key}, unnest(w) AS x FROM {key}_w) GROUP BY ALL),
+{key}_f AS (SELECT {key}, x AS t, 2.0::DOUBLE * n AS u FROM {key}_t UNION ALL SELECT {key}, unnest([substr(x, i, 2) FOR i IN range(1, length(x))]), n FROM {key}_t UNION ALL SELECT {key}, unnest([substr(x, i, 3) FOR i IN range(1, length(x) - 1)]), n FROM {key}_t),
+{key}_r AS (SELECT {key}, (('0x' || substr(md5(t), 1, 8))::BIGINT % 512)::INT AS dim, sum(u * CASE WHEN ('0x' || substr(md5(t), 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS rs FROM {key}_f GROUP BY ALL HAVING rs <> 0),
+{key}_v AS (SELECT {key}, dim, rs / sqrt(sum(rs * rs) OVER (PARTITION BY {key})) AS value FROM {key}_r)"""
 
 
-@query(VECTORS + " SELECT item_id, dim, round(value, 6) AS value FROM v")
+@query(vectors_sql("benchmark", "item_id") + " SELECT item_id, dim, round(value, 6) AS value FROM item_id_v")
 def lexical_vectors(d: Domain) -> DataFrame:
     return retrieval.lexical_vectors(d["benchmark"], "item_id", "text").withColumn("value", F.round("value", 6))
 
 
-@query(VECTORS + ", s AS (SELECT a.item_id AS query_id, b.item_id, round(sum(a.value * b.value), 6) AS score FROM v a JOIN v b USING (dim) GROUP BY ALL) SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 4")
+HITS = vectors_sql("benchmark", "item_id") + vectors_sql("documents", "doc_id") + """, hits AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM
+  (SELECT i.item_id, d.doc_id, coalesce(s.score, 0) AS score FROM benchmark i CROSS JOIN documents d LEFT JOIN (SELECT a.item_id, b.doc_id, round(sum(a.value * b.value), 6) AS score FROM item_id_v a JOIN doc_id_v b USING (dim) GROUP BY ALL) s ON s.item_id = i.item_id AND s.doc_id = d.doc_id))"""
+
+
+def hits(d: Domain, k: int) -> DataFrame:
+    return retrieval.lexical_search(d["benchmark"], "item_id", "text", d["documents"], "doc_id", "text", k)
+
+
+@query(HITS + " SELECT item_id, doc_id, score, rank FROM hits WHERE rank <= 4")
 def lexical_topk(d: Domain) -> DataFrame:
-    vectors = materialise(retrieval.lexical_vectors(d["benchmark"], "item_id", "text"), "lexical-vectors")
-    return retrieval.lexical_top(vectors.withColumnRenamed("item_id", "query_id"), "query_id", vectors, "item_id", 4)
+    """The documents nearest to every benchmark item."""
+    return hits(d, 4)
 
 
 COSINES = """, v AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.v, v.v), 6) AS score FROM v CROSS JOIN v q WHERE q.vec_id < 10 AND q.vec_id <> v.vec_id)
@@ -361,18 +374,23 @@ def vector_neighbours(d: Domain) -> DataFrame:
     return retrieval.vector_top(d["embeddings"], d["embeddings"], "vec_id", "embedding", 4)
 
 
-@query()
-def rerank(d: Domain) -> DataFrame:
-    hits = lexical_topk(d)
-    texts = d["benchmark"]
-    both = hits.join(texts.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "query_id").join(texts.select("item_id", F.col("text").alias("doc_text")), "item_id")
-    return retrieval.reranked(both, "query_text", "doc_text", "query_id", "item_id", 4)
+def tokens_sql(text: str) -> str:
+    """The distinct Latin words and pairs of neighbouring Chinese characters of a text."""
+    chinese = f"regexp_replace({text}, '[^一-鿿]', '', 'g')"
+    return f"list_distinct(list_concat(regexp_extract_all(lower({text}), '[a-z0-9]+'), [substr({chinese}, i, 2) FOR i IN range(1, length({chinese}))]))"
 
 
-@query()
-def chunk_documents(d: Domain) -> DataFrame:
-    each = d["documents"].select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("k", "text"))
-    return each.select("doc_id", F.format_string("%d:%04d", "doc_id", "k").alias("chunk_id"), "text")
+FUSED = HITS + f""", pool AS (SELECT h.item_id, h.doc_id, h.score, {tokens_sql("i.text")} AS q, {tokens_sql("d.text")} AS t FROM hits h JOIN benchmark i USING (item_id) JOIN documents d USING (doc_id) WHERE rank <= 12),
+fused AS (SELECT item_id, doc_id, score, CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END AS share FROM pool)
+SELECT item_id, doc_id, score, round(share, 6) AS lexical, round(0.6::DOUBLE * score + 0.4::DOUBLE * share, 6) AS fused, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(0.6::DOUBLE * score + 0.4::DOUBLE * share, 6) DESC, score DESC, doc_id) AS place FROM fused) WHERE place <= 4"""
+
+
+@query(FUSED)
+def rerank(d: Domain) -> DataFrame:
+    """Four documents for each benchmark item, chosen from the twelve nearest."""
+    pool = materialise(hits(d, retrieval.POOL * 4), "pool")
+    both = pool.join(d["benchmark"].select("item_id", F.col("text").alias("query_text")), "item_id").join(d["documents"].select("doc_id", F.col("text").alias("doc_text")), "doc_id")
+    return retrieval.reranked(both, "query_text", "doc_text", "item_id", "doc_id", 4)
 
 
 @query(r"SELECT page_id, coalesce(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS plain FROM pages")
@@ -380,16 +398,31 @@ def html_extract(d: Domain) -> DataFrame:
     return d["pages"].select("page_id", F.coalesce(T.html_text(F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1)), F.lit("")).alias("title"), F.md5(T.html_text(F.col("html"), unescape=False)).alias("plain"))
 
 
-@query(r"SELECT conv_id, turn, contains(lower(text), 'the') AS has_the, regexp_extract(text, '(\d+)', 1) AS first_number FROM conversations")
-def intent_parse(d: Domain) -> DataFrame:
-    return d["conversations"].select("conv_id", "turn", F.contains(F.lower("text"), F.lit("the")).alias("has_the"), F.regexp_extract("text", r"(\d+)", 1).alias("first_number"))
+def plan_sql(p: str, levels: str, passed: str) -> str:
+    """Common table expressions of a whole plan ({p}_kept) from a table of levels and one of passed courses."""
+    return f""", {p}_gaps AS (SELECT e.employee_id, r.skill_id FROM employee e JOIN requires r ON r.position_id = e.target_position_id LEFT JOIN {levels} h ON h.employee_id = e.employee_id AND h.skill_id = r.skill_id WHERE r.required_level > coalesce(h.level, 0)),
+{p}_found AS (SELECT DISTINCT g.employee_id, t.course_id FROM {p}_gaps g JOIN teaches t USING (skill_id) WHERE (g.employee_id, t.course_id) NOT IN (SELECT employee_id, course_id FROM {passed})),
+{p}_lev AS (SELECT e.employee_id, t.course_id, avg(coalesce(h.level, 0)) AS a FROM employee e CROSS JOIN teaches t LEFT JOIN {levels} h ON h.employee_id = e.employee_id AND h.skill_id = t.skill_id GROUP BY ALL),
+{p}_blocked AS (SELECT employee_id, course_id FROM {passed} UNION SELECT l.employee_id, l.course_id FROM {p}_lev l JOIN course c USING (course_id) WHERE a + 1e-9 >= CASE difficulty WHEN 'beginner' THEN 2 WHEN 'intermediate' THEN 3 ELSE 4 END),
+{p}_walk(employee_id, course_id, kept) AS (SELECT f.employee_id, f.course_id, (f.employee_id, f.course_id) NOT IN (SELECT employee_id, course_id FROM {p}_blocked) FROM {p}_found f
+  UNION SELECT w.employee_id, r.prerequisite_id, (w.employee_id, r.prerequisite_id) NOT IN (SELECT employee_id, course_id FROM {p}_blocked) FROM {p}_walk w JOIN prerequisite r USING (course_id) WHERE w.kept),
+{p}_kept AS (SELECT DISTINCT employee_id, course_id FROM {p}_walk WHERE kept)"""
 
 
-PLANS = ", b AS (SELECT g.employee_id, t.course_id FROM gaps g JOIN teaches t USING (skill_id) GROUP BY ALL) SELECT coalesce(b.employee_id, f.employee_id) AS employee_id, coalesce(b.course_id, f.course_id) AS course_id, CASE WHEN f.course_id IS NULL THEN 'removed' ELSE 'added' END AS change FROM b FULL JOIN found f USING (employee_id, course_id) WHERE b.course_id IS NULL OR f.course_id IS NULL"
+PROFILE = ", fin AS (SELECT employee_id, skill_id, max_by(to_level, record_id) AS l FROM steps GROUP BY ALL), profile AS (SELECT employee_id, skill_id, coalesce(l, level) AS level FROM has_skill FULL JOIN fin USING (employee_id, skill_id)), nothing AS (SELECT employee_id, course_id FROM passed WHERE false)"
+PLANS = PROFILE + plan_sql("old", "has_skill", "nothing") + plan_sql("new", "profile", "passed") + " SELECT coalesce(o.employee_id, n.employee_id) AS employee_id, coalesce(o.course_id, n.course_id) AS course_id, CASE WHEN n.course_id IS NULL THEN 'removed' ELSE 'added' END AS change FROM old_kept o FULL JOIN new_kept n ON o.employee_id = n.employee_id AND o.course_id = n.course_id WHERE o.course_id IS NULL OR n.course_id IS NULL"
+
+
+def profile(d: Domain) -> DataFrame:
+    """Levels after all training records."""
+    return materialise(replay.profile(replayed(d), d["has_skill"]), "profile")
 
 
 @query(PLANS)
 def plan_diff(d: Domain) -> DataFrame:
-    before, after = recall.candidates(gaps(d), d["teaches"]), found(d)
+    """Courses that the whole plan after the replay lacks or has anew against the plan from the levels before."""
+    d.written("has_skill")
+    passed = materialise(replay.passed_courses(d["training_record"]), "passed")
+    before, after = (materialise(plan(d, levels, done).where("kept").select("employee_id", "course_id"), "kept") for levels, done in ((d["has_skill"], passed.where("false")), (profile(d), passed)))
     removed, added = before.join(after, ["employee_id", "course_id"], "left_anti"), after.join(before, ["employee_id", "course_id"], "left_anti")
     return removed.withColumn("change", F.lit("removed")).unionAll(added.withColumn("change", F.lit("added")))

@@ -58,12 +58,10 @@ def test_functions(spark):
         T.minutes(F.lit("01:02:03")).alias("minutes"),
         T.hours_per_week(F.lit("每周 5 小时")).alias("hours"),
         T.slug(F.lit("Hello, World!")).alias("slug"),
-        T.chunks(F.lit("aaaa\n\nbbb\n" + "c" * 25), 10).alias("chunks"),
         cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0))).alias("zero"),
     ).first()
     assert (row.label, row.normalized, row.slug, row.minutes, row.hours, row.zero) == ("a b", "cplusplus machine learning", "hello-world", 63, 5.0, 0.0)
     assert row.tokens == ["ai", "学习", "习路", "路径"] and row.html == "a &lt; b"
-    assert row.chunks == ["aaaa\nbbb", "c" * 10, "c" * 10, "c" * 5]
 
 
 def test_every_vector_gets_neighbours(spark):

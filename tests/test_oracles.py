@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from gapweave import plans  # noqa: F401
 from gapweave.plans import skills
 
 SF = "/root/testdata/sf0.001"
