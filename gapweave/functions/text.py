@@ -73,7 +73,7 @@ def html_text(html: Column, unescape: bool = True) -> Column:
 
 def html_blocks(html: Column, tag: str) -> Column:
     """The text of every element of a kind, in order."""
-    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(f"(?s)<{tag}[^>]*>(.*?)</{tag}>")), html_text), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(f"(?s)<{tag}[^>]*>(.*?)</{tag}>")), lambda x: html_text(x)), lambda x: x != "")
 
 
 def slug(text: Column) -> Column:

@@ -183,10 +183,14 @@ def reranked(hits: DataFrame, query_text: str, doc_text: str, query_key: str, do
     return fused.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select(query_key, doc_key, "score", "lexical", "fused", "place")
 
 
-def tagged(docs: DataFrame, key: str, text: str, names: dict[str, list[str]]) -> DataFrame:
-    """key and tag for every tag of which a name is part of the text (in any word, as substring)."""
-    tags: Column = F.array(*[F.when(F.lower(F.col(text)).rlike("|".join(f"\\Q{n.lower()}\\E" for n in ns)), F.lit(t)) for t, ns in names.items()])
-    return docs.select(key, F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("tag"))
+def tags(text: Column, names: tuple[str, ...], aliases: dict[str, str]) -> Column:
+    """The names that are part of the text, or of which an alias is, as substrings in any case; names first, then those by alias."""
+    low = F.lower(text)
+    quoted = lambda words: "|".join(f"\\Q{w.lower()}\\E" for w in words)
+    by_name = [F.when(low.rlike(quoted([n])), F.lit(n)) for n in names]
+    of = {n: [a for a, t in aliases.items() if t == n] for n in dict.fromkeys(aliases.values())}
+    by_alias = [F.when(low.rlike(quoted(words)), F.lit(n)) for n, words in of.items()]
+    return F.array_distinct(F.filter(F.array(*by_name, *by_alias), lambda x: x.isNotNull()))
 
 
 def resolved(keys: DataFrame, items: DataFrame, threshold: float = 0.6) -> DataFrame:

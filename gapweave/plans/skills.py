@@ -323,14 +323,6 @@ def resolve_name(d: Domain) -> DataFrame:
     return retrieval.resolved(d["part"].select(F.col("p_name").alias("key")), items, threshold=0.5)
 
 
-TAGS = {"license": ["license", "licensed"], "mail": ["@"], "table": [" | "], "question": ["?"]}
-
-
-@query("SELECT doc_id, tag FROM (SELECT doc_id, unnest([CASE WHEN contains(lower(text), 'license') THEN 'license' END, CASE WHEN contains(text, '@') THEN 'mail' END, CASE WHEN contains(text, ' | ') THEN 'table' END, CASE WHEN contains(text, '?') THEN 'question' END]) AS tag FROM documents) WHERE tag IS NOT NULL")
-def tag_documents(d: Domain) -> DataFrame:
-    return retrieval.tagged(d["documents"], "doc_id", "text", TAGS)
-
-
 def vectors_sql(table: str, key: str) -> str:
     """Common table expressions of the lexical vectors of a table: {key}_v with key, dim and value."""
     return rf""", {key}_w AS (SELECT {key}, [x FOR x IN string_split_regex(lower(text), '\s+') IF x <> ''] AS w FROM {table}),
