@@ -95,11 +95,19 @@ class TableMemo:
         return rows
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+def share_of(key, n: int, most: int):
+    """Whether a hash of the key falls below the share of about `most` of n rows; the same keys every time."""
+    return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(n, 1)))
+
+
+def bounded(rows: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """At most `most` rows, by a hash of the key, then the key and the text: the same ones every time."""
+    return rows.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), key, text).limit(most)
+
+
+def bounded_sample(rows: DataFrame, key: str, text: str, most: int) -> DataFrame:
     """About `most` rows, the same ones every time: those of which a hash of the key falls below a share. Never over 1.5 times as many."""
-    n = rows.count()
-    share = min(1.0, most / max(n, 1))
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * share) if share < 1 else F.lit(True)).limit(most + most // 2)
+    return bounded(rows.where(share_of(F.col(key), rows.count(), most)), key, text, most + most // 2)
 
 
 def held_out(doc_id):

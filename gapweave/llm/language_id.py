@@ -102,7 +102,7 @@ def train(sample: pd.DataFrame, alpha: float = 0.5, beta: float = 1.0, l1: float
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample_rows: int = 2000, sample_chars: int = 8_000) -> Model:
     """A model of a bounded sample of the rows that have a label."""
     usable = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.char_length(F.col(text)) <= sample_chars))
-    sample = bounded_sample(usable, key, sample_rows).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("string").alias("label")).toPandas()
+    sample = bounded_sample(usable, key, text, sample_rows).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("string").alias("label")).toPandas()
     return train(sample.sort_values(["key", "label", "text"]).reset_index(drop=True))
 
 

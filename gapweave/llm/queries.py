@@ -81,7 +81,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model | None:
     """Learnt from the labels of documents that are not held out."""
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     return toxicity.fit(docs, labels)
 
 

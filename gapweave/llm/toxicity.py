@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import blocks, bounded_batches, fresh, materialise, per_text, release, runs
-from gapweave.llm.features import TableMemo, bounded_sample, ngrams, split_words, summed
+from gapweave.llm.common import blocks, bounded_batches, fresh, release, runs
+from gapweave.llm.features import TableMemo, bounded, ngrams, share_of, split_words, summed
 
 #: Scores from here on are toxic.
 CUT = 0.7
@@ -67,21 +67,22 @@ class Model:
 
     def logits(self, rows: np.ndarray, table: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds and group of texts with so many words each, whose words are these rows of the table."""
-        pooled, _ = self.pool(rows, table, per)
-        in_group = np.column_stack([per_text(table[rows, sum(WIDTHS) * FILTERS + g].astype(np.float64), per) for g in range(self.groups.shape[1])])
+        pooled, in_group, _ = self.pool(rows, table, per)
         return pooled @ self.out + self.bias, (in_group + self.prior).argmax(axis=1)
 
     def pool(self, rows: np.ndarray, table: np.ndarray, per: np.ndarray, where: bool = False):
-        """The pooled filters of texts; with `where`, also at which word each filter was largest (-1: nowhere above 0)."""
-        gap = max(WIDTHS) - 1
+        """The pooled filters of texts and the sums of what else the table has; with `where`, also at which word each filter was largest (-1: nowhere above 0)."""
+        gap, wide = max(WIDTHS) - 1, sum(WIDTHS) * FILTERS
         ends = np.cumsum(per + gap)
         starts = ends - per - gap
         padded = np.full(int(ends[-1]) if len(per) else 0, len(table), np.int64)
-        at = np.repeat(starts - (np.cumsum(per) - per), per) + np.arange(len(rows))
-        padded[at] = rows
-        outside = padded == len(table)
-        values = np.zeros((len(padded), sum(WIDTHS) * FILTERS), np.float32)
-        values[~outside] = table[padded[~outside], : sum(WIDTHS) * FILTERS]
+        padded[np.repeat(starts - (np.cumsum(per) - per), per) + np.arange(len(rows))] = rows
+        values = table.take(padded, axis=0, mode="clip") if len(table) else np.zeros((len(padded), table.shape[1]), np.float32)
+        values[padded == len(table)] = 0
+        some = np.flatnonzero(per)
+        sums = np.zeros((len(per), table.shape[1] - wide))
+        if len(some) and sums.shape[1]:
+            sums[some] = np.add.reduceat(values[:, wide:], starts[some], axis=0, dtype=np.float64)
         pools, places, column = [], [], 0
         for w, offset in zip(WIDTHS, self.offsets, strict=True):
             conv = values[:, column : column + FILTERS].copy()
@@ -90,7 +91,6 @@ class Model:
             column += w * FILTERS
             conv += offset.astype(np.float32)
             pool = np.zeros((len(per), FILTERS), np.float32)
-            some = np.flatnonzero(per)
             if len(some):
                 cuts = np.column_stack((starts[some], starts[some] + per[some])).ravel()
                 pool[some] = np.maximum.reduceat(conv, cuts[:-1] if cuts[-1] >= len(conv) else cuts, axis=0)[::2]
@@ -101,7 +101,7 @@ class Model:
                     place[k] = conv[starts[k] : starts[k] + per[k]].argmax(axis=0) + starts[k]
                 place[pools[-1] <= 0] = -1
                 places.append(place)
-        return np.hstack(pools), (places, padded)
+        return np.hstack(pools), sums, (places, padded)
 
     def scores(self, logits: np.ndarray, group: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(logits - self.thresholds[group] + np.log(CUT / (1 - CUT)), -500, 500)))
@@ -162,7 +162,7 @@ def train(sample: pd.DataFrame, epochs: int = 8, batch: int = 32, rate: float =
             scale = 1 / np.sqrt(np.maximum(n_of[local], 1))
             vectors = summed(e[feats], np.repeat(np.arange(len(local)), n_of[local]), len(local)) * scale[:, None]
             table = (vectors @ np.concatenate([f[o] for f in filters for o in range(len(f))], axis=1)).astype(np.float32)
-            pooled, (places, padded) = model.pool(rows, table, per[docs], where=True)
+            pooled, _, (places, padded) = model.pool(rows, table, per[docs], where=True)
             p = 1 / (1 + np.exp(-np.clip(pooled @ model.out + model.bias, -30, 30)))
             d = (p - truth[docs]) / len(docs)
             back = d[:, None] * model.out
@@ -256,11 +256,17 @@ def best_threshold(counts: pd.DataFrame) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", key: str = "doc_id", sample_rows: int = 3000, sample_chars: int = 8_000) -> Model | None:
     """A model of a bounded sample of the labelled rows, as many of them toxic as not where there are enough, with thresholds from all of them."""
-    labelled = materialise(docs.select(key, text, lang).join(labels.select(key, label), key), "labelled")
-    usable = labelled.where(F.col(text).isNotNull() & (F.char_length(F.col(text)) <= sample_chars))
-    columns = [F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.col(lang).cast("string").alias("lang")]
-    kinds = [bounded_sample(usable.where(F.col(label) == k), key, sample_rows // 2).select(*columns).toPandas() for k in (0, 1)]
-    sample = pd.concat(kinds).sort_values(["key", "label", "text"]).reset_index(drop=True)
+    wanted = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    n = {r["label"]: r["n"] for r in wanted.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    # A bounded part of the labels finds its texts, so that no text is shuffled; long ones go after that.
+    most = sample_rows // 2
+    kinds = []
+    for k in sorted(n):
+        chosen = bounded(wanted.where((F.col("label") == k) & share_of(F.col("key"), n[k], 2 * most)), "key", "label", 3 * most)
+        texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+        usable = texts.join(F.broadcast(chosen), "key").where(F.col("text").isNotNull() & (F.char_length("text") <= sample_chars))
+        kinds.append(bounded(usable, "key", "text", most).toPandas())
+    sample = pd.concat(kinds).sort_values(["key", "label", "text"]).reset_index(drop=True) if kinds else pd.DataFrame({"key": [], "label": [], "text": [], "lang": []})
     model = train(sample)
     return None if model is None else calibrated(model, sample, docs, labels, text, label, key)
 
@@ -285,12 +291,12 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
 
 
 def word_memo(model: Model) -> TableMemo:
-    return TableMemo(model.word_table, model.table_width, 60_000)
+    return TableMemo(model.word_table, model.table_width, 100_000)
 
 
 def logits_of(model: Model, memo: TableMemo, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for block in blocks(texts, 300_000):
+    for block in blocks(texts, 500_000):
         words, codes, per = split_words(block)
         rows = memo.rows(words)[codes]
         out.append(model.logits(rows, memo.table, per))
