@@ -105,12 +105,16 @@ scored AS (SELECT employee_id, course_id, round(g, 6) AS gap_coverage, round(i,
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY total DESC, course_id) AS rank FROM scored) WHERE rank <= 5"""
 
 
-@query(RANKED)
-def course_ranking_topk(d: Domain) -> DataFrame:
+def ranked_courses(d: Domain) -> DataFrame:
     d.written("has_skill")
     return recall.ranked(materialise(gaps(d), "gaps"), materialise(found(d), "candidates"), d["course"], d["teaches"], d["prerequisite"], d["has_skill"], top_k=5)
 
 
+@query(RANKED)
+def course_ranking_topk(d: Domain) -> DataFrame:
+    return ranked_courses(d)
+
+
 @query("SELECT course_id, ancestor_id, max(depth) AS depth FROM chain GROUP BY ALL")
 def prereq_chain(d: Domain) -> DataFrame:
     return graph.chains(materialise(d["prerequisite"], "prerequisites"))
