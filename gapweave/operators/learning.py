@@ -115,7 +115,7 @@ def quiz(courses: DataFrame) -> DataFrame:
     order = Window.orderBy("course_id")
     n = courses.select(F.col("course_id"), "objectives", (F.row_number().over(order) - 1).alias("place")).crossJoin(F.broadcast(courses.agg(F.count("*").alias("n"))))
     asked = n.select("course_id", "place", "n", F.posexplode(F.slice("objectives", 1, QUESTIONS)).alias("k", "right"))
-    wanted = asked.select("course_id", "k", "right", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(WRONG)), lambda j: (F.col("place") + F.col("k") * WRONG + j) % F.col("n"))).alias("j", "place"))
+    wanted = asked.select("course_id", "k", "right", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(WRONG)), lambda j: (F.col("place") + 1 + (F.col("k") * WRONG + j - 1) % F.greatest(F.col("n") - 1, F.lit(1))) % F.col("n"))).alias("j", "place"))
     others = n.select("place", F.col("course_id").alias("other"), F.col("objectives").alias("pool"))
     wrong = wanted.join(others, "place").where("other <> course_id").withColumn("wrong", F.get("pool", (F.col("k") + F.col("j")) % F.size("pool"))).where("wrong <> right")
     rows = asked.join(wrong.groupBy("course_id", "k").agg(F.collect_set("wrong").alias("wrong")), ["course_id", "k"], "left")

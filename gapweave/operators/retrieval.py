@@ -204,10 +204,12 @@ def resolved(keys: DataFrame, items: DataFrame, threshold: float = 0.6) -> DataF
     k = keys.select("key").distinct().withColumns({"k": label(F.col("key")), "kt": name_tokens(F.col("key"))}).where("k <> ''")
     aliases = F.coalesce(F.col("aliases"), F.array().cast("array<string>")) if "aliases" in items.columns else F.array().cast("array<string>")
     i = items.select("item_id", "name", F.transform(aliases, label).alias("as"), F.array_distinct(F.flatten(F.concat(F.array(name_tokens(F.col("name"))), F.transform(aliases, name_tokens)))).alias("nt")).withColumn("n", label(F.col("name")))
-    grams = lambda x: F.when(F.char_length(x) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(x) - 2), lambda a: F.substring(x, a, 3)))).otherwise(F.array(x))
-    # Names of under three characters are looked for by each one or two characters of the other.
-    short = lambda x: F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x) - n + 1, F.lit(1))), lambda a, n=n: F.substring(x, a, n)) for n in (1, 2)])))
-    whole = lambda x: F.array_union(grams(x), short(x))
+    def runs(x: Column, n: int) -> Column:
+        """Every n characters of a text, or all of a shorter one."""
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x) - n + 1, F.lit(1))), lambda at: F.substring(x, at, n))
+
+    # A name is looked for by its first three characters, or by all of a shorter one.
+    whole = lambda x: F.array_distinct(F.concat(runs(x, 1), runs(x, 2), runs(x, 3)))
     start = lambda x: F.substring(x, 1, 3)
 
     def meet(left: Column, right: Column) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.operators import gap, graph, learning, recall, replay, retrieval, team
-from gapweave.plans.skills import ORDERED, PROFILE, found, gaps, ordered, plan, profile, query, ranked_courses, replayed, requirements, RANKED
+from gapweave.operators import gap, graph, learning, recall, replay, team
+from gapweave.plans.skills import ORDERED, PROFILE, found, gaps, ordered, profile, query, ranked_courses, replayed, requirements, RANKED
 from gapweave.sources.scratch import materialise
 from gapweave.sources.views import Domain
 
@@ -70,7 +70,7 @@ def goals(d: Domain) -> DataFrame:
 SHUFFLE = "[x.x FOR x IN list_sort([{'d': md5(concat(seed, '|', o)), 'x': o} FOR o IN list_distinct(options)])]"
 QUIZ = f""", {GOALS}, n AS (SELECT *, row_number() OVER (ORDER BY course_id) - 1 AS place, count(*) OVER () AS n FROM goals),
 asked AS (SELECT course_id, place, n, unnest(objectives) AS goal, unnest(range(len(objectives))) AS k FROM n),
-wrong AS (SELECT a.course_id, a.k, o.objectives[1 + (a.k + j.j) % len(o.objectives)] AS wrong, a.goal FROM asked a CROSS JOIN (SELECT unnest([0, 1, 2]) AS j) j JOIN n o ON o.place = (a.place + a.k * 3 + j.j + 1) % a.n WHERE o.course_id <> a.course_id),
+wrong AS (SELECT a.course_id, a.k, o.objectives[1 + (a.k + j.j) % len(o.objectives)] AS wrong, a.goal FROM asked a CROSS JOIN (SELECT unnest([0, 1, 2]) AS j) j JOIN n o ON o.place = (a.place + 1 + (a.k * 3 + j.j) % greatest(a.n - 1, 1)) % a.n WHERE o.course_id <> a.course_id),
 opts AS (SELECT a.course_id, a.k, a.goal, concat(a.course_id, ':', a.k) AS seed, list_append(coalesce(list(w.wrong) FILTER (w.wrong <> a.goal), []), a.goal) AS options FROM asked a LEFT JOIN wrong w ON w.course_id = a.course_id AND w.k = a.k GROUP BY a.course_id, a.k, a.goal),
 quiz AS (SELECT course_id, (k + 1)::INT AS question, options, (list_position(options, goal) - 1)::INT AS answer FROM (SELECT course_id, k, goal, {SHUFFLE} AS options FROM opts))"""
 

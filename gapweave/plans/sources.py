@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.functions import text as T
 from gapweave.operators import checks, documents, retrieval, store
 from gapweave.plans.skills import query, replayed
-from gapweave.operators import replay
 from gapweave.sources import readers
 from gapweave.sources.scratch import materialise, scratch
 from gapweave.sources.views import Domain

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapweave import api
 from gapweave.functions import text as T
-from gapweave.operators import documents, normalise, retrieval
+from gapweave.operators import documents, normalise
 from gapweave.plans.skills import query, vectors_sql
 from gapweave.sources.scratch import materialise
 from gapweave.sources.views import Domain
@@ -89,7 +90,23 @@ def document_sections(d: Domain) -> DataFrame:
     return documents.sections(d["documents"]).select("key", "title", "section", "level", "heading", F.md5("text").alias("body"))
 
 
-@query()
+#: Chunks: paragraphs or sentences are units, greedily packed within runs of one kind by recursion over their numbers.
+CHUNKS = SECTIONS + r""", up AS (SELECT s.doc_id, s.section, string_agg(a.heading, ' > ' ORDER BY a.k) AS path FROM secs s JOIN secs a ON a.doc_id = s.doc_id AND s.heading IS NOT NULL AND a.heading IS NOT NULL AND (a.k = s.k OR a.k < s.k AND a.level < s.level AND NOT EXISTS (SELECT 1 FROM secs b WHERE b.doc_id = s.doc_id AND b.k > a.k AND b.k <= s.k AND b.level <= a.level)) GROUP BY ALL),
+paras AS (SELECT doc_id, section, n, trim(regexp_replace(p, '\s+', ' ', 'g')) AS p FROM (SELECT doc_id, section, unnest(ps) AS p, unnest(range(len(ps))) AS n FROM (SELECT doc_id, section, string_split_regex(body, '
+\s*
++') AS ps FROM secs))),
+sents AS (SELECT doc_id, section, n, unnest(range(len(ss))) AS m, unnest(ss) AS x FROM (SELECT doc_id, section, n, regexp_extract_all(p, '[^。!?！？;；]*[。!?！？;；]|[^。!?！？;；]+') AS ss FROM paras WHERE length(p) > 800)),
+parts AS (SELECT doc_id, section, n, 0 AS m, 0 AS h, p AS x, 'p' AS kind FROM paras WHERE length(p) BETWEEN 1 AND 800
+ UNION ALL SELECT doc_id, section, n, m, 0, x, 's' FROM sents WHERE length(x) <= 800
+ UNION ALL SELECT doc_id, section, n, m, h, substr(x, 1 + h * 800, 800), 'h' FROM (SELECT *, unnest(range(((length(x) + 799) // 800)::BIGINT)) AS h FROM sents WHERE length(x) > 800)),
+numbered AS (SELECT *, row_number() OVER w AS u, lag(kind) OVER w AS before, lag(n) OVER w AS before_n FROM parts WINDOW w AS (PARTITION BY doc_id, section ORDER BY n, m, h)),
+packed(doc_id, section, u, chunk, size) AS (SELECT doc_id, section, u, 1, length(x) FROM numbered WHERE u = 1
+ UNION ALL SELECT t.doc_id, t.section, t.u, p.chunk + CASE WHEN joins THEN 0 ELSE 1 END, CASE WHEN joins THEN p.size + gap + length(t.x) ELSE length(t.x) END FROM packed p JOIN (SELECT *, CASE WHEN kind = 'p' THEN 1 ELSE 0 END AS gap, kind = before AND (kind = 'p' OR kind = 's' AND n = before_n) AS alike FROM numbered) t ON t.doc_id = p.doc_id AND t.section = p.section AND t.u = p.u + 1, LATERAL (SELECT t.alike AND p.size + t.gap + length(t.x) <= 800 AS joins) j),
+pieces AS (SELECT t.doc_id, t.section, p.chunk, CASE WHEN any_value(t.kind) = 'p' THEN string_agg(t.x, chr(10) ORDER BY t.u) ELSE string_agg(t.x, '' ORDER BY t.u) END AS content FROM packed p JOIN numbered t USING (doc_id, section, u) GROUP BY ALL),
+chunks AS (SELECT doc_id, coalesce(title, doc_id::VARCHAR) AS title, coalesce(path, '') AS path, content, row_number() OVER (PARTITION BY doc_id ORDER BY section, chunk) - 1 AS chunk_index FROM pieces JOIN secs USING (doc_id, section) LEFT JOIN up USING (doc_id, section))"""
+
+
+@query(CHUNKS + " SELECT doc_id::VARCHAR AS doc_id, printf('%s:%04d', doc_id::VARCHAR, chunk_index) AS chunk_id, concat('《', title, '》', CASE WHEN path <> '' THEN concat(' ', path) ELSE '' END) AS citation, content FROM chunks")
 def chunk_documents(d: Domain) -> DataFrame:
     c = documents.chunks(d["documents"])
     return c.select("doc_id", documents.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), documents.citation(F.col("title"), F.col("path")).alias("citation"), "content")
@@ -100,7 +117,7 @@ def empty_documents(d: Domain) -> DataFrame:
     return documents.without_chunks(d["documents"], documents.chunks(d["documents"]))
 
 
-@query()
+@query(CHUNKS + " SELECT doc_id::VARCHAR AS doc_id, title, count(*) AS chunk_count, min(length(content))::INT AS shortest FROM chunks GROUP BY ALL")
 def chunk_counts(d: Domain) -> DataFrame:
     """Every document with its title, number of chunks and the fewest characters of one."""
     c = documents.chunks(d["documents"])
@@ -110,13 +127,7 @@ def chunk_counts(d: Domain) -> DataFrame:
 @query()
 def cited_context(d: Domain) -> DataFrame:
     """For every benchmark item a text with the four best of the twelve nearest chunks and where they are from."""
-    c = materialise(documents.chunks(d["documents"]).withColumn("chunk_id", documents.chunk_id(F.col("doc_id"), F.col("chunk_index"))), "chunks")
-    c = c.withColumn("embedded", documents.embed_text(F.col("title"), F.col("path"), F.col("content")))
-    pool = materialise(retrieval.lexical_search(d["benchmark"], "item_id", "text", c, "chunk_id", "embedded", 4 * retrieval.POOL), "pool")
-    both = pool.join(d["benchmark"].select("item_id", F.col("text").alias("question")), "item_id").join(c, "chunk_id")
-    best = retrieval.reranked(both, "question", "embedded", "item_id", "chunk_id", 4).join(c, "chunk_id")
-    hits = best.select("item_id", "place", documents.citation(F.col("title"), F.col("path")).alias("citation"), F.concat(F.lit("documents/"), "doc_id").alias("source"), F.col("fused").alias("score"), F.col("score").alias("vector_score"), "lexical", "content")
-    return documents.context(hits, "item_id", "place")
+    return api.ask(d["benchmark"], api.ingest(d["documents"])["chunks"], "item_id", "text")["context"]
 
 
 QUESTIONS = "questions AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN concat('每周', 3 + conv_id % 4, '.5 个小时,EMP_', conv_id, ' 帮我规划,', 2 + turn, '周内学完 ', left(text, 40)) WHEN 1 THEN concat('emp-', conv_id, ' 推荐什么课程? 0 周 ', left(text, 40)) WHEN 2 THEN concat('每星期 ', 4 + turn % 3, ' h 报销制度? ', left(text, 40)) ELSE text END AS text FROM conversations)"

@@ -186,13 +186,15 @@ def load(spark: SparkSession, name: str, live: Callable[[], DataFrame] | None, f
 
     def read(path: str) -> DataFrame | None:
         try:
-            rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).cache()
-            bad = rows.where("_corrupt_record IS NOT NULL").count()
-        except Exception as e:  # no such path
+            rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+        except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return None
-        return None if bad or not rows.count() else rows.drop("_corrupt_record")
+        rows.cache()  # Spark reads the column of corrupt rows by itself from cached rows only
+        n, bad = rows.count(), rows.where("_corrupt_record IS NOT NULL").count()
+        rows.unpersist()
+        return None if bad or not n else rows.drop("_corrupt_record")
 
     now = dt.datetime.now(dt.timezone.utc)
     log = spark.createDataFrame([], "source string, fetched_at timestamp")

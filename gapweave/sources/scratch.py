@@ -7,19 +7,34 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the session names in spark.checkpoint.dir.
+
+def base(spark: SparkSession) -> str:
+    """The application's own folder below the one that the session names in spark.checkpoint.dir.
 
     Only a local session, whose executors share the driver's disk, gets a folder of its own when none is named.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    named, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not named:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='gapweave-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='gapweave-')}"
+        named = _own[app]
+    return f"{named.rstrip('/')}/gapweave-{app}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table of this application."""
+    return f"{base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def purge(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application. Results must be saved before: they are read from these tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
