@@ -32,6 +32,8 @@ from gapweave.llm.common import Memo, blocks, bounded_batches, list_array, per_t
 MARK = "▁"
 #: Chunks are found in passes over about so many characters; a longer chunk is backtracked right away.
 PASS_CHARS = 500_000
+#: Texts up to this length are kept in plain lists and searched without cutting windows.
+SHORT_CHARS = 256
 
 
 class Codec:
@@ -79,7 +81,7 @@ class Codec:
         self.shorter = {i: next(((k, self.id[p[:k]]) for k in range(len(p) - 1, 0, -1) if self.automaton.exists(p[:k])), None) for p, i in self.id.items()}
         split = "\n" if "\n" not in "".join(self.known) else ""
         self.chunks = re.compile(f"{MARK}+[^{MARK}{split}]*|[^{MARK}{split}]+" + "|\n+" * bool(split)).findall
-        self.memo = Memo(lambda new: self.encode_many([MARK + x for x in new]), most=200_000)
+        self.memo = Memo(lambda new: self.encode_many([MARK + x for x in new]), most=400_000)
         self.pieces = pa.array(self.bytes_of, pa.binary())
         self.numbers = pa.array([str(i).encode() for i in range(len(self.bytes_of))], pa.binary())
 
@@ -125,7 +127,7 @@ class Codec:
         bad[owner[beside[~np.fromiter((self.fit(*divmod(x, len(self.bytes_of))) for x in pairs.tolist()), bool, len(pairs))[back]]]] = True
         if outside := set(joined) - self.known:
             bad |= np.fromiter((not outside.isdisjoint(p) for p in parts), bool, len(parts))
-        again = [self.backtrack(parts[k]) if self.known.issuperset(parts[k]) else self.with_bytes(parts[k]) for k in np.flatnonzero(bad).tolist()]
+        again = [self.with_bytes(parts[k]) for k in np.flatnonzero(bad).tolist()]
         counts = np.bincount(owner, minlength=len(parts))
         starts = np.cumsum(counts) - counts
         counts[bad] = list(map(len, again))
@@ -142,7 +144,7 @@ class Codec:
                 if turn:
                     parts.append(self.encode_chunks(turn))
                     turn, size = [], 0
-                ids = np.concatenate([np.frombuffer(self.with_bytes(x), np.int32) for x in self.cut(chunk) if x])
+                ids = np.concatenate([np.array(self.with_bytes(x), np.int32) for x in self.cut(chunk) if x])
                 parts.append((ids, np.array([len(ids)], np.int64)))
                 continue
             turn.append(chunk)
@@ -154,21 +156,26 @@ class Codec:
             parts.append(self.encode_chunks(turn))
         return (np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
-    def with_bytes(self, chunk: str) -> array:
+    def with_bytes(self, chunk: str) -> list[int] | array:
         """The ids of a text, of which characters outside the model become bytes."""
+        if self.known.issuperset(chunk):
+            return self.backtrack(chunk)
         out, known, start = array("i"), self.known, 0
         for k, c in enumerate(chunk):
             if c not in known:
                 if start < k:
-                    out += self.backtrack(chunk[start:k])
+                    out.extend(self.backtrack(chunk[start:k]))
                 out.extend(self.byte_id[b] for b in c.encode("utf-8", "replace"))
                 start = k + 1
-        return out + self.backtrack(chunk[start:]) if start < len(chunk) else out
+        if start < len(chunk):
+            out.extend(self.backtrack(chunk[start:]))
+        return out
 
-    def backtrack(self, text: str) -> array:
+    def backtrack(self, text: str) -> list[int] | array:
         """The ids of a text of known characters; time and memory grow in proportion to its length."""
         n, longest, window, fits, shorter = len(text), self.automaton.iter_long, self.longest_piece, self.fits, self.shorter
-        ids, froms = array("i"), array("q")  # the taken pieces and where they start
+        short = n <= SHORT_CHARS
+        ids, froms = ([], []) if short else (array("i"), array("q"))  # the taken pieces and where they start
         failed = bytearray(n // 8 + 1)  # bit k: nothing from character k on works
         pos, before = 0, -1
         _, choice = next(longest(text[:window]))
@@ -186,7 +193,7 @@ class Codec:
                 if pos == n:
                     return ids
                 before = i
-                _, choice = next(longest(text[pos : pos + window]))
+                _, choice = next(longest(text, pos) if short else longest(text[pos : pos + window]))
             else:
                 if not ids:
                     raise ValueError("the model can't encode this text")
@@ -212,12 +219,6 @@ class Codec:
             out.append(next(runs_of) if not o else self.encode_many(self.chunks(MARK + t.replace(" ", MARK)))[0] if t else ids[:0])
         return np.concatenate(out) if out else ids, np.array([len(x) for x in out], dtype=np.int64)
 
-    def forget(self) -> None:
-        """Drops what is remembered of texts; workers stay for later stages."""
-        self.memo.clear()
-        self.fits.clear()
-        release()
-
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The texts of lists of ids: piece after piece, without the mark that encoding puts in front; '' for null."""
         out = []
@@ -273,14 +274,14 @@ def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
         c = codec(model)
         for batch in batches:
             done = 0
-            for block in blocks(batch.column(1), 1_000_000):
+            for block in blocks(batch.column(1), 2_000_000):
                 ids, counts = c.encode(block)
                 lists = list_array(ids, counts)
                 of_ids = [hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in joined(lists, c.numbers, b",")]
                 of_text = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in c.decode(lists)]
                 yield pa.record_batch([batch.column(0).slice(done, len(block)), pa.array(counts), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 done += len(block)
-        c.forget()
+        release()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)

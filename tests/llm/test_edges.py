@@ -102,7 +102,6 @@ def test_long_unspaced_text(spark):
     ids, counts = codec.encode([text, odd, "x"])
     assert time.time() - began < 60
     assert ids.tolist() == [i for t in (text, odd, "x") for i in sp.encode(t)] and counts.sum() == len(ids)
-    codec.forget()
 
 
 def test_very_long_texts(spark):
