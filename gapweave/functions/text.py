@@ -1,4 +1,4 @@
-"""Text functions on columns: names, tokens, Markdown, HTML, chunks, intents."""
+"""Text functions on columns: names, tokens, HTML, intents, information lines. Null for null, unless a function says otherwise."""
 
 from __future__ import annotations
 

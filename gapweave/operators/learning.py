@@ -20,6 +20,8 @@ BUCKET_LABELS = {"ready": "已达标", "close": "接近达标", "far": "差距
 VERDICT_LABELS = {"excellent": "优秀", "passed": "通过", "failed": "未通过"}
 #: Questions of a quiz, wrong options of a question, and entries of capped lists.
 QUESTIONS, WRONG, TOP = 5, 3, 8
+#: Skills of a library, at most: they are a list that people keep.
+MOST_SKILLS = 5_000
 
 
 def labelled(value: Column, labels: dict[str, str]) -> Column:
@@ -89,13 +91,21 @@ def reasons(ranked: DataFrame, gaps: DataFrame, course: DataFrame, teaches: Data
     return rows.select(*key, F.filter(F.array(covers, fits, before, time), lambda x: x.isNotNull()).alias("reasons"))
 
 
+def skill_list(teaches: DataFrame) -> Column:
+    """The skills that courses teach, with the number of these, as a literal list of structs; an error beyond MOST_SKILLS."""
+    counts = teaches.groupBy("skill_id").agg(F.count("*").alias("n")).orderBy("skill_id").limit(MOST_SKILLS + 1).collect()
+    if len(counts) > MOST_SKILLS:
+        raise ValueError(f"more than {MOST_SKILLS} skills")
+    each = [F.struct(F.lit(r["skill_id"]).alias("skill_id"), F.lit(r["n"]).cast("long").alias("course_count")) for r in counts]
+    return F.array(*each).cast("array<struct<skill_id: string, course_count: bigint>>")
+
+
 def assessable(employee: DataFrame, teaches: DataFrame, has_skill: DataFrame, last: DataFrame) -> DataFrame:
     """Skills that some course teaches, for every employee: level, number of courses, last score and verdict.
 
     place: skills with a level first, then the one that more courses teach.
     """
-    counts = teaches.groupBy("skill_id").agg(F.count("*").alias("course_count"))
-    rows = employee.select("employee_id").join(F.broadcast(counts)).join(has_skill, ["employee_id", "skill_id"], "left").join(last, ["employee_id", "skill_id"], "left")
+    rows = employee.select("employee_id", F.inline(skill_list(teaches))).join(has_skill, ["employee_id", "skill_id"], "left").join(last, ["employee_id", "skill_id"], "left")
     rows = rows.withColumn("current_level", F.coalesce("level", F.lit(0)))
     order = Window.partitionBy("employee_id").orderBy(F.col("current_level") == 0, F.desc("course_count"), "skill_id")
     return rows.select("employee_id", "skill_id", "current_level", "course_count", F.col("score").alias("last_score"), F.col("verdict").alias("last_verdict"), F.row_number().over(order).alias("place"))
@@ -113,7 +123,7 @@ def quiz(courses: DataFrame) -> DataFrame:
     order of course_id, round the catalogue. Numbering the catalogue takes one task; it is a list of courses.
     """
     order = Window.orderBy("course_id")
-    n = courses.select(F.col("course_id"), "objectives", (F.row_number().over(order) - 1).alias("place")).crossJoin(F.broadcast(courses.agg(F.count("*").alias("n"))))
+    n = courses.select("course_id", "objectives", (F.row_number().over(order) - 1).alias("place"), F.lit(courses.count()).alias("n"))
     asked = n.select("course_id", "place", "n", F.posexplode(F.slice("objectives", 1, QUESTIONS)).alias("k", "right"))
     wanted = asked.select("course_id", "k", "right", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(WRONG)), lambda j: (F.col("place") + 1 + (F.col("k") * WRONG + j - 1) % F.greatest(F.col("n") - 1, F.lit(1))) % F.col("n"))).alias("j", "place"))
     others = n.select("place", F.col("course_id").alias("other"), F.col("objectives").alias("pool"))
@@ -131,10 +141,9 @@ def skill_questions(courses: DataFrame, teaches: DataFrame) -> DataFrame:
     pairs = teaches.select("skill_id", "course_id").distinct()
     first = pairs.join(courses, "course_id").withColumn("k", F.row_number().over(Window.partitionBy("skill_id").orderBy("course_id")) - 1).where(F.col("k") < QUESTIONS)
     asked = first.withColumn("right", F.get("objectives", F.col("k") % F.size("objectives")))
-    skills = pairs.select("skill_id").distinct()
     by_digest = Window.partitionBy("skill_id").orderBy(F.md5(F.concat_ws("|", "skill_id", F.col("course_id").cast("string"))), "course_id")
     # The skills are few; of the courses that don't teach one only the first in order are kept.
-    others = courses.crossJoin(F.broadcast(skills)).join(pairs, ["skill_id", "course_id"], "left_anti").withColumn("n", F.row_number().over(by_digest)).where(F.col("n") <= QUESTIONS * WRONG)
+    others = courses.select("*", F.explode(skill_list(pairs).skill_id).alias("skill_id")).join(pairs, ["skill_id", "course_id"], "left_anti").withColumn("n", F.row_number().over(by_digest)).where(F.col("n") <= QUESTIONS * WRONG)
     wrong = others.select("skill_id", F.floor((F.col("n") - 1) / WRONG).cast("int").alias("k"), F.get("objectives", F.lit(0)).alias("wrong")).groupBy("skill_id", "k").agg(F.collect_set("wrong").alias("wrong"))
     rows = asked.join(wrong, ["skill_id", "k"], "left")
     options = shuffled(F.array_append(F.array_except(F.coalesce("wrong", F.array().cast("array<string>")), F.array("right")), F.col("right")), F.concat_ws(":", "skill_id", "k"))

@@ -4,6 +4,9 @@ Records apply in the order of record_id. A pass (score of 70 or more) raises a s
 each difficulty; below 85 it also flags the skill for consolidation, and a later pass of 85 or more at a difficulty that
 is used up clears the flag. A fail leaves a note unless the course has been passed before. Skills of records exist from
 level 0 on. Records of unknown courses are left out and listed by unknown_courses().
+
+Records without score, employee or course pass nothing and raise nothing. record_id orders records and must be unique;
+repeated edges of teaches would count twice. Empty tables give empty results. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -1,4 +1,9 @@
-"""Team reports: common gaps, readiness buckets, members' training, recent records, assessments."""
+"""Team reports: common gaps, readiness buckets, members' training, recent records, assessments.
+
+Null departments are a department of their own where rows are grouped, and match nothing where they are joined. Null
+scores count as records but neither as passed nor in means. Of records at one time the larger record_id is newer; equal
+counts are ordered by skill_id. Empty tables give empty results. Other columns are not read.
+"""
 
 from __future__ import annotations
 

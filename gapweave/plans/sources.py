@@ -264,6 +264,13 @@ def generated_employees(d: Domain) -> DataFrame:
     return store.generated(d["has_skill"], seed=42)
 
 
+@query(f" SELECT employee_id, count(*) AS skills, round(avg(level), 6) AS mean_level FROM (SELECT employee_id, greatest(0, least(4, level + CASE WHEN {DRAWN.format('move', 100)} < 34 THEN CASE WHEN {DRAWN.format('way', 2)} = 0 THEN -1 ELSE 1 END ELSE 0 END)) AS level FROM has_skill) GROUP BY employee_id")
+def employees_or_generated(d: Domain) -> DataFrame:
+    """Employees' skills from a file that isn't there, so they are generated."""
+    rows = readers.first_of(d.spark, "employee_id long, skill_id string, level int", None, f"{scratch(d.spark, 'missing')}/employees.json", lambda: store.generated(d["has_skill"], seed=42))
+    return rows.groupBy("employee_id").agg(F.count("*").alias("skills"), F.round(F.avg("level"), 6).alias("mean_level"))
+
+
 def later(d: Domain) -> DataFrame:
     """Requirements that come anew: a level more for uneven skills, and each first skill for all positions."""
     return d["requires"].join(d["skill"], "skill_id").where("skill_no % 2 = 1").select("position_id", "skill_id", "importance", (F.col("required_level") + 1).cast("int").alias("required_level")).unionAll(d["job"].select("position_id", F.lit("Brand#1").alias("skill_id"), F.lit(5).alias("importance"), F.lit(4).alias("required_level")).where("false"))

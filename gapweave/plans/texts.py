@@ -9,7 +9,7 @@ from gapweave import api
 from gapweave.functions import text as T
 from gapweave.operators import documents, normalise
 from gapweave.plans.skills import query, vectors_sql
-from gapweave.sources.scratch import materialise
+from gapweave.sources.scratch import materialise, scratch
 from gapweave.sources.views import Domain
 
 #: Names as people write them, from the names in `part` and `nation`.
@@ -71,6 +71,21 @@ def normalise_skills(d: Domain) -> DataFrame:
     return normalise.cascade(raws(d), labels(d))
 
 
+@query(NORMALISED + " SELECT raw, skill_id, method FROM mapped")
+def skill_id_map(d: Domain) -> DataFrame:
+    """The mapping written as JSON and read again."""
+    path = scratch(d.spark, "skill-id-map")
+    normalise.cascade(raws(d), labels(d)).select("raw", "skill_id", "method").write.json(path)
+    return d.spark.read.schema("raw string, skill_id string, method string").json(path)
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+def embedded_json(d: Domain) -> DataFrame:
+    """What stands between the braces of answers with words around them."""
+    answer = F.concat(F.lit("Here it is:\n```json "), "props", F.lit("\n``` Done."))
+    return d["events"].select("event_id", F.get_json_object(T.json_object(answer), "$.k").try_cast("int").alias("k"))
+
+
 @query(NORMALISED + " SELECT count(*) AS total, count(skill_id) AS matched, round_even(count(skill_id) / count(*), 4) AS match_rate, list_sort(list(raw) FILTER (skill_id IS NULL)) AS unmatched, (SELECT list_sort(list(skill_id || '=' || n)) FROM (SELECT skill_id, count(*) AS n FROM mapped WHERE skill_id IS NOT NULL GROUP BY skill_id)) AS skill_counts FROM mapped")
 def normalise_summary(d: Domain) -> DataFrame:
     return normalise.summary(materialise(normalise.cascade(raws(d), labels(d)), "mapped"))

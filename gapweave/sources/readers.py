@@ -173,6 +173,18 @@ def folder(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("md", "m
     return rows.select(file.alias("file"), F.concat(F.lit(prefix), below).alias("doc_id"), F.col("value").alias("text"))
 
 
+def first_of(spark: SparkSession, schema: str, explicit: str | None, usual: str, built_in: Callable[[], DataFrame]) -> DataFrame:
+    """JSON rows of a file that is named, which must be there; else of the usual one if it is there; else the built-in rows."""
+    if explicit is not None:
+        return spark.read.schema(schema).json(explicit)
+    try:
+        return spark.read.schema(schema).json(usual)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return built_in()
+
+
 def tier(source: Column, fetched_at: Column, now: Column, has_cache: Column, api_works: Column, ttl_days: float = 7) -> Column:
     """Where data come from: api if that works, unless a copy fetched from it is younger than ttl_days; else cache, else fixture."""
     fresh = F.coalesce((source == "api") & (fetched_at >= now - F.expr(f"INTERVAL {int(ttl_days * 86400)} SECONDS")), F.lit(False))
