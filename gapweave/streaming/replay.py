@@ -18,7 +18,9 @@ OUT = "employee_id long, skill_id string, record_id long, level int, flagged boo
 def levels(records: DataFrame, course: DataFrame, teaches: DataFrame, has_skill: DataFrame) -> DataFrame:
     """The new level and flag of every (record, skill), in update mode; the last record_id of a skill is its profile.
 
-    Records must arrive in the order of record_id over micro-batches; within one they are ordered here.
+    Records must arrive in the order of record_id over micro-batches; within one they are ordered here. Records without
+    score raise nothing, those of unknown courses are left out, those without employee are one employee's; repeated records
+    count again. State is one small map of skills for each employee.
     """
     base = has_skill.select("employee_id", "skill_id", F.col("level").alias("base"))
     rows = records.join(course.select("course_id", "difficulty"), "course_id").join(teaches, "course_id").join(base, ["employee_id", "skill_id"], "left")
