@@ -23,37 +23,42 @@ from gapweave.llm.byte_bpe import encoder
 from gapweave.llm.common import list_array, materialise
 from gapweave.llm.vbyte import id_type
 
-#: One table holds blocks (tokens) and listings (doc_ids, one row for each file, block null).
-FILES = "file int, block int, tokens binary, doc_ids array<long>"
+#: One table holds blocks (tokens) and listings (doc_ids from the place `first` in the file on, block null).
+FILES = "file int, block int, tokens binary, doc_ids array<long>, first long"
+#: Documents of a row of a listing, at most.
+LISTED = 100_000
 
 
-def write_files(docs: DataFrame, tokenizer: str, separator: int, block_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, separator: int, block_ids: int = 1 << 20, listed: int = LISTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A token file for each partition of `docs`, whose texts never hold the separator: its string is ordinary text."""
 
     def write(batches):
         enc, file = encoder(tokenizer, special_as_text=True), TaskContext.get().partitionId()
         width = np.dtype(id_type(enc.size))
-        order, parts, size, block = [], [], 0, 0
+        order, parts, size, block, first = [], [], 0, 0, 0
 
-        def row(block, tokens, doc_ids):
-            return pa.record_batch([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([tokens], pa.binary()), pa.array([doc_ids], pa.list_(pa.int64()))], names=["file", "block", "tokens", "doc_ids"])
+        def row(block, tokens, doc_ids=None, first=None):
+            return pa.record_batch([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([tokens], pa.binary()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([first], pa.int64())], names=["file", "block", "tokens", "doc_ids", "first"])
 
         for batch in batches:
             order += batch.column(0).to_pylist()
+            while len(order) >= listed:
+                yield row(None, None, order[:listed], first)
+                order, first = order[listed:], first + listed
             for text in batch.column(1):
                 parts.append(np.append(enc.encode(text.as_py() or ""), np.uint32(separator)).astype(width))
                 size += len(parts[-1])
                 if size >= block_ids:
                     flat = np.concatenate(parts)
                     for k in range(0, size - block_ids + 1, block_ids):
-                        yield row(block, flat[k : k + block_ids].tobytes(), None)
+                        yield row(block, flat[k : k + block_ids].tobytes())
                         block += 1
                     parts = [flat[size - size % block_ids :]]
                     size %= block_ids
         if size:
-            yield row(block, np.concatenate(parts).tobytes(), None)
+            yield row(block, np.concatenate(parts).tobytes())
         if order:
-            yield row(None, None, order)
+            yield row(None, None, order, first)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(write, FILES)
     return materialise(rows, "flat-token-files", compression="zstd")
@@ -92,7 +97,7 @@ def scan(files: DataFrame, separator: int, width: str = "<u2") -> DataFrame:
 
 def named(files: DataFrame, counts: DataFrame) -> DataFrame:
     """The counts with the doc_id that the listing has at their place."""
-    listing = files.where("block IS NULL").select("file", F.posexplode("doc_ids").alias("ordinal", "doc_id"))
+    listing = files.where("block IS NULL").select("file", "first", F.posexplode("doc_ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
     return listing.join(counts, ["file", "ordinal"]).select("doc_id", "start", "n_tokens")
 
 

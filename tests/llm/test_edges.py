@@ -137,7 +137,7 @@ def test_counts_of_null_ids_and_repeated_rows(spark):
     tok = Tokenizer.from_file(path)
     want = sorted((str(k), len(tok.encode(t or "", add_special_tokens=False).ids)) for k, t in rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    got = token_counts.write_and_count(docs, path, 50256, block_ids=3).collect()
+    got = token_counts.write_and_count(docs, path, 50256, block_ids=3, listed=2).collect()
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
     got = vbyte.write_and_read(docs, path, file_ids=4, block_ids=3).collect()
     assert sorted((str(r.doc_id), r.n_tokens - 1) for r in got) == want
