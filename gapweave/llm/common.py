@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +125,7 @@ def coded(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def release() -> None:
     """Gives memory that a task has freed back to the system: workers stay for later stages."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

@@ -31,7 +31,7 @@ from gapweave.llm.common import Memo, blocks, bounded_batches, list_array, per_t
 
 MARK = "▁"
 #: Chunks are found in passes over about so many characters; a longer chunk is backtracked right away.
-PASS_CHARS = 500_000
+PASS_CHARS = 150_000
 #: Texts up to this length are kept in plain lists and searched without cutting windows.
 SHORT_CHARS = 256
 
@@ -71,7 +71,8 @@ class Codec:
         self.automaton.make_automaton()
         self.text_of = {i: p for p, i in self.id.items()}
         self.longest_piece = max(map(len, self.id), default=1)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by both numbers as one
+        self.size = len(model.pieces)
         # Between two characters that no piece holds side by side nothing merges: such marks are cut off words.
         beside = {c for p in self.score for a, b in zip(p, p[1:]) if a.isalpha() != b.isalpha() for c in (a, b) if not c.isalpha()}
         apart = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in beside) + "\n" * ("\n" not in beside)
@@ -100,12 +101,12 @@ class Codec:
         return parts
 
     def fit(self, a: int, b: int) -> bool:
-        got = self.fits.get((a, b))
+        got = self.fits.get(a * self.size + b)
         if got is None:
             if len(self.fits) > 250_000:
                 self.fits.clear()
             x, y = self.text_of[a], self.text_of[b]
-            got = self.fits[a, b] = self.merged(x + y) == [x, y]
+            got = self.fits[a * self.size + b] = self.merged(x + y) == [x, y]
         return got
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +174,7 @@ class Codec:
 
     def backtrack(self, text: str) -> list[int] | array:
         """The ids of a text of known characters; time and memory grow in proportion to its length."""
-        n, longest, window, fits, shorter = len(text), self.automaton.iter_long, self.longest_piece, self.fits, self.shorter
+        n, size, longest, window, fits, shorter = len(text), self.size, self.automaton.iter_long, self.longest_piece, self.fits, self.shorter
         short = n <= SHORT_CHARS
         ids, froms = ([], []) if short else (array("i"), array("q"))  # the taken pieces and where they start
         failed = bytearray(n // 8 + 1)  # bit k: nothing from character k on works
@@ -183,7 +184,7 @@ class Codec:
             while choice:
                 length, i = choice
                 end = pos + length
-                if not failed[end >> 3] >> (end & 7) & 1 and (before < 0 or fits.get((before, i)) or self.fit(before, i)):
+                if not failed[end >> 3] >> (end & 7) & 1 and (before < 0 or fits.get(before * size + i) or self.fit(before, i)):
                     break
                 choice = shorter[i]
             if choice:
@@ -271,16 +272,19 @@ def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
     """
 
     def run(batches):
+        release()  # what earlier stages have left in this worker
         c = codec(model)
         for batch in batches:
             done = 0
-            for block in blocks(batch.column(1), 2_000_000):
+            for block in blocks(batch.column(1), 1_000_000):
                 ids, counts = c.encode(block)
                 lists = list_array(ids, counts)
                 of_ids = [hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in joined(lists, c.numbers, b",")]
                 of_text = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in c.decode(lists)]
                 yield pa.record_batch([batch.column(0).slice(done, len(block)), pa.array(counts), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 done += len(block)
+            release()
+        c.memo.clear()
         release()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
