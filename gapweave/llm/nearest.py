@@ -8,7 +8,8 @@ the windows. A vector inside the window of a function collides there, and vector
 verified by their exact inner product. A vector at distance R collides with known probability, and `least` lies
 DEVIATIONS standard deviations below the mean of that binomial, so most vectors within R have been verified; a query is
 done when its k-th nearest verified vector is within R. The more functions, the sharper a count tells distances apart:
-with 48 of them over half of 2,000 vectors were verified for each query, with 512 under a tenth are.
+with 48 of them over half of 2,000 vectors were verified for each query, with 384 under a tenth are. A larger index needs a
+smaller radius, so indexes are as large as 16-bit numbers allow.
 
 Vectors are dealt to indexes by a hash of their id, queries to blocks by another; each task gets one index and one block,
 both of bounded size, and returns k rows for each query. A window then keeps the k nearest of each query. An index's
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 
 from gapweave.llm.common import materialise, release
 
-PROJECTIONS, HALF_WIDTH, GROWTH, DEVIATIONS = 512, 1.3, 1.05, 0.5
+PROJECTIONS, HALF_WIDTH, GROWTH, DEVIATIONS = 384, 1.3, 1.07, 0.5
 #: Queries begin at this share of the radius at which those before them ended, so that few steps are needed.
-START = 0.93
+START = 0.95
+#: Queries whose windows are looked up together.
+TOGETHER = 32
 #: Vectors of an index (their numbers are 16-bit) and queries of a block, about, and the bytes of either's vectors.
-INDEX_ROWS, BLOCK_ROWS, VECTOR_BYTES = 16_384, 2_048, 32 << 20
+INDEX_ROWS, BLOCK_ROWS, VECTOR_BYTES = 60_000, 1_024, 32 << 20
 #: P(|standard normal| <= HALF_WIDTH)
 COLLIDES = 0.8064
 
@@ -58,7 +61,7 @@ class Index:
         self.directions = rng.normal(size=(vectors.shape[1] + 1, PROJECTIONS))
         more = np.sqrt(np.maximum(norm * norm - (vectors * vectors).sum(axis=1), 0))
         full = np.column_stack((vectors, more))
-        number = np.uint16 if n <= 1 << 16 else np.uint32
+        number = np.uint16 if n < 1 << 16 else np.uint32
         self.sorted = np.empty((PROJECTIONS, n), np.float32)
         self.order = np.empty((PROJECTIONS, n), number)
         self.rank = np.empty((PROJECTIONS, n), number)  # the place of every vector in every sorted array
@@ -69,55 +72,65 @@ class Index:
             self.rank[k, self.order[k]] = np.arange(n)
         self.least = COLLIDES * PROJECTIONS - DEVIATIONS * sqrt(PROJECTIONS * COLLIDES * (1 - COLLIDES))
 
-    def windows(self, projected: np.ndarray, radius: float) -> np.ndarray:
-        """The first place and the one after the last of every function's window of a query."""
-        ends = (projected[:, None] + np.array([-1, 1]) * (HALF_WIDTH * radius)).astype(np.float32)
-        return np.array([np.searchsorted(values, e) for values, e in zip(self.sorted, ends, strict=True)])
+    def windows(self, projected: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """For every query (of so many columns) and function, the first place of its window and the one after the last."""
+        half = (HALF_WIDTH * radius).astype(np.float32)
+        ends = np.stack((projected - half, projected + half), axis=1)
+        return np.stack([np.searchsorted(values, e) for values, e in zip(self.sorted, ends, strict=True)]).transpose(2, 0, 1)
 
     def collisions(self, windows: np.ndarray) -> np.ndarray:
-        """In how many windows each vector lies."""
+        """In how many of a query's windows each vector lies."""
         count, part = np.zeros(len(self.ids), np.uint16), np.zeros(len(self.ids), np.uint8)
+        kind = self.rank.dtype.type
         for k, (lo, hi) in enumerate(windows.tolist()):
             if hi - lo == len(self.ids):
                 part += np.uint8(1)
             else:
-                part += (self.rank[k] - self.rank.dtype.type(lo) < self.rank.dtype.type(hi - lo)).view(np.uint8)
+                part += (self.rank[k] - kind(lo) < kind(hi - lo)).view(np.uint8)
             if k % 255 == 254:
                 count += part
                 part[:] = 0
         return count + part
 
     def entered(self, old: np.ndarray, new: np.ndarray) -> np.ndarray:
-        """How many windows each vector has newly entered."""
-        ends = [x for k, ((a, b), (c, d)) in enumerate(zip(old.tolist(), new.tolist(), strict=True)) for x in (self.order[k, c:a], self.order[k, b:d])]
+        """How many of a query's windows each vector has newly entered."""
+        ends = [x for order, (a, b), (c, d) in zip(self.order, old.tolist(), new.tolist(), strict=True) for x in (order[c:a], order[b:d])]
         return np.bincount(np.concatenate(ends), minlength=len(self.ids)).astype(np.uint16)
 
-    def search(self, query_id: int, query: np.ndarray, k: int, start: float) -> tuple[np.ndarray, np.ndarray, float, int]:
-        """Ids and inner products of the k nearest verified vectors, the distance of the last, and how many were verified."""
-        size = np.linalg.norm(query)
-        projected = np.append(query * (self.norm / size), 0.0) @ self.directions
-        radius, far = min(start, 2.0 * self.norm), 2.0 * self.norm
-        todo = self.ids != query_id
-        others = int(todo.sum())
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, start: float) -> list[tuple[np.ndarray, np.ndarray, float, int]]:
+        """For each query: ids and inner products of the k nearest verified vectors, the distance of the last, and how many were verified."""
+        size = np.linalg.norm(queries, axis=1)
+        projected = ((queries * (self.norm / size)[:, None]) @ self.directions[:-1]).T.astype(np.float32)
+        far = 2.0 * self.norm
+        radius = np.full(len(queries), min(start, far))
         windows = self.windows(projected, radius)
-        count = self.collisions(windows)
-        seen, scores = np.zeros(0, np.int64), np.zeros(0)
-        while True:
-            new = np.flatnonzero(todo & (count >= self.least)) if radius < far else np.flatnonzero(todo)
-            todo[new] = False
-            seen, scores = np.concatenate((seen, new)), np.concatenate((scores, self.vectors[new] @ query))
-            if len(seen) >= min(k, others):
-                best = np.argpartition(-scores, k - 1)[:k] if len(seen) > k else np.arange(len(seen))
-                if len(seen) > k:  # ties at the last place
-                    best = np.flatnonzero(scores >= scores[best].min())
-                best = best[np.lexsort((self.ids[seen[best]], -scores[best]))][:k]
-                reach = sqrt(max(2 * self.norm**2 - 2 * self.norm * scores[best[-1]] / size, 0)) if len(best) else 0.0
-                if reach <= radius or radius >= far:
-                    return self.ids[seen[best]], scores[best], reach, len(seen)
-            radius = min(radius * GROWTH, far)
-            wider = self.windows(projected, radius)
-            count += self.entered(windows, wider)
-            windows = wider
+        todo = [self.ids != q for q in query_ids]
+        count: list[np.ndarray] = [self.collisions(w) for w in windows]
+        seen = [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        out: dict[int, tuple] = {}
+        while len(out) < len(queries):
+            left = [q for q in range(len(queries)) if q not in out]
+            for q in left:
+                new = np.flatnonzero(todo[q] & (count[q] >= self.least)) if radius[q] < far else np.flatnonzero(todo[q])
+                todo[q][new] = False
+                at, scores = (np.concatenate(x) for x in zip(seen[q], (new, self.vectors[new] @ queries[q]), strict=True))
+                seen[q] = at, scores
+                if len(at) >= k or not todo[q].any():
+                    best = np.argpartition(-scores, k - 1)[:k] if len(at) > k else np.arange(len(at))
+                    if len(at) > k:  # ties at the last place
+                        best = np.flatnonzero(scores >= scores[best].min())
+                    best = best[np.lexsort((self.ids[at[best]], -scores[best]))][:k]
+                    reach = sqrt(max(2 * self.norm**2 - 2 * self.norm * scores[best[-1]] / size[q], 0)) if len(best) else 0.0
+                    if reach <= radius[q] or radius[q] >= far:
+                        out[q] = self.ids[at[best]], scores[best], reach, len(at)
+            left = [q for q in left if q not in out]
+            if left:
+                radius[left] = np.minimum(radius[left] * GROWTH, far)
+                wider = self.windows(projected[:, left], radius[left])
+                for q, w in zip(left, wider, strict=True):
+                    count[q] += self.entered(windows[q], w)
+                    windows[q] = w
+        return [out[q] for q in range(len(queries))]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -142,13 +155,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
         if len(stored) and len(asked):
             matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
             index = Index(stored["vec_id"].to_numpy(), matrix(stored), norm)
-            reach = []
-            for q, v in zip(asked["vec_id"].to_numpy().tolist(), matrix(asked), strict=True):
+            reach: list[float] = []
+            ids, vectors = asked["vec_id"].to_numpy(), matrix(asked)
+            for a in range(0, len(ids), TOGETHER):
                 start = START * float(np.median(reach[-50:])) if reach else norm / 2
-                ids, scores, last, _ = index.search(q, v, k, max(start, norm / 100))
-                reach.append(last)
-                for part, values in zip(out, (np.full(len(ids), q), ids, scores), strict=True):
-                    part.append(values)
+                hits = index.search(ids[a : a + TOGETHER], vectors[a : a + TOGETHER], k, max(start, norm / 100))
+                reach += [last for *_, last, _ in hits]
+                for q, (near, scores, *_) in zip(ids[a : a + TOGETHER].tolist(), hits, strict=True):
+                    for part, values in zip(out, (np.full(len(near), q), near, scores), strict=True):
+                        part.append(values)
             release()
         return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
 
