@@ -42,29 +42,31 @@ def lexical_encoder(dims: int = DIMS):
 
     import numpy as np
 
-    words: dict[str, tuple[list[int], list[float]]] = {}
+    words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-    def features(word: str) -> tuple[list[int], list[float]]:
-        at, by = [], []
-        for token, weight in [(word, 2.0), *((word[i : i + n], 1.0) for n in (2, 3) for i in range(len(word) - n + 1))]:
-            digest = hashlib.md5(token.encode("utf-8", "replace")).digest()
-            at.append(int.from_bytes(digest[:4], "big") % dims)
-            by.append(weight if digest[4] & 1 else -weight)
-        return at, by
+    def features(word: str) -> tuple[np.ndarray, np.ndarray]:
+        tokens = [word, *(word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1))]
+        digests = [hashlib.md5(t.encode("utf-8", "replace")).digest() for t in tokens]
+        weight = np.array([1.0 if x[4] & 1 else -1.0 for x in digests])
+        weight[0] *= 2
+        return np.array([int.from_bytes(x[:4], "big") % dims for x in digests], np.int64), weight
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dims))
-        for row, text in zip(out, texts, strict=True):
-            at, by = [], []
-            for word in re.split(r"[ \t\n\x0b\f\r]+", text.lower()):
-                if word:
-                    if (found := words.get(word)) is None:
-                        if len(words) >= 50_000:
-                            words.clear()
-                        found = words[word] = features(word)
-                    at += found[0]
-                    by += found[1]
-            row += np.bincount(np.array(at, np.int64), by, dims)
+        each = [[w for w in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if w] for t in texts]
+        number = {w: k for k, w in enumerate(dict.fromkeys(w for ws in each for w in ws))}
+        if len(words) + len(number) > 100_000:
+            words.clear()
+        found = [words.get(w) or words.setdefault(w, features(w)) for w in number]
+        if not found:
+            return np.zeros((len(texts), dims))
+        sizes = np.array([len(at) for at, _ in found])
+        starts = np.cumsum(sizes) - sizes
+        at, by = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        codes = np.fromiter((number[w] for ws in each for w in ws), np.int64)
+        n, before = sizes[codes], np.cumsum(sizes[codes]) - sizes[codes]
+        index = np.repeat(starts[codes] - before, n) + np.arange(int(n.sum()))
+        row = np.repeat(np.repeat(np.arange(len(texts)), [len(ws) for ws in each]), n)
+        out = np.bincount(row * dims + at[index], by[index], len(texts) * dims).reshape(len(texts), dims)
         size = np.sqrt((out * out).sum(axis=1))[:, None]
         return np.divide(out, size, out=out, where=size > 0)
 
@@ -96,8 +98,8 @@ def lexical_block(queries: DataFrame, query_key: str, docs: DataFrame, doc_key:
     def run(batches):
         encode = lexical_encoder()
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.slice(a, 500)
+            for a in range(0, len(batch), 200):
+                part = batch.slice(a, 200)
                 part = part.take(pa.compute.sort_indices(part.column(0)))
                 scores = np.rint(matrix @ encode(part.column(1).to_pylist()).T * 1e6)
                 # Larger scores first, then smaller keys, as one number.
