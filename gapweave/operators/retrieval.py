@@ -44,12 +44,24 @@ def lexical_encoder(dims: int = DIMS):
 
     words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
+    grams: dict[str, int] = {}  # twice the bucket, and 1 more if the sign is +
+
+    def code(token: str) -> int:
+        digest = hashlib.md5(token.encode("utf-8", "replace")).digest()
+        return int.from_bytes(digest[:4], "big") % dims * 2 + (digest[4] & 1)
+
+    def gram(token: str) -> int:
+        if (found := grams.get(token)) is None:
+            if len(grams) >= 200_000:
+                grams.clear()
+            found = grams[token] = code(token)
+        return found
+
     def features(word: str) -> tuple[np.ndarray, np.ndarray]:
-        tokens = [word, *(word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1))]
-        digests = [hashlib.md5(t.encode("utf-8", "replace")).digest() for t in tokens]
-        weight = np.array([1.0 if x[4] & 1 else -1.0 for x in digests])
+        codes = np.array([code(word), *(gram(word[i : i + n]) for n in (2, 3) for i in range(len(word) - n + 1))], np.int64)
+        weight = np.where(codes & 1, 1.0, -1.0)
         weight[0] *= 2
-        return np.array([int.from_bytes(x[:4], "big") % dims for x in digests], np.int64), weight
+        return codes >> 1, weight
 
     def encode(texts: list[str]) -> np.ndarray:
         each = [[w for w in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if w] for t in texts]
