@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.llm import decontamination, language_id, line_dedup, nearest, ngram_join, sentencepiece_bpe, token_counts, toxicity, vbyte, warc
+from gapweave.llm import decontamination, dual_tree, exact_dedup, hard_negatives, language_id, line_dedup, nearest, ngram_join, sentencepiece_bpe, token_counts, toxicity, vbyte, warc
 from gapweave.llm.common import scratch, table
 from gapweave.llm.features import held_out
 
@@ -99,3 +99,28 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.clustered(table(spark, sf_dir, "embeddings"), F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256), k=40, rounds=5, dims=64)
+
+
+ORACLE_SQL["op11_centroids"] = dual_tree.SQL
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
+ORACLE_SQL["op12_hard_negatives"] = hard_negatives.SQL
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.assigned(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_exact_dedup"] = exact_dedup.SQL
