@@ -77,7 +77,7 @@ def chunks(texts: pa.Array):
     data, begins = binary_view(texts, np.uint8)
     raw = memoryview(data)
     for begin, ends in zip(begins[:-1].tolist(), cuts(data, begins), strict=True):
-        yield [raw[a:b] for a, b in zip([begin, *ends[:-1]], ends, strict=True)]
+        yield [raw[a:b] for a, b in zip([begin, *ends][: len(ends)], ends, strict=True)]
 
 
 def identifier(chunk: memoryview, seed: int) -> bytes:
