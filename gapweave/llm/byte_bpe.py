@@ -2,7 +2,9 @@
 
 The ids are those of the tokenizers library for its vocabulary file. Where the file is a plain byte-level one whose
 ranks also exist as a file for the tiktoken library, ordinary texts go to that library, which gives the same ids several
-times faster; texts that hold a string of a special token go to the tokenizers library, as do all texts of other files.
+times faster. Texts that hold a string of a special token, or so long a run of white space that the other library's word
+pattern could exhaust its stack, go to the tokenizers library, as do all texts of other files. Should the other library
+still give up on a text, the tokenizers library takes that one too. Nothing depends on which library took a text.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +22,9 @@ from tokenizers import Tokenizer
 #: The word pattern of byte-level vocabularies of this kind, as the tokenizers library has it built in (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: A run of white space of such a length (known good: 500,000; known bad: 1,000,000). Only the start of a run is tried.
+LONG_BLANK = re.compile(r"(?<!\s)\s{20000}")
+
 
 class Encoder:
     """special_as_text: strings of special tokens within a text are ordinary text."""
@@ -40,9 +46,13 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of one text as uint32."""
-        if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.fast.encode_ordinary(text), np.uint32)
+        if self.fast is not None and not any(s in text for s in self.special) and not LONG_BLANK.search(text):
+            try:
+                return np.array(self.fast.encode_ordinary(text), np.uint32)
+            except BaseException as e:  # a panic of the library is no Exception
+                if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
+                    raise
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)

@@ -1,13 +1,15 @@
 """Benchmark decontamination: short test items found inside long documents by MinHash containment search.
 
 Texts are sets of runs of five words; an item of one to four words is one run of all its words. An item is contained in a
-document that has a share of at least `threshold` of the item's shingles. Items are partitioned by size, and the size n
-decides the length of the MinHash sketch: of n shingles at most n - ceil(threshold * n) may be missing, so the sketch is
-the n - ceil(threshold * n) + 1 shingles of smallest hash. Every containing document has one of them at least, so the
-search by sketches loses no pair. Candidates are found by the sketches' hashes alone, about a fifth of the items'
-shingles; only documents that are candidates are read again, and each candidate pair is verified by counting all shared
-shingles. (Banded signatures of whole documents lose such pairs: the Jaccard similarity of 30 shingles and a document of
-10,000 is 0.003, for which even 256 bands of one value miss half of them.)
+document that has a share of at least `threshold` of the item's shingles. Items are partitioned in classes of size, each
+twice as large as the one before. The MinHash sketch of an item of n shingles is its smallest hashes: of n shingles at most
+n - ceil(threshold * n) may be missing, and the sketch has HITS more than may be missing. The largest hash in any sketch of
+a class bounds the class, and a document's sketch for the class is all its hashes up to that bound, so the two sketches
+estimate the containment: the share of the item's sketch that the document's has. A pair goes on if the sketch misses no
+more than may be missing; no pair at the threshold is lost, and one shared passing phrase is not enough. A document's
+sketches are nested, so the widest is searched and holds the others. Only documents that are candidates are read again, and
+each candidate pair is verified by counting all shared shingles. (Banded signatures of whole documents lose such pairs: the
+Jaccard similarity of 30 shingles and a document of 10,000 is 0.003, for which even 256 bands of one value miss half.)
 
 Everything is DataFrame functions. Shingles are compared by 64-bit hashes of the hashes of their words. Documents are
 never shuffled as long as sketches and candidates are few enough to broadcast, which is counted first; beyond that Spark
@@ -30,6 +32,8 @@ from gapweave.llm.common import SHINGLE_WORDS, SIMILARITY, fresh, materialise, w
 
 #: Sketches, candidates and ids of documents to drop are broadcast up to so many bytes, at ROW_BYTES each.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
+#: Hashes that a sketch has beyond those that may be missing, and so the least number that a candidate shares.
+HITS = 2
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -49,14 +53,21 @@ def shingles(text: Column, sizes: list[int]) -> Column:
 
 
 def item_shingles(items: DataFrame, item_id: str, text: str, threshold: float) -> DataFrame:
-    """item_id, h, n (shingles of the item), k (place of h by its value) and words (its length in words)."""
+    """item_id, h, n (shingles of the item), words (its length in words), size_class, in_sketch and hits (how many of its sketch a candidate needs)."""
     hashes = F.transform(words(F.col(text)), lambda x: F.xxhash64(x))
     each = items.select(F.col(item_id).alias("item_id"), F.explode(F.array(hashes)).alias("w")).where(F.size("w") > 0)
     by_size = F.coalesce(*[F.when(F.size("w") == n, runs_of(F.col("w"), n)) for n in range(1, SHINGLE_WORDS)], runs_of(F.col("w"), SHINGLE_WORDS))
     each = each.select("item_id", F.least(F.size("w"), F.lit(SHINGLE_WORDS)).alias("words"), F.explode(by_size).alias("h")).distinct()
     of_item = Window.partitionBy("item_id")
     sized = each.withColumn("n", F.count("*").over(of_item)).withColumn("k", F.row_number().over(of_item.orderBy("h", "words")))
-    return sized.withColumn("in_sketch", F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).drop("k")
+    missing = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)
+    length = F.least(F.col("n"), missing + HITS)
+    return sized.withColumns({"size_class": F.floor(F.log2("n")).cast("int"), "in_sketch": F.col("k") <= length, "hits": length - missing}).drop("k")
+
+
+def bounds(wanted: DataFrame) -> dict[int, int]:
+    """The largest sketched hash of each class of size: one entry for each power of two, 63 at most."""
+    return {r["size_class"]: r["bound"] for r in wanted.where("in_sketch").groupBy("size_class").agg(F.max("h").alias("bound")).collect()}
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -69,9 +80,11 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY,
     wanted = materialise(item_shingles(items, item_id, item_text, threshold), "item-shingles")
     sizes = sorted(r["words"] for r in wanted.select("words").distinct().collect()) or [SHINGLE_WORDS]  # five values at most
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
-    sketches = small(wanted.where("in_sketch").select("item_id", "h"))
-    hits = docs.select("doc_id", F.explode(shingles(F.col("text"), sizes)).alias("h")).join(sketches, "h")
-    pairs = materialise(hits.select("doc_id", "item_id").distinct(), "contamination-candidates")
+    sketches = small(wanted.where("in_sketch").select("item_id", "h", "hits"))
+    widest = max(bounds(wanted).values(), default=0)
+    sketched = docs.select("doc_id", F.explode(F.filter(shingles(F.col("text"), sizes), lambda h: h <= widest)).alias("h"))
+    shares = sketched.join(sketches, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("both"), F.first("hits").alias("hits"))
+    pairs = materialise(shares.where("both >= hits").select("doc_id", "item_id"), "contamination-candidates")
     whole = wanted.groupBy("item_id").agg(F.first("n").alias("n"), F.collect_list("h").alias("item"))
     asked = pairs.join(whole, pairs["item_id"].eqNullSafe(whole["item_id"])).select(pairs["doc_id"].alias("asked_id"), pairs["item_id"], "n", "item")
     ids = small(materialise(pairs.select(F.col("doc_id").alias("asked_id")).distinct(), "contamination-documents"))

@@ -8,7 +8,8 @@ before it and where the document that it begins with has started, which stitches
 The files say nothing of ids of documents; what was written in which order stands in a listing of its own, which only
 names the counted documents. A file whose last id is no separator has one more document there.
 
-Null and empty texts are documents of 0 ids. Equal rows are documents of their own. An empty table gives no rows.
+Null and empty texts are documents of 0 ids. Texts of any length are encoded whole. Equal rows are documents of their own.
+An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.llm.byte_bpe import encoder
-from gapweave.llm.common import list_array, materialise
+from gapweave.llm.common import bounded_batches, list_array, materialise
 from gapweave.llm.vbyte import id_type
 
 #: One table holds blocks (tokens) and listings (doc_ids from the place `first` in the file on, block null).
@@ -60,7 +61,7 @@ def write_files(docs: DataFrame, tokenizer: str, separator: int, block_ids: int
         if order:
             yield row(None, None, order, first)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(write, FILES)
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(write, FILES)
     return materialise(rows, "flat-token-files", compression="zstd")
 
 
@@ -74,7 +75,7 @@ def scan(files: DataFrame, separator: int, width: str = "<u2") -> DataFrame:
                 ends = np.flatnonzero(ids == separator)
                 yield pa.record_batch([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([len(ids)], pa.int64()), list_array(ends.astype(np.int32), np.array([len(ends)]))], names=["file", "block", "n", "ends"])
 
-    found = files.where("block IS NOT NULL").select("file", "block", "tokens").mapInArrow(search, "file int, block int, n long, ends array<int>")
+    found = bounded_batches(files).where("block IS NOT NULL").select("file", "block", "tokens").mapInArrow(search, "file int, block int, n long, ends array<int>")
     in_order = Window.partitionBy("file").orderBy("block")
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     found = materialise(found, "separators")

@@ -11,7 +11,8 @@ is a block: `bucket` (number of the range), `block` (number within the range), `
 block), `doc_ids`, `counts` (ids of each document), `control`, `data`. Documents are never cut.
 
 Null and empty texts have the end id only. Null doc_ids come first. Rows of equal doc_id each keep their ids; the one
-with fewer ids stands first. An empty table gives no rows. Other columns are not read.
+with fewer ids stands first. Texts of any length are encoded whole; a document is never cut, so a block may be longer than
+its bound. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -38,43 +38,51 @@ def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 def packed(rows: DataFrame, name: str, most: int, *order: Column) -> DataFrame:
-    """block, n and data: `rows` (a written table) in ranges of `order`, of about `most` rows each and never twice as many."""
+    """block, part and data: `rows` (a written table) in ranges of `order`, of about `most` rows each; a range of over twice as many is cut in parts."""
     schema = rows.schema
     m = max(1, ceil(rows.count() / most))
 
     def pack(batches):
-        block, parts, n = TaskContext.get().partitionId(), [], 0
+        block, part, parts, n = TaskContext.get().partitionId(), 0, [], 0
 
         def row():
-            return pa.record_batch([pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([bytes_of(pa.Table.from_batches(parts))], pa.binary())], names=["block", "n", "data"])
+            return pa.record_batch([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([bytes_of(pa.Table.from_batches(parts))], pa.binary())], names=["block", "part", "data"])
 
         for batch in batches:
             for k in range(0, len(batch), most):
-                part = batch.slice(k, most)
-                if n + len(part) > 2 * most:
+                some = batch.slice(k, most)
+                if n and n + len(some) > 2 * most:
                     yield row()
-                    parts, n = [], 0
-                parts.append(part)
-                n += len(part)
+                    part, parts, n = part + 1, [], 0
+                parts.append(some)
+                n += len(some)
         if n:
             yield row()
         release()
 
     dealt = rows.repartitionByRange(m, *order).sortWithinPartitions(*order)
-    return materialise(bounded_batches(dealt).select(*schema.names).mapInArrow(pack, "block int, n long, data binary"), name)
+    return materialise(bounded_batches(dealt).select(*schema.names).mapInArrow(pack, "block int, part int, data binary"), name)
 
 
-def paired(asked: DataFrame, stored: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """`run(queries, vectors)` of every block of `asked` with every block of `stored` (both from packed())."""
+def paired(asked: DataFrame, stored: DataFrame, run: Callable, schema: str, prepare: Callable[[pa.Table], object] = lambda table: table) -> DataFrame:
+    """`run(queries, prepare(vectors))` of every block of `asked` with every block of `stored` (both from packed()).
+
+    All query blocks that meet a block of vectors do so in one task, one after another, so that `prepare` runs once for it.
+    """
     m = (stored.agg(F.max("block")).first()[0] or 0) + 1
 
     def each(batches):
+        last, ready = None, None
         for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                yield from run(table_of(a), table_of(b)).to_batches()
+            for number, a, b in zip(*batch.columns, strict=True):
+                if number.as_py() != last:
+                    ready = None  # frees the block before
+                    last, ready = number.as_py(), prepare(table_of(b))
+                yield from run(table_of(a), ready).to_batches()
         release()
 
-    # Keys are few, so more partitions than keys keep two of them from meeting often.
+    # Keys are few, so more partitions than keys keep two of them from meeting often. A block number may have two parts.
     copies = asked.select(F.col("data").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("block")).repartition(4 * m, "block")
-    both = copies.join(stored.select("block", "data").repartition(4 * m, "block").hint("merge"), "block")
-    return bounded_batches(both).select("asked", "data").mapInArrow(each, schema)
+    both = copies.join(stored.select("block", "part", "data").repartition(4 * m, "block").hint("merge"), "block")
+    number = (F.col("block").cast("long") * (1 << 32) + F.col("part")).alias("number")
+    return bounded_batches(both.select(number, "asked", "data").sortWithinPartitions("number")).mapInArrow(each, schema)

@@ -4,6 +4,7 @@ import io
 import random
 import string
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -158,18 +159,70 @@ def test_nearest_on_the_embeddings_and_odd_vectors(spark):
         assert [(-y, v) for _, v, y in mine] == sorted((-y, v) for _, v, y in mine)
         hits, want = hits + len({v for _, v, _ in mine} & set(ids[np.argsort(-s)[:20]])), want + 20
     assert hits >= 0.9 * want
-    index, shares = nearest.Index(ids, x, float(np.linalg.norm(x, axis=1).max())), []
-    asked = np.arange(0, 2000, 20)
-    for a in range(0, len(asked), 20):  # as the tasks do it
-        q = asked[a : a + 20]
-        shares += [(r[3] / len(ids), r[2]) for r in index.search(ids[q], x[q], 20, nearest.START * np.median([r for _, r in shares]) if shares else 0.5)]
-    shares = [s for s, _ in shares]
+    index = nearest.Ranges(ids, x)
+    shares = [index.search(int(ids[q]), x[q], 20)[2] / len(ids) for q in range(0, 2000, 20)]  # as the tasks do it
     assert np.mean(shares) < 0.1  # of all vectors are verified
     ties = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(30)] + [(3, [1.0, 0.0]), (40, [0.0, 0.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("v", F.lit(2))
     near = nearest.search(ties, F.col("vec_id") % 20 == 0, k=5).collect()
     assert sorted((r.query_id, r.rank, r.vec_id) for r in near) == [(0, k, k) for k in range(1, 6)] + [(20, k + 1, k) for k in range(5)]
 
 
+@pytest.mark.parametrize("length", [100.0, 1000.0, 1e38])
+def test_nearest_beside_long_vectors(spark, length):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(5_000, 64))
+    x[77] *= length
+    if length == 1e38:
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+        x[78], x[79] = 2e38, -2e38
+    ids = np.arange(5_000)
+    index, hits, shares = nearest.Ranges(ids, x), 0, []
+    for q in range(0, 5_000, 50):
+        found, scores, verified = index.search(q, x[q], 20)
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert np.allclose(scores, s[found], rtol=1e-12)
+        hits += len(set(found.tolist()) & set(np.argsort(-s, kind="stable")[:20].tolist()))
+        shares.append(verified / 5_000)
+    assert hits >= 0.9 * 20 * 100 and np.mean(shares) < 0.1
+    if length == 1e38:
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x[:400])], "vec_id long, embedding array<float>")
+        got = nearest.search(df, F.col("vec_id") % 20 == 0, k=3).where("query_id = 60").orderBy("rank").collect()
+        want = np.argsort(-np.where(np.arange(400) == 60, -np.inf, x[:400] @ x[60]), kind="stable")[:3].tolist()
+        assert len(got) == 3 and got[0].vec_id == want[0] == 79
+
+
+def test_windows_count_collisions():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 8))
+    index = nearest.Index(np.arange(900), x, np.linalg.norm(x, axis=1))
+    share = np.linalg.norm(x, axis=1) / index.norm
+    projected = (np.column_stack((x / index.norm, np.sqrt(1 - share * share))) @ index.directions).astype(np.float32)
+    own = (x[0] / np.linalg.norm(x[0]) @ index.directions[:-1]).astype(np.float32)
+    last = None
+    for radius in (0.01, 0.3, 0.9, 1.5, 2.0):
+        windows = index.windows(own, radius)
+        half = np.float32(nearest.HALF_WIDTH * radius)
+        want = ((projected >= own - half) & (projected <= own + half)).sum(axis=1)
+        assert index.collisions(windows).tolist() == want.tolist()
+        if last:
+            assert (index.collisions(last) + index.entered(last, windows)).tolist() == want.tolist()
+        last = windows
+
+
+def test_long_runs_of_white_space(spark):
+    path = queries.vocabulary("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(1)
+    texts = [" " * 2_000_000 + "x", "\n" * 2_000_000 + "x", "\t" * 2_000_000, "a" + "".join(rng.choice(" \n\t\r\u3000") for _ in range(1_500_000)) + "b", (" " * 19_999 + "x") * 3, "plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ids = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [byte_bpe.encoder(path).encode(t).tolist() for t in texts] == ids
+    want = {k: (len(i) + 1, zlib.crc32(np.array([*i, 0], "<u4").tobytes())) for k, i in enumerate(ids)}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in vbyte.write_and_read(docs, path).collect()} == want
+    assert {r.doc_id: r.n_tokens for r in token_counts.write_and_count(docs, path, 50256).collect()} == {k: len(i) for k, i in enumerate(ids)}
+
+
 def test_warc_edges(spark, tmp_path):
     schema = "page_id long, url string, html string, payload string, record_type string, original long"
     none = spark.createDataFrame([], schema)
