@@ -23,7 +23,8 @@ from tokenizers import Tokenizer
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: A run of white space of such a length (known good: 500,000; known bad: 1,000,000). Only the start of a run is tried.
-LONG_BLANK = re.compile(r"(?<!\s)\s{20000}")
+MOST_BLANK = 20_000
+LONG_BLANK = re.compile(rf"(?<!\s)\s{{{MOST_BLANK}}}")
 
 
 class Encoder:
@@ -46,7 +47,7 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of one text as uint32."""
-        if self.fast is not None and not any(s in text for s in self.special) and not LONG_BLANK.search(text):
+        if self.fast is not None and not any(s in text for s in self.special) and (len(text) < MOST_BLANK or not LONG_BLANK.search(text)):
             try:
                 return np.array(self.fast.encode_ordinary(text), np.uint32)
             except BaseException as e:  # a panic of the library is no Exception

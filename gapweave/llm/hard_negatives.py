@@ -11,7 +11,7 @@ all that can still qualify there: below the bands of the anchor's positives or t
 above all bands. Vectors and anchors without an open pair leave the remaining planes, and once few pairs are open these
 are carried on one by one. What is left after the last plane has its exact score.
 
-Anchors meet all rows block by block (see vector_blocks); blocks are ranges of labels, and a window keeps the best of all
+Anchors meet all rows block by block (see vector_blocks); blocks are in order of labels, and a window keeps the best of all
 blocks. Products are exact: in single or double precision while all partial sums are exact there, else in 64-bit integers.
 
 Rows with a null id, label or vector, with a null or non-finite component, with another length than most, or with a
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.llm.common import materialise
-from gapweave.llm.vector_blocks import matrix, packed, paired
+from gapweave.llm.vector_blocks import dealt, matrix, packed, paired
 
 SCALE = 256
 #: Vectors of a block, and of those looked at together; anchors of a block.
@@ -169,19 +169,19 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     all_rows = materialise(usable(rows, vec_id, label, vector), "labelled-vectors")
     shape = all_rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     all_rows = all_rows if shape is None else all_rows.where(F.size("v") == shape["dims"])
-    order = F.col("label"), F.xxhash64("vec_id"), F.col("vec_id")
-    stored = packed(all_rows, "vector-blocks", BLOCK_ROWS, *order)
+    order = F.col("label"), F.col("vec_id")
+    stored = packed(all_rows, "vector-blocks", BLOCK_ROWS, dealt(all_rows, BLOCK_ROWS), *order)
     anchors = materialise(all_rows.where(is_anchor), "anchors")
 
     def best(found: DataFrame, k: int) -> DataFrame:
         ranked = Window.partitionBy("anchor_id", "band").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
-    near = paired(packed(anchors, "anchor-blocks", ANCHORS, *order), stored, lambda a, s: positives_of(a, s, positives), FOUND)
+    near = paired(packed(anchors, "anchor-blocks", ANCHORS, dealt(anchors, ANCHORS), *order), stored, lambda a, s: positives_of(a, s, positives), FOUND)
     near = materialise(best(near, positives).select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"), (F.col("rank") - 1).cast("long").alias("band")), "positives")
     bands = near.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("band", "positive_score")))["positive_score"].alias("scores"))
     asked = materialise(anchors.join(bands, anchors["vec_id"] == bands["anchor_id"]).drop("anchor_id"), "anchors-with-bands")
-    hard = best(paired(packed(asked, "banded-anchor-blocks", ANCHORS, *order), stored, lambda a, s: negatives_of(a, s, negatives, least, most), FOUND), negatives)
+    hard = best(paired(packed(asked, "banded-anchor-blocks", ANCHORS, dealt(asked, ANCHORS), *order), stored, lambda a, s: negatives_of(a, s, negatives, least, most), FOUND), negatives)
     return hard.join(near, ["anchor_id", "band"]).select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 

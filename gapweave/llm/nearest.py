@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.llm.common import materialise
-from gapweave.llm.vector_blocks import matrix, packed, paired
+from gapweave.llm.vector_blocks import dealt, matrix, packed, paired
 
 HALF_WIDTH, GROWTH = 1.3, 1.07
 #: P(|standard normal| <= HALF_WIDTH)
@@ -50,6 +50,8 @@ LISTED = 8
 INDEX_ROWS, BLOCK_ROWS, VECTOR_BYTES = 30_000, 2_048, 16 << 20
 #: Largest norm of an index by its smallest; vectors of an index at least.
 NORM_RANGE, FEW = 1.25, 256
+#: Ranges of norms that vectors are dealt by, at most; the driver holds their limits.
+RANGES = 64
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -191,6 +193,19 @@ def directions(dims: int) -> np.ndarray:
     return np.random.default_rng(20170801).normal(size=(dims + 1, MOST_FUNCTIONS))
 
 
+def by_norm(rows: DataFrame, most: int) -> Column:
+    """A block number: ranges of `norm`, RANGES at most, each dealt by a hash to as many blocks as its rows take."""
+    n = min(RANGES, max(1, rows.count() // most))
+    cuts = rows.agg(F.percentile_approx("norm", [k / n for k in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else []
+    range_ = F.size(F.filter(F.array(*map(F.lit, cuts or [])).cast("array<double>"), lambda c: c <= F.col("norm")))
+    blocks = {r["r"]: max(1, round(r["count"] / most)) for r in rows.groupBy(range_.alias("r")).count().orderBy("r").collect()}
+    before, out = 0, F.lit(0)
+    for r, size in blocks.items():
+        out = F.when(range_ == r, before + F.pmod(F.xxhash64("vec_id", "v"), F.lit(size))).otherwise(out)
+        before += size
+    return out.cast("int")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest vectors found for each row that is a query."""
     rows = materialise(usable(vectors, vec_id, vector), "vectors")
@@ -200,8 +215,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     long = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
     norm = long * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / long) * (x / long)))
     ranged = materialise(rows.withColumn("norm", norm), "ranged-vectors")
-    stored = packed(ranged, "vector-blocks", min(INDEX_ROWS, most), F.desc("norm"), F.xxhash64("vec_id", "v"))
-    asked = packed(materialise(rows.where(is_query), "queries"), "query-blocks", min(BLOCK_ROWS, most), F.xxhash64("vec_id", "v"))
+    stored = packed(ranged, "vector-blocks", min(INDEX_ROWS, most), by_norm(ranged, min(INDEX_ROWS, most)), F.desc("norm"), F.col("vec_id"))
+    queries = materialise(rows.where(is_query), "queries")
+    asked = packed(queries, "query-blocks", min(BLOCK_ROWS, most), dealt(queries, min(BLOCK_ROWS, most)), F.col("vec_id"))
 
     def run(asked: pa.Table, index: Ranges) -> pa.Table:
         out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]

@@ -12,7 +12,6 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,31 +36,42 @@ def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def packed(rows: DataFrame, name: str, most: int, *order: Column) -> DataFrame:
-    """block, part and data: `rows` (a written table) in ranges of `order`, of about `most` rows each; a range of over twice as many is cut in parts."""
-    schema = rows.schema
-    m = max(1, ceil(rows.count() / most))
+def dealt(rows: DataFrame, most: int) -> Column:
+    """A block number by a hash of vec_id, so that blocks have about `most` rows."""
+    return F.pmod(F.xxhash64("vec_id"), F.lit(max(1, ceil(rows.count() / most)))).cast("int")
+
+
+def packed(rows: DataFrame, name: str, most: int, block: Column, *order: Column) -> DataFrame:
+    """block, part and data: `rows` by their number `block`, in `order`; a block of over twice `most` rows is cut in parts."""
+    names = rows.columns
+    numbered = rows.withColumn("block", block)
+    m = (numbered.agg(F.max("block")).first()[0] or 0) + 1
 
     def pack(batches):
-        block, part, parts, n = TaskContext.get().partitionId(), 0, [], 0
+        block, part, parts, n = None, 0, [], 0
 
         def row():
             return pa.record_batch([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([bytes_of(pa.Table.from_batches(parts))], pa.binary())], names=["block", "part", "data"])
 
         for batch in batches:
-            for k in range(0, len(batch), most):
-                some = batch.slice(k, most)
-                if n and n + len(some) > 2 * most:
-                    yield row()
-                    part, parts, n = part + 1, [], 0
-                parts.append(some)
-                n += len(some)
+            own = batch.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            data = pa.record_batch(batch.columns[1:], names=names)
+            for a, b in zip(cut, cut[1:], strict=False):
+                for k in range(a, b, most):
+                    some = data.slice(k, min(most, b - k))
+                    if n and (own[k] != block or n + len(some) > 2 * most):
+                        yield row()
+                        part, parts, n = part + 1 if own[k] == block else 0, [], 0
+                    block = int(own[k])
+                    parts.append(some)
+                    n += len(some)
         if n:
             yield row()
         release()
 
-    dealt = rows.repartitionByRange(m, *order).sortWithinPartitions(*order)
-    return materialise(bounded_batches(dealt).select(*schema.names).mapInArrow(pack, "block int, part int, data binary"), name)
+    shuffled = numbered.repartition(m, "block").sortWithinPartitions("block", *order)
+    return materialise(bounded_batches(shuffled).select("block", *names).mapInArrow(pack, "block int, part int, data binary"), name)
 
 
 def paired(asked: DataFrame, stored: DataFrame, run: Callable, schema: str, prepare: Callable[[pa.Table], object] = lambda table: table) -> DataFrame:

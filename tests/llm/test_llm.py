@@ -73,7 +73,7 @@ def test_variable_length_codes():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])
     columns = sorted(df.columns)
