@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapweave.operators import catalogue as cat
 from gapweave.operators import documents, gap, graph, learning, recall, replay, retrieval, team
 from gapweave.sources.scratch import materialise
 
@@ -22,16 +23,36 @@ def nobody(tables: Tables) -> DataFrame:
     return tables["training_record"].select("employee_id", "course_id").where("false")
 
 
+def catalogue_of(tables: Tables) -> cat.Catalogue | None:
+    """The catalogue as arrays, if it is small enough to broadcast."""
+    return cat.Catalogue.of(tables["course"], tables["teaches"], tables["prerequisite"])
+
+
+def people(tables: Tables, levels: DataFrame, passed: DataFrame | None) -> DataFrame:
+    """Everyone with gaps, as lists of levels, gaps and passed courses."""
+    return cat.people(levels, gap.gaps(gap.requirements(tables["employee"], tables["requires"], levels)), passed)
+
+
 def recommend(tables: Tables, top_k: int = 5, exclude: DataFrame | None = None, weights: tuple = recall.WEIGHTS) -> DataFrame:
-    """The top_k courses for everyone, with factors, total and rank; `exclude` has (employee_id, course_id) not to be named."""
+    """The top_k courses for everyone, with factors, total and rank; `exclude` has (employee_id, course_id) not to be named.
+
+    A catalogue too large to broadcast is joined with everyone's gaps instead.
+    """
     levels = materialise(tables["has_skill"], "has-skill")
+    if (whole := catalogue_of(tables)) is not None:
+        return cat.ranked(materialise(people(tables, levels, exclude), "people"), whole, top_k, weights)
     gaps = materialise(gap.gaps(gap.requirements(tables["employee"], tables["requires"], levels)), "gaps")
     found = materialise(recall.candidates(gaps, tables["teaches"], exclude), "candidates")
     return recall.ranked(gaps, found, tables["course"], tables["teaches"], tables["prerequisite"], levels, top_k, weights)
 
 
 def reachable(tables: Tables, levels: DataFrame, passed: DataFrame) -> DataFrame:
-    """employee_id, course_id and kept of what everyone's candidates lead to; passed and mastered courses are not kept."""
+    """employee_id, course_id and kept of what everyone's candidates lead to; passed and mastered courses are not kept.
+
+    A catalogue too large to broadcast is expanded by joins, a round for each step.
+    """
+    if (whole := catalogue_of(tables)) is not None:
+        return cat.expanded(materialise(people(tables, levels, passed), "people"), whole)
     gaps = gap.gaps(gap.requirements(tables["employee"], tables["requires"], levels))
     roots = materialise(recall.candidates(gaps, tables["teaches"], passed), "candidates")
     near = graph.expanded(roots, tables["prerequisite"], roots.where("false")).select("employee_id", "course_id")
@@ -39,15 +60,33 @@ def reachable(tables: Tables, levels: DataFrame, passed: DataFrame) -> DataFrame
     return graph.expanded(roots, tables["prerequisite"], materialise(blocked, "blocked"))
 
 
+def ordered(tables: Tables, levels: DataFrame, passed: DataFrame) -> DataFrame:
+    """employee_id, course_id, position and priority of everyone's plan."""
+    if (whole := catalogue_of(tables)) is not None:
+        return cat.ordered(materialise(people(tables, levels, passed), "people"), whole)
+    kept = materialise(reachable(tables, levels, passed).where("kept").select("employee_id", "course_id"), "kept")
+    gaps = gap.gaps(gap.requirements(tables["employee"], tables["requires"], levels))
+    priority = materialise(graph.with_priority(kept, tables["teaches"], gaps), "priority")
+    return graph.topological(kept, tables["prerequisite"], priority).join(priority.withColumn("priority", F.col("priority").cast("double")), ["employee_id", "course_id"])
+
+
+def plan_changes(tables: Tables, before: DataFrame, after: DataFrame, passed: DataFrame) -> DataFrame:
+    """employee_id, course_id, change (removed, added) and place (in the plan that has it) between the plan of the levels
+    `before`, with nothing passed, and that of the levels `after`."""
+    if (whole := catalogue_of(tables)) is not None:
+        return cat.changes(materialise(people(tables, before, None), "people-before"), materialise(people(tables, after, passed), "people-after"), whole)
+    old, new = (materialise(ordered(tables, levels, done), "order").select("employee_id", "course_id", F.col("position").alias("place")) for levels, done in ((before, passed.where("false")), (after, passed)))
+    key = ["employee_id", "course_id"]
+    return old.join(new, key, "left_anti").withColumn("change", F.lit("removed")).unionByName(new.join(old, key, "left_anti").withColumn("change", F.lit("added"))).select(*key, "change", "place")
+
+
 def learning_path(tables: Tables, hours_per_week: float = 4, deadline_weeks: int = 8, completed: DataFrame | None = None) -> dict[str, DataFrame]:
     """order (employee_id, course_id, position), plan (by week), totals and pruned courses of everyone's learning path."""
-    levels = materialise(tables["has_skill"], "has-skill")
-    reached = materialise(reachable(tables, levels, nobody(tables) if completed is None else completed), "reached")
-    kept = reached.where("kept").select("employee_id", "course_id")
-    gaps = gap.gaps(gap.requirements(tables["employee"], tables["requires"], levels))
-    order = materialise(graph.topological(kept, tables["prerequisite"], graph.with_priority(kept, tables["teaches"], gaps)), "order")
+    levels, done = materialise(tables["has_skill"], "has-skill"), nobody(tables) if completed is None else completed
+    order = materialise(ordered(tables, levels, done).select("employee_id", "course_id", "position"), "order")
     plan = graph.packed(order.join(tables["course"].select("course_id", "duration_minutes"), "course_id"), hours_per_week)
-    return {"order": order, "plan": plan, "totals": graph.path_totals(plan, deadline_weeks), "pruned": reached.where("NOT kept").select("employee_id", "course_id")}
+    pruned = reachable(tables, levels, done).where("NOT kept").select("employee_id", "course_id")
+    return {"order": order, "plan": plan, "totals": graph.path_totals(plan, deadline_weeks), "pruned": pruned}
 
 
 def recalculated(tables: Tables, top_k: int = 5, hours_per_week: float = 4, deadline_weeks: int = 8) -> dict[str, DataFrame]:

@@ -107,8 +107,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY to
 
 
 def ranked_courses(d: Domain) -> DataFrame:
-    d.written("has_skill")
-    return recall.ranked(materialise(gaps(d), "gaps"), materialise(found(d), "candidates"), d["course"], d["teaches"], d["prerequisite"], d["has_skill"], top_k=5)
+    return api.recommend(d, 5, replay.passed_courses(d["training_record"]))
 
 
 @query(RANKED)
@@ -138,8 +137,7 @@ def prune_expand(d: Domain) -> DataFrame:
 
 
 def ordered(d: Domain) -> DataFrame:
-    kept = materialise(expanded(d).where("kept").select("employee_id", "course_id"), "kept")
-    return graph.topological(kept, d["prerequisite"], graph.with_priority(kept, d["teaches"], gaps(d)))
+    return api.ordered(d, d.written("has_skill"), replay.passed_courses(d["training_record"]))
 
 
 ORDERED = PRUNED[: PRUNED.index("SELECT DISTINCT employee_id, course_id, kept FROM walk")] + """, kept AS (SELECT DISTINCT employee_id, course_id FROM walk WHERE kept),
@@ -153,13 +151,12 @@ sorted AS (SELECT employee_id, done[-1] AS course_id, position::INT AS position
 
 @query(ORDERED + "SELECT employee_id, course_id, position FROM sorted")
 def topo_order(d: Domain) -> DataFrame:
-    return ordered(d)
+    return ordered(d).drop("priority")
 
 
 @query(ORDERED + "SELECT employee_id, course_id, priority FROM weights")
 def course_priority(d: Domain) -> DataFrame:
-    kept = materialise(expanded(d).where("kept").select("employee_id", "course_id"), "kept")
-    return graph.with_priority(kept, d["teaches"], gaps(d))
+    return ordered(d).select("employee_id", "course_id", F.col("priority").cast("long").alias("priority"))
 
 
 PACKED = ORDERED + """, packed(employee_id, position, course_id, minutes, first_week, parts, week, used) AS (SELECT employee_id, 0, NULL::BIGINT, 0.0::DOUBLE, 1, 0, 1, 0.0::DOUBLE FROM (SELECT DISTINCT employee_id FROM sorted)
@@ -409,8 +406,10 @@ def profile(d: Domain) -> DataFrame:
 @query(PLANS)
 def plan_diff(d: Domain) -> DataFrame:
     """Courses that the whole plan after the replay lacks or has anew against the plan from the levels before."""
-    d.written("has_skill")
-    passed = materialise(replay.passed_courses(d["training_record"]), "passed")
-    before, after = (materialise(api.reachable(d, levels, done).where("kept").select("employee_id", "course_id"), "kept") for levels, done in ((d["has_skill"], passed.where("false")), (profile(d), passed)))
-    removed, added = before.join(after, ["employee_id", "course_id"], "left_anti"), after.join(before, ["employee_id", "course_id"], "left_anti")
-    return removed.withColumn("change", F.lit("removed")).unionAll(added.withColumn("change", F.lit("added")))
+    return plan_changes(d).drop("place")
+
+
+@query()
+def plan_changes(d: Domain) -> DataFrame:
+    """The same with each course's place in its plan, by which the report lists them."""
+    return api.plan_changes(d, d.written("has_skill"), profile(d), materialise(replay.passed_courses(d["training_record"]), "passed"))
