@@ -70,14 +70,17 @@ def ordered(tables: Tables, levels: DataFrame, passed: DataFrame) -> DataFrame:
     return graph.topological(kept, tables["prerequisite"], priority).join(priority.withColumn("priority", F.col("priority").cast("double")), ["employee_id", "course_id"])
 
 
-def plan_changes(tables: Tables, before: DataFrame, after: DataFrame, passed: DataFrame) -> DataFrame:
+def plan_changes(tables: Tables, before: DataFrame, after: DataFrame, passed: DataFrame, with_place: bool = True) -> DataFrame:
     """employee_id, course_id, change (removed, added) and place (in the plan that has it) between the plan of the levels
-    `before`, with nothing passed, and that of the levels `after`."""
+    `before`, with nothing passed, and that of the levels `after`. Without places no plan needs to be put in order."""
     if (whole := catalogue_of(tables)) is not None:
-        return cat.changes(materialise(people(tables, before, None), "people-before"), materialise(people(tables, after, passed), "people-after"), whole)
-    old, new = (materialise(ordered(tables, levels, done), "order").select("employee_id", "course_id", F.col("position").alias("place")) for levels, done in ((before, passed.where("false")), (after, passed)))
-    key = ["employee_id", "course_id"]
-    return old.join(new, key, "left_anti").withColumn("change", F.lit("removed")).unionByName(new.join(old, key, "left_anti").withColumn("change", F.lit("added"))).select(*key, "change", "place")
+        return cat.changes(materialise(people(tables, before, None), "people-before"), materialise(people(tables, after, passed), "people-after"), whole, with_place)
+    key, place = ["employee_id", "course_id"], ["place"] * with_place
+    if with_place:
+        old, new = (materialise(ordered(tables, levels, done), "order").select(*key, F.col("position").alias("place")) for levels, done in ((before, passed.where("false")), (after, passed)))
+    else:
+        old, new = (materialise(reachable(tables, levels, done).where("kept").select(*key), "kept") for levels, done in ((before, passed.where("false")), (after, passed)))
+    return old.join(new, key, "left_anti").withColumn("change", F.lit("removed")).unionByName(new.join(old, key, "left_anti").withColumn("change", F.lit("added"))).select(*key, "change", *place)
 
 
 def learning_path(tables: Tables, hours_per_week: float = 4, deadline_weeks: int = 8, completed: DataFrame | None = None) -> dict[str, DataFrame]:

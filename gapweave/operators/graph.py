@@ -1,7 +1,8 @@
 """Prerequisite chains, pruned closures, schedules and checks of the course graph.
 
-Graphs are edge tables; searches go on in rounds, one for each step away from where they began, and write every round to
-the shared folder. Edges whose ends are null lead nowhere. Repeated edges count once. Empty tables give empty results.
+Graphs are edge tables; searches go on in rounds that write what they find to the shared folder. Chains, closures and cycles
+take a round for each doubling of the number of steps: walks of exactly 2**k steps are joined with themselves, and with all
+shorter ones, so the number of rounds is the logarithm of the longest way. expanded() and cycle_paths() take a round a step. Edges whose ends are null lead nowhere. Repeated edges count once. Empty tables give empty results.
 Ties are broken by smaller course_id, as each function says. Other columns are not read.
 """
 
@@ -17,24 +18,42 @@ from gapweave.sources.scratch import materialise
 
 #: Average level over a course's skills from which it is mastered, by difficulty (fixed values).
 MASTERED = {"beginner": 2, "intermediate": 3, "advanced": 4}
-#: A longer chain of prerequisites counts as a cycle.
-MOST_ROUNDS = 1000
+#: Peeling goes on while a round takes away one edge in so many at least.
+PEEL = 10
 
 
-def chains(prerequisite: DataFrame) -> DataFrame:
-    """course_id, ancestor_id and the longest path between them, for every course with prerequisites; cycles are an error.
+def doubled(jump: DataFrame) -> DataFrame:
+    """(a, b) of walks of twice as many steps."""
+    onward = jump.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    return materialise(jump.join(onward, "b").select("a", F.col("c").alias("b")).distinct(), "jumps")
+
+
+def walks(edges: DataFrame, acyclic: bool) -> DataFrame:
+    """a, b and depth (most steps of a walk from a to b) of all pairs that edges (a, b) connect.
 
-    One round for each length of path: pairs, not paths, are carried on and written before the next round.
+    If `acyclic`, a pair of equal ends is an error as soon as it is found; else depth is only some number of steps.
     """
-    edge = prerequisite.select(F.col("course_id").alias("ancestor_id"), F.col("prerequisite_id").alias("next_id")).distinct()
-    new = materialise(prerequisite.select("course_id", F.col("prerequisite_id").alias("ancestor_id")).distinct(), "chains")
-    rounds = []
-    while not new.isEmpty():
-        if len(rounds) >= MOST_ROUNDS:
-            raise ValueError(f"a chain of prerequisites has more than {MOST_ROUNDS} steps: there is a cycle")
-        rounds.append(new.withColumn("depth", F.lit(len(rounds) + 1)))
-        new = materialise(new.join(edge, "ancestor_id").select("course_id", F.col("next_id").alias("ancestor_id")).distinct(), "chains")
-    return reduce(DataFrame.unionAll, rounds or [new.withColumn("depth", F.lit(0))]).groupBy("course_id", "ancestor_id").agg(F.max("depth").alias("depth"))
+    jump, steps = materialise(edges.distinct(), "jumps"), 1
+    known = jump.select("a", "b", F.lit(1).cast("long").alias("depth"))
+    while True:
+        if acyclic and not known.where("a = b").isEmpty():
+            raise ValueError("courses wait for each other: there is a cycle")
+        jump, steps = doubled(jump), 2 * steps
+        if jump.isEmpty():
+            return known
+        onward = known.select(F.col("a").alias("b"), F.col("b").alias("c"), "depth")
+        longer = jump.join(onward, "b").select("a", F.col("c").alias("b"), (F.col("depth") + steps).alias("depth"))
+        before = known if acyclic else known.count()
+        new = known.unionAll(jump.select("a", "b", F.lit(steps).cast("long").alias("depth"))).unionAll(longer)
+        known = materialise(new.groupBy("a", "b").agg(F.max("depth").alias("depth")), "walks")
+        if not acyclic and known.count() == before:
+            return known
+
+
+def chains(prerequisite: DataFrame) -> DataFrame:
+    """course_id, ancestor_id and the most steps between them, for every course with prerequisites; a cycle is an error."""
+    found = walks(prerequisite.where("course_id IS NOT NULL AND prerequisite_id IS NOT NULL").select(F.col("course_id").alias("a"), F.col("prerequisite_id").alias("b")), acyclic=True)
+    return found.select(F.col("a").alias("course_id"), F.col("b").alias("ancestor_id"), F.col("depth").cast("int").alias("depth"))
 
 
 def expanded(roots: DataFrame, prerequisite: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -72,27 +91,20 @@ def dangling(edges: DataFrame, key: str, nodes: DataFrame, node_key: str, kind:
 
 
 def tangled(edges: DataFrame) -> DataFrame:
-    """The edges that are on cycles or between them: edges into or out of a dead end are peeled off until none is left."""
-    left = materialise(edges.select("course_id", "prerequisite_id").distinct(), "edges")
+    """Edges without many of those that lead to or from dead ends only; all edges of cycles are left."""
+    left = materialise(edges.where("course_id IS NOT NULL AND prerequisite_id IS NOT NULL").select("course_id", "prerequisite_id").distinct(), "edges")
     while True:
         waiting, behind = left.select(F.col("course_id").alias("prerequisite_id")).distinct(), left.select(F.col("prerequisite_id").alias("course_id")).distinct()
         new = materialise(left.join(waiting, "prerequisite_id", "left_semi").join(behind, "course_id", "left_semi").select("course_id", "prerequisite_id"), "edges")
-        if new.count() == left.count():
+        if (left.count() - new.count()) * PEEL < left.count() or new.isEmpty():
             return new
         left = new
 
 
 def on_cycles(prerequisite: DataFrame) -> DataFrame:
-    """course_id of the courses that lead back to themselves. Searches only what peeling leaves, a round for each step."""
-    edge = tangled(prerequisite)
-    step = edge.select(F.col("course_id").alias("node"), F.col("prerequisite_id").alias("next"))
-    new = edge.select("course_id", F.col("prerequisite_id").alias("node"))
-    rounds = [new]
-    while not new.isEmpty():
-        seen = reduce(DataFrame.unionAll, rounds)
-        new = materialise(new.join(step, "node").select("course_id", F.col("next").alias("node")).distinct().join(seen, ["course_id", "node"], "left_anti"), "reached")
-        rounds.append(new)
-    return reduce(DataFrame.unionAll, rounds).where("course_id = node").select("course_id").distinct()
+    """course_id of the courses that lead back to themselves, among those that peeling leaves."""
+    edge = tangled(prerequisite).select(F.col("course_id").alias("a"), F.col("prerequisite_id").alias("b"))
+    return walks(edge, acyclic=False).where("a = b").select(F.col("a").alias("course_id"))
 
 
 def cycle_paths(prerequisite: DataFrame) -> DataFrame:
@@ -111,12 +123,16 @@ def cycle_paths(prerequisite: DataFrame) -> DataFrame:
 
 def closure(roots: DataFrame, prerequisite: DataFrame) -> DataFrame:
     """course_id of the roots and of everything they lead to."""
-    edge = prerequisite.select("course_id", F.col("prerequisite_id").alias("next"))
-    rounds = [materialise(roots.select("course_id").distinct(), "closure")]
-    while not rounds[-1].isEmpty():
-        seen = reduce(DataFrame.unionAll, rounds)
-        rounds.append(materialise(rounds[-1].join(edge, "course_id").select(F.col("next").alias("course_id")).distinct().join(seen, "course_id", "left_anti"), "closure"))
-    return reduce(DataFrame.unionAll, rounds)
+    jump = materialise(prerequisite.where("course_id IS NOT NULL AND prerequisite_id IS NOT NULL").select(F.col("course_id").alias("a"), F.col("prerequisite_id").alias("b")).distinct(), "jumps")
+    known = materialise(roots.select("course_id").distinct(), "closure")
+    n = known.count()
+    while True:
+        # So far all within 2**k - 1 steps; no new one within twice as many means that there is none at all.
+        onward = known.select(F.col("course_id").alias("a")).join(jump, "a").select(F.col("b").alias("course_id"))
+        known = materialise(known.unionAll(onward).distinct(), "closure")
+        if (more := known.count()) == n:
+            return known
+        n, jump = more, doubled(jump)
 
 
 def with_lists(courses: DataFrame, teaches: DataFrame, prerequisite: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def learning_progress(d: Domain) -> DataFrame:
     return learning.progress(units, done)
 
 
-@query(ORDERED + "SELECT employee_id, arg_min(course_id, position) AS course_id FROM sorted WHERE (employee_id, course_id) NOT IN (SELECT employee_id, course_id FROM training_record) GROUP BY employee_id")
+@query(ORDERED + "SELECT employee_id, arg_min(course_id, position) AS course_id FROM sorted WHERE (employee_id, course_id) NOT IN (SELECT employee_id, course_id FROM training_record) GROUP BY employee_id", small=True)
 def next_course(d: Domain) -> DataFrame:
     """The first course of everyone's plan that they have not tried yet."""
     return graph.next_course(ordered(d), d["training_record"].select("employee_id", "course_id").distinct())

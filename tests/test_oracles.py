@@ -25,12 +25,15 @@ def rows(columns, data):
     return sorted(str([value(r[k]) for k in order]) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(skills.ORACLE_SQL))
+ALL_SQL = skills.ORACLE_SQL | skills.SMALL_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ALL_SQL))
 def test_same_rows(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     df = skills.QUERIES[name](spark, SF)
-    want = con.sql(skills.ORACLE_SQL[name])
+    want = con.sql(ALL_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
