@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.operators import gap, graph, learning, recall, replay, team
 from gapweave.plans.skills import ORDERED, PROFILE, found, gaps, ordered, profile, query, ranked_courses, replayed, requirements, RANKED
-from gapweave.sources.scratch import materialise
+from gapweave.sources.scratch import materialise, scratch
 from gapweave.sources.views import Domain
+from gapweave.streaming import loop
 
 
 @query("SELECT employee_id, skill_id, gap, importance, row_number() OVER (PARTITION BY employee_id ORDER BY gap DESC, importance DESC, skill_id) AS place FROM gaps")
@@ -257,3 +260,25 @@ def completion_loop(d: Domain) -> DataFrame:
     zero = F.lit(0)
     suggestions = F.when(F.coalesce("passed_before", F.lit(False)), 0).otherwise(F.coalesce("todo", zero))
     return rows.select("employee_id", "record_id", "course_id", replay.outcome(F.col("exam_score")).alias("outcome"), F.coalesce("raised", zero).alias("raised"), suggestions.cast("long").alias("suggestions"), "readiness_before", "readiness_after", F.coalesce("met", zero).alias("met"))
+
+
+STREAMED = (
+    PROFILE
+    + """, gaps2 AS (SELECT e.employee_id, r.skill_id, r.importance, (r.required_level - coalesce(h.level, 0)) * r.importance AS weighted_gap FROM employee e JOIN requires r ON r.position_id = e.target_position_id LEFT JOIN profile h ON h.employee_id = e.employee_id AND h.skill_id = r.skill_id WHERE r.required_level > coalesce(h.level, 0) AND e.employee_id IN (SELECT employee_id FROM training_record)),
+found2 AS (SELECT DISTINCT g.employee_id, t.course_id FROM gaps2 g JOIN teaches t USING (skill_id) WHERE (g.employee_id, t.course_id) NOT IN (SELECT employee_id, course_id FROM passed))"""
+    + re.sub(r"\b(gaps|found)\b", r"\g<1>2", RANKED).replace("has_skill", "profile").replace("SELECT * FROM (SELECT *,", "SELECT employee_id, course_id, total, rank::INT AS rank FROM (SELECT *,")
+)
+
+
+@query(STREAMED)
+def completion_stream(d: Domain) -> DataFrame:
+    """Recommendations that the completion loop keeps after a stream of all records in three batches, some of them late."""
+    d.written("has_skill")
+    records = d["training_record"].select("record_id", "employee_id", "course_id", "exam_score")
+    source = scratch(d.spark, "record-stream")
+    for k, part in enumerate(("record_id % 5 = 1", "record_id % 5 > 1", "record_id % 5 = 0")):
+        records.where(part).coalesce(1).write.parquet(f"{source}/{k}")
+    stream = d.spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+    path = scratch(d.spark, "completion-loop")
+    loop.start(stream, path, scratch(d.spark, "completion-checkpoint"), d).awaitTermination()
+    return loop.tables_at(d.spark, path)["recommendations"].read()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.operators import checks, documents, retrieval, store
+from gapweave.operators.commits import Table
 from gapweave.plans.skills import query, replayed
 from gapweave.sources import readers
 from gapweave.sources.scratch import materialise, scratch
@@ -279,11 +280,12 @@ def later(d: Domain) -> DataFrame:
 @query("SELECT position_id, skill_id, importance, (required_level + skill_no % 2)::INT AS required_level FROM requires JOIN skill USING (skill_id)")
 def graph_merge(d: Domain) -> DataFrame:
     """Edges merged twice with new ones: the second time changes nothing."""
-    path = scratch(d.spark, "graph")
-    store.save(d["requires"], path)
+    edges = d["requires"].select("position_id", "skill_id", "importance", "required_level")
+    graph = Table.create(d.spark, scratch(d.spark, "graph"), edges.schema, ["position_id", "skill_id"])
+    graph.append(edges, ("import", 0))
     for _ in range(2):
-        path = store.merge_into(d.spark, path, later(d), ["position_id", "skill_id"])
-    return d.spark.read.parquet(path).select("position_id", "skill_id", "importance", "required_level")
+        graph.merge(later(d), ("import", 1))
+    return graph.read()
 
 
 @query("SELECT 'Skill' AS label, skill_id AS id, skill_id AS name FROM skill UNION ALL SELECT 'Position', position_id::VARCHAR, name FROM job UNION ALL SELECT 'Course', course_id::VARCHAR, name FROM course UNION ALL SELECT 'Employee', employee_id::VARCHAR, name FROM employee")
@@ -331,24 +333,23 @@ def delete_documents(d: Domain) -> DataFrame:
 
 @query("SELECT record_id, employee_id, course_id, exam_score, exam_score >= 70 AS passed, CASE WHEN exam_score >= 85 THEN 'solid' WHEN exam_score >= 70 THEN 'consolidate' ELSE 'fail' END AS outcome FROM training_record JOIN course USING (course_id)")
 def append_records(d: Domain) -> DataFrame:
-    """Records with their assessment, appended in two batches and read together."""
-    path = scratch(d.spark, "records")
-    known = d["training_record"].join(d["course"].select("course_id"), "course_id", "left_semi")
-    for part in ("record_id % 2 = 0", "record_id % 2 = 1"):
-        store.append(store.assessed(known.where(part)), path)
-    return d.spark.read.parquet(path).select("record_id", "employee_id", "course_id", "exam_score", "passed", "outcome")
+    """Records with their assessment, appended in two batches, of which the second comes twice."""
+    known = store.assessed(d["training_record"].join(d["course"].select("course_id"), "course_id", "left_semi")).select("record_id", "employee_id", "course_id", "exam_score", "passed", "outcome")
+    records = Table.create(d.spark, scratch(d.spark, "records"), known.schema, ["record_id"])
+    for number, part in ((0, "record_id % 2 = 0"), (1, "record_id % 2 = 1"), (1, "record_id % 2 = 1")):
+        records.append(known.where(part), ("records", number))
+    return records.read()
 
 
 @query("SELECT user_id AS employee_id, (user_id * 7 + event_id % 5)::BIGINT AS course_id, (event_id % 4)::INT AS unit, min(event_id) AS first_event FROM events GROUP BY ALL")
 def insert_ignore(d: Domain) -> DataFrame:
     """Finished units, batch after batch: a unit that is there already stays as it is."""
     rows = d["events"].select(F.col("user_id").alias("employee_id"), (F.col("user_id") * 7 + F.col("event_id") % 5).alias("course_id"), (F.col("event_id") % 4).cast("int").alias("unit"), F.col("event_id").alias("first_event"))
-    half = rows.agg(F.max("first_event")).first()[0] // 2
-    path = scratch(d.spark, "progress")
-    key = ["employee_id", "course_id", "unit"]
-    store.insert_new(d.spark, path, rows.where(F.col("first_event") <= half), key, "first_event")
-    store.insert_new(d.spark, path, rows.where(F.col("first_event") > half), key, "first_event")
-    return d.spark.read.parquet(path)
+    half = (rows.agg(F.max("first_event")).first()[0] or 0) // 2
+    progress = Table.create(d.spark, scratch(d.spark, "progress"), rows.schema, ["employee_id", "course_id", "unit"])
+    progress.insert(rows.where(F.col("first_event") <= half), ("events", 0))
+    progress.insert(rows.where(F.col("first_event") > half), ("events", 1))
+    return progress.read()
 
 
 @query(", fin AS (SELECT employee_id, skill_id, max_by(to_level, record_id)::INT AS l FROM steps GROUP BY ALL) SELECT employee_id, skill_id, coalesce(l, level)::INT AS level, l IS NOT NULL AS synced FROM has_skill FULL JOIN fin USING (employee_id, skill_id)")
