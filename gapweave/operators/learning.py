@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gapweave.operators.gap import bucket
 from gapweave.operators.recall import SATISFIED_LEVEL, rank_of
 from gapweave.operators.replay import PASS, SOLID
+from gapweave.sources.scratch import materialise
 
 #: What a learner and a manager read for a status, a bucket and a verdict (fixed values).
 STATUS_LABELS = {"met": "已达标", "learning": "提升中", "missing": "待补齐", "extra": "岗位外技能"}
@@ -116,14 +117,22 @@ def shuffled(options: Column, seed: Column) -> Column:
     return F.transform(F.array_sort(F.transform(F.array_distinct(options), lambda x: F.struct(F.md5(F.concat_ws("|", seed, x)).alias("d"), x.alias("x")))), lambda s: s.x)
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """The rows with their `place` in order of `key`, from 0: ranges of keys are numbered by themselves, after the rows of the ranges before."""
+    ranged = materialise(rows.repartitionByRange(F.col(key)).withColumn("gw_range", F.spark_partition_id()), "ranges")
+    # One row for each range.
+    before = ranged.groupBy("gw_range").count().select("gw_range", (F.sum("count").over(Window.orderBy("gw_range")) - F.col("count")).alias("gw_before"))
+    own = F.row_number().over(Window.partitionBy("gw_range").orderBy(key)) - 1
+    return ranged.withColumn("place", own).join(before, "gw_range").withColumn("place", F.col("place") + F.col("gw_before")).drop("gw_range", "gw_before")
+
+
 def quiz(courses: DataFrame) -> DataFrame:
     """course_id, question (from 1), options and answer (place of the right one, from 0) for the first objectives of courses.
 
     `courses` has course_id and objectives (a list, not empty). Wrong options are objectives of the courses that follow in
-    order of course_id, round the catalogue. Numbering the catalogue takes one task; it is a list of courses.
+    order of course_id, round the catalogue.
     """
-    order = Window.orderBy("course_id")
-    n = courses.select("course_id", "objectives", (F.row_number().over(order) - 1).alias("place"), F.lit(courses.count()).alias("n"))
+    n = numbered(courses.select("course_id", "objectives"), "course_id").withColumn("n", F.lit(courses.count()))
     asked = n.select("course_id", "place", "n", F.posexplode(F.slice("objectives", 1, QUESTIONS)).alias("k", "right"))
     wanted = asked.select("course_id", "k", "right", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(WRONG)), lambda j: (F.col("place") + 1 + (F.col("k") * WRONG + j - 1) % F.greatest(F.col("n") - 1, F.lit(1))) % F.col("n"))).alias("j", "place"))
     others = n.select("place", F.col("course_id").alias("other"), F.col("objectives").alias("pool"))

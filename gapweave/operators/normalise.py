@@ -82,11 +82,12 @@ def cascade(names: DataFrame, labels: DataFrame, name: str = "raw", verdict: Cal
 
 
 def summary(mapped: DataFrame) -> DataFrame:
-    """total, matched, match_rate, unmatched (names) and skill_counts (skill=count, sorted) of a mapping.
-
-    The lists are a report's: one entry for each unmatched name and each skill of the library.
-    """
-    counts = mapped.where("skill_id IS NOT NULL").groupBy("skill_id").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.concat_ws("=", "skill_id", "n"))).alias("skill_counts"))
-    totals = mapped.agg(F.count("*").alias("total"), F.count("skill_id").alias("matched"), F.array_sort(F.collect_list(F.when(F.col("skill_id").isNull(), F.col("raw")))).alias("unmatched"))
-    rate = F.when(F.col("total") > 0, F.bround(F.col("matched") / F.col("total"), 4)).otherwise(0.0)
-    return totals.join(counts).select("total", "matched", rate.alias("match_rate"), "unmatched", "skill_counts")
+    """kind, name, n and share of a mapping: a row for all names (total) and for those with a skill (matched), one for each
+    skill, and one for each name without (unmatched). share is of all names, half-even to four places."""
+    total = mapped.agg(F.count("*").alias("all"), F.count("skill_id").alias("found"))
+    both = total.select("all", F.inline(F.array(F.struct(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("all").alias("n")), F.struct(F.lit("matched").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("found").alias("n")))))
+    kind = F.when(F.col("skill_id").isNull(), "unmatched").otherwise("skill")
+    each = mapped.groupBy(kind.alias("kind"), F.coalesce("skill_id", "raw").alias("name")).agg(F.count("*").alias("n"))
+    # One row is joined to all.
+    rows = both.select("kind", "name", "n").unionAll(each.select("kind", "name", "n")).join(F.broadcast(total.select("all")))
+    return rows.select("kind", "name", "n", F.when(F.col("all") > 0, F.bround(F.col("n") / F.col("all"), 4)).otherwise(0.0).alias("share"))

@@ -86,7 +86,7 @@ def embedded_json(d: Domain) -> DataFrame:
     return d["events"].select("event_id", F.get_json_object(T.json_object(answer), "$.k").try_cast("int").alias("k"))
 
 
-@query(NORMALISED + " SELECT count(*) AS total, count(skill_id) AS matched, round_even(count(skill_id) / count(*), 4) AS match_rate, list_sort(list(raw) FILTER (skill_id IS NULL)) AS unmatched, (SELECT list_sort(list(skill_id || '=' || n)) FROM (SELECT skill_id, count(*) AS n FROM mapped WHERE skill_id IS NOT NULL GROUP BY skill_id)) AS skill_counts FROM mapped")
+@query(NORMALISED + " SELECT *, round_even(n / (SELECT count(*) FROM mapped), 4) AS share FROM (SELECT 'total' AS kind, NULL AS name, count(*) AS n FROM mapped UNION ALL SELECT 'matched', NULL, count(skill_id) FROM mapped UNION ALL SELECT CASE WHEN skill_id IS NULL THEN 'unmatched' ELSE 'skill' END, coalesce(skill_id, raw), count(*) FROM mapped GROUP BY 1, 2)")
 def normalise_summary(d: Domain) -> DataFrame:
     return normalise.summary(materialise(normalise.cascade(raws(d), labels(d)), "mapped"))
 
@@ -145,7 +145,7 @@ def cited_context(d: Domain) -> DataFrame:
     return api.ask(d["benchmark"], api.ingest(d["documents"])["chunks"], "item_id", "text")["context"]
 
 
-QUESTIONS = "questions AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN concat('每周', 3 + conv_id % 4, '.5 个小时,EMP_', conv_id, ' 帮我规划,', 2 + turn, '周内学完 ', left(text, 40)) WHEN 1 THEN concat('emp-', conv_id, ' 推荐什么课程? 0 周 ', left(text, 40)) WHEN 2 THEN concat('每星期 ', 4 + turn % 3, ' h 报销制度? ', left(text, 40)) ELSE text END AS text FROM conversations)"
+QUESTIONS = "questions AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN concat('每周', 3 + conv_id % 4, '.5 个小时,EMP_', conv_id, ' 帮我规划,', 2 + turn, '周内学完 ', text) WHEN 1 THEN concat('emp-', conv_id, ' 推荐什么课程? 0 周 ', text) WHEN 2 THEN concat('每星期 ', 4 + turn % 3, ' h 报销制度? ', text) ELSE text END AS text FROM conversations)"
 HOURS_SQL = "'(?i)每(?:周|星期)\\s*(\\d+(?:\\.\\d+)?)\\s*(?:个)?\\s*(?:小时|h|hour)'"
 COMPACT_SQL = r"lower(regexp_replace(text, '[\s\-_/·,，。:：]+', '', 'g'))"
 INTENTS = f""", {QUESTIONS} SELECT conv_id, turn, coalesce(TRY_CAST(nullif(regexp_extract(text, {HOURS_SQL}, 1), '') AS DOUBLE), 4) AS hours_per_week,
@@ -156,7 +156,7 @@ regexp_matches(text, '规划|计划|路径|课表|安排') AS wants_plan, regexp
 @query(INTENTS)
 def intent_parse(d: Domain) -> DataFrame:
     q = d["conversations"]
-    start = F.left("text", F.lit(40))
+    start = F.col("text")
     k, t = F.col("conv_id"), F.col("turn")
     text = (
         F.when(k % 5 == 0, F.concat(F.lit("每周"), (3 + k % 4).cast("string"), F.lit(".5 个小时,EMP_"), k.cast("string"), F.lit(" 帮我规划,"), (2 + t).cast("string"), F.lit("周内学完 "), start))

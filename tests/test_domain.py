@@ -111,8 +111,9 @@ def test_normalisation_cascade(spark):
     assert [(r.alias, r.skills) for r in normalise.alias_conflicts(labels).collect()] == [("ml", ["S1", "S3"])]
     refused = normalise.cascade(names, labels, verdict=lambda raw, near: F.when(raw == "Python 3", F.lit(""))).where("raw = 'Python 3'").first()
     assert (refused.skill_id, refused.method) == (None, None)
-    empty = normalise.summary(normalise.cascade(names.limit(0), labels)).first()
-    assert (empty.total, empty.matched, empty.match_rate, empty.unmatched) == (0, 0, 0.0, [])
+    assert sorted(tuple(r) for r in normalise.summary(normalise.cascade(names.limit(0), labels)).collect()) == [("matched", None, 0, 0.0), ("total", None, 0, 0.0)]
+    counted = {(r.kind, r.name): (r.n, r.share) for r in normalise.summary(normalise.cascade(names, labels)).collect()}
+    assert counted[("total", None)] == (6, 1.0) and counted[("matched", None)] == (4, 0.6667) and counted[("skill", "S1")] == (2, 0.3333) and counted[("unmatched", "cooking")] == (1, 0.1667)
 
 
 def test_names_resolve_like_a_plain_search(spark):
