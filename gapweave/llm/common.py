@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gapweave.sources.scratch import materialise, scratch
 
-__all__ = ["Known", "Memo", "binary_view", "blocks", "bounded_batches", "coded", "fresh", "grown", "list_array", "materialise", "per_text", "release", "runs", "scratch", "split", "table", "words"]
+__all__ = ["Known", "Memo", "binary_view", "blocks", "bounded_batches", "coded", "forget_others", "fresh", "grown", "list_array", "materialise", "per_text", "release", "remembers", "runs", "scratch", "split", "table", "words"]
 
 #: Near-duplicate operators work on runs of so many words, at this similarity or more.
 SHINGLE_WORDS = 5
@@ -131,6 +132,22 @@ def release() -> None:
         trim(0)
 
 
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """An operator keeps something in its workers between tasks, which `forget` drops."""
+    _remembered[owner] = forget
+
+
+def forget_others(owner: str = "") -> None:
+    """Drops what other operators have left in this worker: workers go from stage to stage."""
+    for name, forget in _remembered.items():
+        if name != owner:
+            forget()
+    release()
+
+
 def per_text(counts: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """Sums of `counts` over consecutive runs of parts[0], parts[1], ... entries."""
     return np.diff(np.concatenate(([0], np.cumsum(counts)))[np.cumsum(np.concatenate(([0], parts))).astype(np.int64)])

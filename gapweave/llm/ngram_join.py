@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import SHINGLE_WORDS, SIMILARITY, Memo, binary_view, blocks, bounded_batches, fresh, materialise, release
+from gapweave.llm.common import SHINGLE_WORDS, SIMILARITY, Memo, binary_view, blocks, bounded_batches, forget_others, fresh, materialise, release
 from gapweave.llm.features import split_words
 
 VALUES, BANDS, STEP, TOLERANCE = 64, 16, 16, 1e-6
@@ -103,6 +103,7 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, print (null for texts without words), n (shingles) and signature of every document."""
 
     def run(batches):
+        forget_others("ngram_join")
         memo = word_hashes()
         for batch in batches:
             prints, sizes, signatures = [], [], []

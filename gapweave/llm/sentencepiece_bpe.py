@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapweave.llm.common import Memo, blocks, bounded_batches, list_array, per_text, release, runs, split
+from gapweave.llm.common import Memo, blocks, bounded_batches, forget_others, list_array, per_text, release, remembers, runs, split
 
 MARK = "▁"
 #: Chunks are found in passes over about so many characters; a longer chunk is backtracked right away.
@@ -82,7 +82,7 @@ class Codec:
         self.shorter = {i: next(((k, self.id[p[:k]]) for k in range(len(p) - 1, 0, -1) if self.automaton.exists(p[:k])), None) for p, i in self.id.items()}
         split = "\n" if "\n" not in "".join(self.known) else ""
         self.chunks = re.compile(f"{MARK}+[^{MARK}{split}]*|[^{MARK}{split}]+" + "|\n+" * bool(split)).findall
-        self.memo = Memo(lambda new: self.encode_many([MARK + x for x in new]), most=400_000)
+        self.memo = Memo(lambda new: self.encode_many([MARK + x for x in new]), most=250_000)
         self.pieces = pa.array(self.bytes_of, pa.binary())
         self.numbers = pa.array([str(i).encode() for i in range(len(self.bytes_of))], pa.binary())
 
@@ -103,7 +103,7 @@ class Codec:
     def fit(self, a: int, b: int) -> bool:
         got = self.fits.get(a * self.size + b)
         if got is None:
-            if len(self.fits) > 250_000:
+            if len(self.fits) > 150_000:
                 self.fits.clear()
             x, y = self.text_of[a], self.text_of[b]
             got = self.fits[a * self.size + b] = self.merged(x + y) == [x, y]
@@ -242,6 +242,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+remembers("sentencepiece", codec.cache_clear)
+
+
 def encode(text: Column, model: str) -> Column:
     """The ids of a text as array<int>, without begin or end ids."""
 
@@ -272,11 +275,11 @@ def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
     """
 
     def run(batches):
-        release()  # what earlier stages have left in this worker
+        forget_others("sentencepiece")
         c = codec(model)
         for batch in batches:
             done = 0
-            for block in blocks(batch.column(1), 1_000_000):
+            for block in blocks(batch.column(1), 500_000):
                 ids, counts = c.encode(block)
                 lists = list_array(ids, counts)
                 of_ids = [hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in joined(lists, c.numbers, b",")]

@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import blocks, bounded_batches, fresh, release, runs
+from gapweave.llm.common import blocks, bounded_batches, forget_others, fresh, materialise, release, runs
 from gapweave.llm.features import TableMemo, bounded, ngrams, share_of, split_words, summed
 
 #: Scores from here on are toxic.
 CUT = 0.7
+#: Keys of labelled documents are broadcast up to so many bytes, at so many for each.
+BROADCAST_BYTES, KEY_BYTES = 32 << 20, 64
 #: Width of a bin of log-odds, and the number of bins on either side of 0; the outermost hold all beyond.
 BIN, MOST_BINS = 0.01, 10_000
 #: Models for the log-odds of rows that training has seen, and the weight of all groups in a group's threshold.
@@ -205,11 +207,15 @@ def unseen(sample: pd.DataFrame) -> np.ndarray:
 def calibrated(model: Model, sample: pd.DataFrame, docs: DataFrame, labels: DataFrame, text: str, label: str, key: str) -> Model:
     """The model with thresholds from all labelled rows; only counts by group, bin and label come to the driver.
 
-    All documents are scored where they are read, and their bins, not their texts, are shuffled to the labels. The sample
-    is bounded, and so are its bins, which are broadcast.
+    Labelled documents are scored where they are read (all of them if the labels' keys are too many to broadcast), and their
+    bins, not their texts, are shuffled to the labels. The sample is bounded, and so are its bins, which are broadcast.
     """
+    wanted = materialise(labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("long").alias("label")), "wanted-labels")
+    if wanted.count() * KEY_BYTES <= BROADCAST_BYTES:
+        docs = docs.join(F.broadcast(wanted.select(F.col("key").alias("gw_key")).distinct()), docs[key] == F.col("gw_key"), "left_semi")
 
     def run(batches):
+        forget_others("toxicity")
         memo = word_memo(model)
         for batch in batches:
             logits, group = logits_of(model, memo, batch.column(1))
@@ -218,7 +224,6 @@ def calibrated(model: Model, sample: pd.DataFrame, docs: DataFrame, labels: Data
 
     kind = docs.schema[key].dataType.simpleString()
     scored = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, group long, bin long")
-    wanted = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("long").alias("label"))
     own = pd.DataFrame({"key": sample["key"], "logit": unseen(sample)}).dropna().groupby("key", as_index=False)["logit"].mean()
     own = docs.sparkSession.createDataFrame(list(zip(own["key"].tolist(), bins(own["logit"].to_numpy()).tolist(), strict=True)), f"key {kind}, own long")
     rows = scored.join(wanted, "key").join(F.broadcast(own), "key", "left")
@@ -279,6 +284,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         return docs.select(*kept, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
 
     def run(batches):
+        forget_others("toxicity")
         memo = word_memo(model)
         for batch in batches:
             scores = scores_of(model, memo, batch.column(batch.num_columns - 1))
@@ -314,6 +320,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, text: str = "text") -> Data
         return docs
 
     def run(batches):
+        forget_others("toxicity")
         memo = word_memo(model)
         for batch in batches:
             yield batch.filter(pa.array(scores_of(model, memo, batch.column(0).field(text)) < CUT))

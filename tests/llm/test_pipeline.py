@@ -75,3 +75,21 @@ def test_stages(spark):
         want.append((r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()))
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in kept["SentencePiece"]) == sorted(want)
     assert sorted(map(str, p.run(spark, SF).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_without_labels_and_items(spark, tmp_path):
+    import corpus_pipeline as p
+
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    rows = [(1, "a b c d e f g", "en", "s", 13), (2, None, None, "s", 0), (3, "", "en", None, 0), (1, "a b c d e f g", "en", "u", 13), (4, "a b c d e f g", "en", "t", 13)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id, r.n_tokens > 0) for r in p.run(spark, str(tmp_path)).collect()) == [(1, True), (2, False), (3, False)]
