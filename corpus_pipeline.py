@@ -2,7 +2,7 @@
 
 Null and empty texts are scored like others, have no lines, shingles or contained items, and are encoded to no ids, so they
 go through all stages. Texts of any length are worked on whole. Of documents that are near copies the smallest doc_id stays,
-a null id being smaller than all; rows that repeat doc_id and text are near copies, so one of them stays. Without labels of
+a null id being smaller than all; rows of equal doc_id are one document and stay or go together. Without labels of
 both kinds nothing counts as toxic, without benchmark items nothing as contaminated. An empty table of documents gives no
 rows. Columns beside text come through all stages but the last untouched, whatever their names.
 """
