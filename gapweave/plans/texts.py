@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gapweave import api
 from gapweave.functions import text as T
-from gapweave.operators import documents, normalise
+from gapweave.operators import documents, normalise, tagging
 from gapweave.plans.skills import query, vectors_sql
 from gapweave.sources.scratch import materialise, scratch
 from gapweave.sources.views import Domain
@@ -178,3 +178,18 @@ def page_slugs(d: Domain) -> DataFrame:
 @query("SELECT doc_id, length(text) AS n, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS folded FROM documents".replace("\\\\", "\\"))
 def folded_texts(d: Domain) -> DataFrame:
     return d["documents"].select("doc_id", F.char_length("text").cast("long").alias("n"), F.md5(T.folded_blanks(F.col("text"))).alias("folded"))
+
+
+WORDS = "SELECT DISTINCT item_id, lower(w) AS w FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM benchmark)"
+
+
+@query(
+    f""", dictionary AS (SELECT DISTINCT w AS alias, concat('topic-', substr(md5(w), 1, 2)) AS name FROM ({WORDS})),
+places AS (SELECT doc_id, name, min(instr(lower(text), alias)) AS place FROM documents, dictionary WHERE contains(lower(text), alias) GROUP BY ALL)
+SELECT d.doc_id, coalesce((SELECT list(name ORDER BY place, name) FROM places p WHERE p.doc_id = d.doc_id), []) AS names FROM documents d"""
+)
+def tag_from_table(d: Domain) -> DataFrame:
+    """The topics of every document, by the words of all benchmark items as aliases, in the order of their first places."""
+    words = d["benchmark"].select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"))).alias("w")).select(F.lower("w").alias("alias")).distinct()
+    dictionary = words.select("alias", F.concat(F.lit("topic-"), F.substring(F.md5("alias"), 1, 2)).alias("name"))
+    return tagging.tagged(d["documents"].select("doc_id", "text"), "text", dictionary).select("doc_id", "names")
