@@ -26,10 +26,6 @@ HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$")
 FENCES = ("```", "~~~")
 BLANK_LINES = re.compile(r"\n\s*\n+")
 SENTENCE_END = re.compile(r"(?<=[。!?！？;；])")
-#: Signs of a heading in a text without markup: its length, sentence signs that it lacks, and how it begins (fixed values).
-PLAIN_HEADING_CHARS = 60
-PLAIN_HEADING_NOT = "[。;；!！?？]"
-PLAIN_HEADING = r"^(第[一二三四五六七八九十百千0-9]+[章节篇部分]|[一二三四五六七八九十]+、|[（(][一二三四五六七八九十]+[）)])|^\d+(\.\d+)*[、.．\s]|^(?i:chapter|section|article)\s+\d+"
 
 
 def outline(text: str) -> tuple[str | None, list[tuple[str | None, int, str]]]:
@@ -148,11 +144,6 @@ def without_chunks(docs: DataFrame, chunks_: DataFrame, key: str = "doc_id") ->
     return docs.select(F.col(key).cast("string").alias("doc_id")).join(known, F.col("doc_id") == F.col("known"), "left_anti").withColumn("error", F.lit("nothing to chunk"))
 
 
-def is_plain_heading(line: Column) -> Column:
-    """Whether a line of a text without markup looks like a heading: short, no sentence signs, numbered."""
-    return (F.char_length(line) <= PLAIN_HEADING_CHARS) & ~line.rlike(PLAIN_HEADING_NOT) & line.rlike(PLAIN_HEADING)
-
-
 def context(hits: DataFrame, query: str, place: str) -> DataFrame:
     """One text for each query: its hits in order, each with citation, source, scores and content.
 

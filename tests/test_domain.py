@@ -56,12 +56,6 @@ def test_documents_with_odd_rows(spark):
         documents.chunks(docs, max_chars=0)
 
 
-def test_plain_headings(spark):
-    lines = {"第一章 总则": True, "1.1 Scope": True, "Chapter 3": True, "一、范围": True, "1.1 Scope。": False, "Only text": False, "1. " + "x" * 70: False}
-    got = spark.createDataFrame(list(lines.items()), "x string, want boolean").withColumn("got", documents.is_plain_heading(F.col("x")))
-    assert got.where("got <> want").count() == 0
-
-
 def weeks(spark, minutes, hours):
     rows = [(1, k + 1, k, m) for k, m in enumerate(minutes)]
     plan = graph.packed(spark.createDataFrame(rows, "employee_id long, position int, course_id long, duration_minutes int"), hours)
