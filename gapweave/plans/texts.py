@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gapweave import api
 from gapweave.functions import text as T
-from gapweave.operators import documents, normalise, tagging
+from gapweave.operators import documents, ingestion, normalise, tagging
 from gapweave.plans.skills import query, vectors_sql
 from gapweave.sources.scratch import materialise, scratch
 from gapweave.sources.views import Domain
@@ -193,3 +193,14 @@ def tag_from_table(d: Domain) -> DataFrame:
     words = d["benchmark"].select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"))).alias("w")).select(F.lower("w").alias("alias")).distinct()
     dictionary = words.select("alias", F.concat(F.lit("topic-"), F.substring(F.md5("alias"), 1, 2)).alias("name"))
     return tagging.tagged(d["documents"].select("doc_id", "text"), "text", dictionary).select("doc_id", "names")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 11 <> 0 THEN sha256(coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN ' more' ELSE '' END) END AS digest, CASE WHEN doc_id % 11 = 0 THEN 'gone' WHEN doc_id % 7 = 0 THEN 'changed' END AS state FROM documents")
+def incremental_ingest(d: Domain) -> DataFrame:
+    """The manifest after all documents were ingested and then again with some changed and some gone, and what the second time was cut anew."""
+    kept = ingestion.tables_at(d.spark, scratch(d.spark, "ingestion"))
+    docs = d["documents"].select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ingestion.refresh(kept, docs)
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    states = ingestion.refresh(kept, docs.where("doc_id % 11 <> 0").withColumn("text", text))
+    return kept["manifest"].read().join(states, "doc_id", "full").select("doc_id", "digest", "state")
