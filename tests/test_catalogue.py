@@ -128,3 +128,64 @@ def test_schemas(spark):
         schemas.compiled({"oneOf": []}, F.lit(1))
 
 
+
+
+def test_orders_by_groups_equal_the_queue():
+    import numpy as np
+
+    rng = random.Random(8)
+    for n in (1, 5, 300):
+        for edges in ([], sorted({(c, rng.randrange(max(0, c - 9), c)) for c in range(1, n) for _ in range(rng.randrange(4))})):
+            whole = catalogue.Catalogue([(c, 0, 4, 30) for c in range(n)], [(c, f"s{rng.randrange(6)}") for c in range(n) if c % 7], edges)
+            gaps = [[{"skill_id": f"s{k}", "weighted_gap": float(rng.randint(0, 3)), "importance": 1.0} for k in range(6)] for _ in range(70)]
+            block = catalogue.Block(whole, list(range(70)), gaps, [[]] * 70, [[]] * 70)
+            for e in range(70):
+                kept = np.array([rng.random() < 0.8 for _ in range(n)])
+                assert catalogue.in_order(block, e, kept).tolist() == catalogue.by_queue(block, e, kept).tolist()
+
+
+def test_plans_of_a_large_catalogue_take_little_time():
+    import time
+
+    import numpy as np
+
+    n = 60_000
+    whole = catalogue.Catalogue([(c, 0, 4, 30 + c % 300) for c in range(n)], [(c, f"s{c * 7 % 25}") for c in range(n)], [(c, c // 2) for c in range(2, n)])
+    gaps = [[{"skill_id": f"s{k}", "weighted_gap": float(k * 7 % 11), "importance": 1.0} for k in range(25)]] * 64
+    block = catalogue.Block(whole, list(range(64)), gaps, [[]] * 64, [[]] * 64)
+    began = time.process_time()
+    plans = list(catalogue.dealt_to_weeks(block, 4))
+    fast = (time.process_time() - began) / 64
+    began = time.process_time()
+    queue = catalogue.by_queue(block, 0, np.ones(n, bool))
+    assert plans[0][0].tolist() == queue.tolist() and fast < (time.process_time() - began) / 2
+
+
+@pytest.mark.parametrize("odd", [0, 0.5])
+def test_weeks_of_any_durations(odd):
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(50):
+        minutes = np.array([rng.choice([1, 30, 60, 239, 240, 241, 480, 700]) + odd for _ in range(40)])
+        first, parts = catalogue.weeks(minutes, 240.0)
+        want, week, used = [], 1, 0.0
+        for m in minutes.tolist():
+            if used > 1e-9 and used + m > 240 + 1e-9:
+                week, used = week + 1, 0.0
+            want.append(week)
+            while m > 240 + 1e-9:
+                week, used, m = week + 1, 0.0, m - 240
+            used += m
+        assert first.tolist() == want and (parts >= 1).all()
+
+
+def test_few_employees_of_a_large_catalogue_are_dealt_to_tasks(spark, tables, monkeypatch):
+    monkeypatch.setattr(catalogue, "TASK_PAIRS", 400)
+    passed = replay.passed_courses(tables["training_record"])
+    assert api.reachable(tables, tables["has_skill"], passed).rdd.getNumPartitions() > 8
+    done = tables["training_record"].select("employee_id", "course_id")
+    calls = [lambda: api.prioritised(tables, tables["has_skill"], passed), lambda: api.scheduled(tables, tables["has_skill"], passed), lambda: api.path_totals(tables, tables["has_skill"], passed), lambda: api.next_course(tables, tables["has_skill"], passed, done), lambda: api.prerequisite_context(tables, tables["has_skill"], passed), lambda: api.context_counts(tables, tables["has_skill"], passed)]
+    got = [rows(f().select(sorted(f().columns))) for f in calls]
+    monkeypatch.setattr(catalogue, "MOST_BYTES", 0)
+    assert got == [rows(f().select(sorted(f().columns))) for f in calls] and all(got)
