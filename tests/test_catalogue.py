@@ -189,3 +189,18 @@ def test_few_employees_of_a_large_catalogue_are_dealt_to_tasks(spark, tables, mo
     got = [rows(f().select(sorted(f().columns))) for f in calls]
     monkeypatch.setattr(catalogue, "MOST_BYTES", 0)
     assert got == [rows(f().select(sorted(f().columns))) for f in calls] and all(got)
+
+
+def test_ranking_of_a_catalogue_in_pieces(tables, monkeypatch):
+    passed = replay.passed_courses(tables["training_record"])
+    levels = tables["has_skill"]
+    gaps = api.gap.gaps(api.gap.requirements(tables["employee"], tables["requires"], levels))
+    found = recall.candidates(gaps, tables["teaches"], passed)
+    want = {k: rows(recall.ranked(gaps, found, tables["course"], tables["teaches"], tables["prerequisite"], levels, k)) for k in (5, 1000)}
+    monkeypatch.setattr(catalogue, "MOST_BYTES", 0)
+    monkeypatch.setattr(catalogue, "PIECE_BYTES", 15_000)
+    assert len(list(catalogue.Catalogue.pieces(tables["course"], tables["teaches"], tables["prerequisite"]))) > 1
+    monkeypatch.setattr(recall, "candidates", None)  # pairs of employees and courses are not made
+    for k, w in want.items():
+        df = api.recommend(tables, k, passed)
+        assert rows(df.select("employee_id", "course_id", "gap_coverage", "importance", "difficulty_match", "prerequisite", "time_cost", "total", "rank")) == w
