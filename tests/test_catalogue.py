@@ -204,3 +204,13 @@ def test_ranking_of_a_catalogue_in_pieces(tables, monkeypatch):
     for k, w in want.items():
         df = api.recommend(tables, k, passed)
         assert rows(df.select("employee_id", "course_id", "gap_coverage", "importance", "difficulty_match", "prerequisite", "time_cost", "total", "rank")) == w
+
+
+def test_only_people_whose_levels_or_records_changed_are_compared(spark, tables, monkeypatch):
+    records = tables["training_record"].where("employee_id < 5")
+    some, levels, passed = {**tables, "training_record": records}, tables["has_skill"], replay.passed_courses(records)
+    profile = replay.profile(replay.steps(records, tables["course"], tables["teaches"], levels), levels)
+    worked, dealt = [], catalogue.dealt
+    monkeypatch.setattr(catalogue, "dealt", lambda employees, c: (worked.append(employees.count()), dealt(employees, c))[1])
+    changed = api.plan_changes(some, levels, profile, passed)
+    assert worked and max(worked) <= 5 and {r.employee_id for r in changed.select("employee_id").distinct().collect()} <= set(range(5)) and not changed.isEmpty()
