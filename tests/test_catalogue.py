@@ -214,3 +214,31 @@ def test_only_people_whose_levels_or_records_changed_are_compared(spark, tables,
     monkeypatch.setattr(catalogue, "dealt", lambda employees, c: (worked.append(employees.count()), dealt(employees, c))[1])
     changed = api.plan_changes(some, levels, profile, passed)
     assert worked and max(worked) <= 5 and {r.employee_id for r in changed.select("employee_id").distinct().collect()} <= set(range(5)) and not changed.isEmpty()
+
+
+def test_first_course_left_is_that_of_the_order():
+    import numpy as np
+
+    rng = random.Random(9)
+    for n in (1, 6, 200):
+        for edges in ([], sorted({(c, rng.randrange(max(0, c - 9), c)) for c in range(1, n) for _ in range(rng.randrange(4))})):
+            whole = catalogue.Catalogue([(c, 0, 4, 30) for c in range(n)], [(c, f"s{rng.randrange(6)}") for c in range(n) if c % 7], edges)
+            gaps = [[{"skill_id": f"s{k}", "weighted_gap": float(rng.randint(0, 3)), "importance": 1.0} for k in range(6)] for _ in range(70)]
+            block = catalogue.Block(whole, list(range(70)), gaps, [[]] * 70, [[]] * 70)
+            for e in range(70):
+                kept, done = np.array([rng.random() < 0.8 for _ in range(n)]), {c for c in range(n + 3) if rng.random() < e / 69}
+                order = [k for k in catalogue.by_queue(block, e, kept).tolist() if int(whole.ids[k]) not in done]
+                assert catalogue.first_left(block, e, kept, done) == (order[0] if order else None)
+
+
+def test_next_course_puts_no_plan_in_order(spark, tables, monkeypatch):
+    done = tables["training_record"].select("employee_id", "course_id")
+    passed = replay.passed_courses(tables["training_record"])
+    people = api.people(tables, tables["has_skill"], passed).join(done.groupBy("employee_id").agg(F.collect_set("course_id").alias("done")), "employee_id", "left").collect()
+    block = catalogue.Block(api.catalogue_of(tables), *[[r[x] for r in people] for x in ("employee_id", "gaps", "levels", "passed")])
+    block.more = [[r.done for r in people]]
+    want = [next((int(block.c.ids[k]) for k in at.tolist() if block.c.ids[k] not in (block.more[0][e] or [])), None) for e, at in enumerate(catalogue.orders(block))]
+    monkeypatch.setattr(catalogue, "in_order", None)
+    kept = catalogue.unpacked(block.reached()[1], len(block.ids))
+    got = [catalogue.first_left(block, e, kept[e], set(block.more[0][e] or [])) for e in range(len(people))]
+    assert [None if k is None else int(block.c.ids[k]) for k in got] == want and any(want)
