@@ -3,7 +3,8 @@
 A text has a name if it holds one of the name's aliases, in any case and anywhere. Every alias is found by its anchor: the
 GRAM characters of it that the fewest texts hold (aliases shorter than that: all their characters). Texts meet aliases by an
 equi-join on anchors, and each meeting is checked once at its place; only meetings are shuffled, texts are joined with what
-they met once. Anchors are broadcast if they are few, which is counted first.
+they met once. A dictionary whose runs of characters are few, which is counted first, is broadcast instead: every text is
+then read twice where it lies, once to count the runs and once to look its anchors up, and no run becomes a row.
 
 Null and empty aliases are left out, repeated ones count once; null texts have no names. Rows of equal keys are texts of
 their own. Names come in the order of their first place in the text, then by themselves. Other columns of `texts` are kept.
@@ -11,6 +12,9 @@ their own. Names come in the order of their first place in the text, then by the
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ from gapweave.sources.scratch import materialise
 GRAM = 3
 #: Anchors are broadcast up to so many bytes, at so many for each.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 200
+#: Bytes of texts that a task counts at once, about.
+BATCH_BYTES = 8 << 20
 
 
 def grams(text: Column, size: int = GRAM) -> Column:
@@ -36,18 +42,63 @@ def text_grams(text: Column, sizes: list[int]) -> Column:
     return F.concat(*[grams(text, n) for n in sizes])
 
 
+def runs_of(text: str, sizes: list[int]) -> set[str]:
+    return {text[i : i + n] for n in sizes for i in range(len(text) - n + 1)}
+
+
+def counted(texts: DataFrame, lower: Column, sizes: list[int], wanted: DataFrame) -> DataFrame:
+    """gram and the number of texts that hold it, of wanted grams that any holds; these are broadcast."""
+    conf, key = texts.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(key).lower().rstrip("b")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    few = texts.sparkSession.sparkContext.broadcast(frozenset(r.gram for r in wanted.collect()))
+
+    def count(batches):
+        n = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                n.update(few.value & runs_of(text.as_py(), sizes))
+        yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["gram", "texts"])
+
+    return texts.select(lower.alias("text")).mapInArrow(count, "gram string, texts long").groupBy("gram").agg(F.sum("texts").alias("texts"))
+
+
+def looked_up(lower: Column, sizes: list[int], anchors: DataFrame, known: DataFrame) -> Column:
+    """The names of texts, by broadcast anchors (gram, alias) and aliases (alias, name)."""
+    of: dict[str, list[tuple[str, list[str]]]] = {}
+    for r in anchors.join(known.groupBy("alias").agg(F.collect_list("name").alias("names")), "alias").collect():
+        of.setdefault(r.gram, []).append((r.alias, r.names))
+    held = anchors.sparkSession.sparkContext.broadcast(of)
+
+    def names(text):
+        places: dict[str, int] = {}
+        for gram in held.value.keys() & runs_of(text, sizes):
+            for alias, own in held.value[gram]:
+                if (at := text.find(alias)) >= 0:
+                    for name in own:
+                        places[name] = min(at, places.get(name, at))
+        return sorted(places, key=lambda name: (places[name], name))
+
+    return F.udf(names, "array<string>")(lower)
+
+
 def tagged(texts: DataFrame, text: str, dictionary: DataFrame, name: str = "names") -> DataFrame:
     """The rows of `texts` with an array of the names that `dictionary` (alias, name) gives them."""
     known = materialise(dictionary.select(F.lower("alias").alias("alias"), "name").where("alias <> '' AND name IS NOT NULL").distinct(), "dictionary")
     pieces = materialise(known.select("alias").distinct().select("alias", F.explode(own_grams(F.col("alias"))).alias("gram")), "alias-grams")
     sizes = sorted(r["n"] for r in pieces.select(F.char_length("gram").alias("n")).distinct().collect()) or [GRAM]  # GRAM values at most
     wanted = pieces.select("gram").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() * ROW_BYTES <= BROADCAST_BYTES else wanted
+    small = max(wanted.count(), known.count()) * ROW_BYTES <= BROADCAST_BYTES
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-    held = texts.select(F.explode(text_grams(lower, sizes)).alias("gram")).join(wanted, "gram").groupBy("gram").agg(F.count("*").alias("texts"))
+    if small:
+        held = counted(texts, lower, sizes, wanted)
+    else:
+        held = texts.select(F.explode(text_grams(lower, sizes)).alias("gram")).join(wanted, "gram").groupBy("gram").agg(F.count("*").alias("texts"))
     rarest = Window.partitionBy("alias").orderBy("texts", "gram")
     anchors = pieces.join(held, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
     anchors = materialise(anchors.withColumn("n", F.row_number().over(rarest)).where("n = 1 AND texts > 0").select("gram", "alias"), "anchors")
+    if small:
+        return texts.select("*", looked_up(lower, sizes, anchors, known).alias(name))
     few = anchors.count() * ROW_BYTES <= BROADCAST_BYTES
     # A text's digest stands for it until its meetings are known; equal texts meet the same aliases.
     print_ = F.sha2(lower, 256)

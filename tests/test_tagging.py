@@ -31,3 +31,10 @@ def test_tags(spark, monkeypatch, few):
     assert sorted((r.id, r.t or "", r.names) for r in got.collect()) == sorted((k, t or "", plain(t, dictionary)) for k, t in rows)
     assert tagging.tagged(df.limit(0), "t", spark.createDataFrame(dictionary, "alias string, name string")).count() == 0
     assert tagging.tagged(df, "t", spark.createDataFrame([], "alias string, name string")).where("size(names) > 0").count() == 0
+
+
+def test_runs_of_texts_become_no_rows(spark):
+    texts = spark.createDataFrame([("abc " * 50 + "Zebra 😀x",), ("no",), (None,)], "t string")
+    got = tagging.tagged(texts, "t", spark.createDataFrame([("zebra", "z"), ("😀X", "smile"), ("c a", "c"), ("o", "o")], "alias string, name string"))
+    assert sorted((r.names for r in got.collect()), key=len) == [[], ["o"], ["c", "z", "smile"]]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
