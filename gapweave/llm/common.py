@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapweave.functions.batches import BATCH_BYTES, BATCH_ROWS, bounded_batches
 from gapweave.sources.scratch import materialise, scratch
 
 __all__ = ["Known", "Memo", "binary_view", "blocks", "bounded_batches", "coded", "forget_others", "fresh", "grown", "list_array", "materialise", "per_text", "release", "remembers", "runs", "scratch", "split", "table", "words"]
@@ -19,8 +20,6 @@ __all__ = ["Known", "Memo", "binary_view", "blocks", "bounded_batches", "coded",
 #: Near-duplicate operators work on runs of so many words, at this similarity or more.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Rows and bytes of the Arrow batches that tasks exchange with Python, at most; a longer row is a batch by itself.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 #: What a memo's strings may take together.
 MEMO_BYTES = 16 << 20
 
@@ -29,20 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """`df`, after lowering its session's limits of Arrow batches to BATCH_ROWS and BATCH_BYTES; lower ones stay.
-
-    Whole partitions in one batch would take their size several times over, in the executor and in Python. The limits are
-    read when a result runs, so they stay in the session.
-    """
-    conf = df.sparkSession.conf
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = conf.get(name).lower().rstrip("b")
-        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
-            conf.set(name, str(most))
-    return df
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, longer if `df` has a column of that name."""
     taken = {c.lower() for c in df.columns}

@@ -19,8 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapweave.functions.batches import BATCH_ROWS, bounded_batches
+
 #: Characters of a chunk, at most.
 MAX_CHARS = 800
+#: Characters of texts whose rows go in one batch, about.
+BATCH_CHARS = 1 << 20
 #: Headings, fences, blank lines between paragraphs and sentence ends (fixed values).
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$")
 FENCES = ("```", "~~~")
@@ -89,16 +93,28 @@ def pieces(text: str, most: int) -> Iterator[str]:
 
 
 def exploded(docs: DataFrame, key: str, text: str, schema: str, rows_of: Callable[[object, str], list[tuple]]) -> DataFrame:
-    """The rows that `rows_of` (key, text) gives, text by text."""
-    names = [part.split(" ")[0] for part in schema.split(", ")]
+    """The rows that `rows_of` (key, text) gives, text by text, in batches of bounded size."""
+    names, kinds = zip(*[part.split(" ") for part in schema.split(", ")], strict=True)
+    types = [pa.int64() if k == "long" else pa.string() for k in kinds]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
-            rows = [row for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in rows_of(k, t or "")]
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
-
-    return docs.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+            for k, t in zip(*batch.columns, strict=True):
+                k, t = k.as_py(), t.as_py() or ""
+                rows += rows_of(k, t)
+                size += len(t)
+                if len(rows) >= BATCH_ROWS or size >= BATCH_CHARS:
+                    if rows:
+                        yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return bounded_batches(docs).select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
