@@ -18,6 +18,8 @@ from gapweave.operators.commits import Table
 from gapweave.sources.scratch import materialise
 
 MANIFEST = "doc_id string, digest string"
+#: Texts are written several times, so they are packed closely.
+COMPRESSION = "zstd"
 CHUNKS = "doc_id string, chunk_index int, title string, content string"
 
 
@@ -30,7 +32,7 @@ def refresh(kept: dict[str, Table], docs: DataFrame, max_chars: int = documents.
     """Brings both tables up to date with `docs` (doc_id, text); returns doc_id and state (new, changed, gone) of what differed."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     now = rows.groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", "text", F.sha2("text", 256).alias("digest"))
-    now = materialise(now, "documents-now")
+    now = materialise(now, "documents-now", compression=COMPRESSION)
     before = kept["manifest"].read().select("doc_id", F.col("digest").alias("old"))
     state = F.when(F.col("old").isNull(), "new").when(F.col("digest").isNull(), "gone").when(F.col("old") != F.col("digest"), "changed")
     differs = now.select("doc_id", "digest").join(before, "doc_id", "full").withColumn("state", state).where("state IS NOT NULL")
@@ -38,7 +40,7 @@ def refresh(kept: dict[str, Table], docs: DataFrame, max_chars: int = documents.
     if differs.isEmpty():
         return differs.select("doc_id", "state")
     fresh = now.join(differs.where("state <> 'gone'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    cut = materialise(documents.chunks(fresh, "doc_id", "text", max_chars).select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "title", "content"), "fresh-chunks")
+    cut = materialise(documents.chunks(fresh, "doc_id", "text", max_chars).select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "title", "content"), "fresh-chunks", compression=COMPRESSION)
     kept["chunks"].replace(cut, differs, "doc_id")
     kept["manifest"].replace(differs.where("state <> 'gone'").select("doc_id", "digest"), differs, "doc_id")
     return differs.select("doc_id", "state")

@@ -95,3 +95,13 @@ def test_held_keeps_the_best_over_all_batches():
     row, keys, score = held.best()
     got = list(zip(row.tolist(), (-score).tolist(), keys.to_pylist()))
     assert got == [x for r in range(3) for x in sorted(y for y in all_ if y[0] == r)[:5]]
+
+
+def test_ingested_texts_are_packed_closely(spark, tmp_path):
+    from gapweave.operators import ingestion
+
+    kept = ingestion.tables_at(spark, f"file://{tmp_path}/t")
+    ingestion.refresh(kept, spark.createDataFrame([(1, "# A\n\none"), (2, None)], "doc_id long, text string"))
+    files = [f.name for f in (tmp_path / "t" / "chunks").rglob("part-*.parquet")]
+    assert files and all(".zstd." in f for f in files)
+    assert [(r.doc_id, r.content) for r in kept["chunks"].read().collect()] == [("1", "one")]
