@@ -14,7 +14,9 @@ results; other columns, whatever their names, pass through untouched.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import math
 import re
 from array import array
 from functools import lru_cache
@@ -88,16 +90,17 @@ class Codec:
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging the characters of a short text gives: best score first, then leftmost."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, get, none = list(text), self.score.get, -math.inf
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > none:
+            k = scores.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            # Only the pairs beside it have changed.
+            if k:
+                scores[k - 1] = get(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = get(parts[k] + parts[k + 1], none)
         return parts
 
     def fit(self, a: int, b: int) -> bool:
@@ -125,7 +128,12 @@ class Codec:
         bad = np.zeros(len(parts), bool)
         beside = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique(ids[beside] * len(self.bytes_of) + ids[beside + 1], return_inverse=True)
-        bad[owner[beside[~np.fromiter((self.fit(*divmod(x, len(self.bytes_of))) for x in pairs.tolist()), bool, len(pairs))[back]]]] = True
+        pairs = pairs.tolist()
+        fine = list(map(self.fits.get, pairs))
+        for k, known in enumerate(fine):
+            if known is None:
+                fine[k] = self.fit(*divmod(pairs[k], self.size))
+        bad[owner[beside[~np.array(fine, bool)[back]]]] = True
         if outside := set(joined) - self.known:
             bad |= np.fromiter((not outside.isdisjoint(p) for p in parts), bool, len(parts))
         again = [self.with_bytes(parts[k]) for k in np.flatnonzero(bad).tolist()]
@@ -174,9 +182,10 @@ class Codec:
 
     def backtrack(self, text: str) -> list[int] | array:
         """The ids of a text of known characters; time and memory grow in proportion to its length."""
+        if len(text) <= SHORT_CHARS:
+            return self.backtrack_short(text)
         n, size, longest, window, fits, shorter = len(text), self.size, self.automaton.iter_long, self.longest_piece, self.fits, self.shorter
-        short = n <= SHORT_CHARS
-        ids, froms = ([], []) if short else (array("i"), array("q"))  # the taken pieces and where they start
+        ids, froms = array("i"), array("q")  # the taken pieces and where they start
         failed = bytearray(n // 8 + 1)  # bit k: nothing from character k on works
         pos, before = 0, -1
         _, choice = next(longest(text[:window]))
@@ -194,7 +203,7 @@ class Codec:
                 if pos == n:
                     return ids
                 before = i
-                _, choice = next(longest(text, pos) if short else longest(text[pos : pos + window]))
+                _, choice = next(longest(text[pos : pos + window]))
             else:
                 if not ids:
                     raise ValueError("the model can't encode this text")
@@ -203,6 +212,38 @@ class Codec:
                 pos = froms.pop()
                 before = ids[-1] if ids else -1
 
+    def backtrack_short(self, text: str) -> list[int]:
+        """As backtrack(), with plain lists, a byte for each character and without a second look at pairs that don't fit."""
+        n, size, longest, known, fit, shorter = len(text), self.size, self.automaton.iter_long, self.fits.get, self.fit, self.shorter
+        ids, froms, failed = [], [], bytearray(n + 1)
+        pos, before = 0, -1
+        _, choice = next(longest(text))
+        while True:
+            row = before * size
+            while choice:
+                length, i = choice
+                if not failed[pos + length]:
+                    if before < 0 or (fits := known(row + i)):
+                        break
+                    if fits is None and fit(before, i):
+                        break
+                choice = shorter[i]
+            if choice:
+                ids.append(i)
+                froms.append(pos)
+                pos += length
+                if pos == n:
+                    return ids
+                before = i
+                _, choice = next(longest(text, pos))
+            else:
+                if not ids:
+                    raise ValueError("the model can't encode this text")
+                failed[pos] = 1
+                choice = shorter[ids.pop()]
+                pos = froms.pop()
+                before = ids[-1] if ids else -1
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and how many each text has.
 
@@ -280,7 +321,11 @@ def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
         for batch in batches:
             done = 0
             for block in blocks(batch.column(1), 500_000):
-                ids, counts = c.encode(block)
+                gc.disable()  # a block's many small tuples make no cycles; release() collects after each batch
+                try:
+                    ids, counts = c.encode(block)
+                finally:
+                    gc.enable()
                 lists = list_array(ids, counts)
                 of_ids = [hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in joined(lists, c.numbers, b",")]
                 of_text = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in c.decode(lists)]
