@@ -14,7 +14,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapweave.sources.scratch import materialise
+from gapweave.sources.scratch import materialise, spread
 
 #: Average level over a course's skills from which it is mastered, by difficulty (fixed values).
 MASTERED = {"beginner": 2, "intermediate": 3, "advanced": 4}
@@ -38,14 +38,16 @@ def walks(edges: DataFrame, acyclic: bool) -> DataFrame:
     while True:
         if acyclic and not known.where("a = b").isEmpty():
             raise ValueError("courses wait for each other: there is a cycle")
-        jump, steps = doubled(jump), 2 * steps
-        if jump.isEmpty():
-            return known
-        onward = known.select(F.col("a").alias("b"), F.col("b").alias("c"), "depth")
-        longer = jump.join(onward, "b").select("a", F.col("c").alias("b"), (F.col("depth") + steps).alias("depth"))
-        before = known if acyclic else known.count()
-        new = known.unionAll(jump.select("a", "b", F.lit(steps).cast("long").alias("depth"))).unionAll(longer)
-        known = materialise(new.groupBy("a", "b").agg(F.max("depth").alias("depth")), "walks")
+        before = known.count()
+        # A round gives up to twice the pairs, from as many again.
+        with spread(edges.sparkSession, 4 * before):
+            jump, steps = doubled(jump), 2 * steps
+            if jump.isEmpty():
+                return known
+            onward = known.select(F.col("a").alias("b"), F.col("b").alias("c"), "depth")
+            longer = jump.join(onward, "b").select("a", F.col("c").alias("b"), (F.col("depth") + steps).alias("depth"))
+            new = known.unionAll(jump.select("a", "b", F.lit(steps).cast("long").alias("depth"))).unionAll(longer)
+            known = materialise(new.groupBy("a", "b").agg(F.max("depth").alias("depth")), "walks")
         if not acyclic and known.count() == before:
             return known
 
@@ -102,9 +104,13 @@ def tangled(edges: DataFrame) -> DataFrame:
 
 
 def on_cycles(prerequisite: DataFrame) -> DataFrame:
-    """course_id of the courses that lead back to themselves, among those that peeling leaves."""
-    edge = tangled(prerequisite).select(F.col("course_id").alias("a"), F.col("prerequisite_id").alias("b"))
-    return walks(edge, acyclic=False).where("a = b").select(F.col("a").alias("course_id"))
+    """course_id of the courses that lead back to themselves, among those that peeling leaves.
+
+    Edges from a course to itself are no part of longer cycles; without them more is peeled.
+    """
+    own = materialise(prerequisite.where("course_id = prerequisite_id").select("course_id").distinct(), "own-cycles")
+    edge = tangled(prerequisite.where("course_id <> prerequisite_id")).select(F.col("course_id").alias("a"), F.col("prerequisite_id").alias("b"))
+    return walks(edge, acyclic=False).where("a = b").select(F.col("a").alias("course_id")).unionAll(own).distinct()
 
 
 def cycle_paths(prerequisite: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from gapweave.operators import checks, documents, retrieval, store
 from gapweave.operators.commits import Table
 from gapweave.plans.skills import query, replayed
 from gapweave.sources import readers
-from gapweave.sources.scratch import materialise, scratch
+from gapweave.sources.scratch import materialise, scratch, spread
 from gapweave.sources.views import Domain
 
 
@@ -355,8 +355,11 @@ def insert_ignore(d: Domain) -> DataFrame:
 @query(", fin AS (SELECT employee_id, skill_id, max_by(to_level, record_id)::INT AS l FROM steps GROUP BY ALL) SELECT employee_id, skill_id, coalesce(l, level)::INT AS level, l IS NOT NULL AS synced FROM has_skill FULL JOIN fin USING (employee_id, skill_id)")
 def profile_sync(d: Domain) -> DataFrame:
     """Levels after the replay merged into has_skill, with those that the records touched marked."""
-    touched = replayed(d).groupBy("employee_id", "skill_id").agg(F.max_by("to_level", "record_id").alias("level")).withColumn("synced", F.lit(True))
-    return store.merged(d["has_skill"].withColumn("synced", F.lit(False)), materialise(touched, "touched"), ["employee_id", "skill_id"]).select("employee_id", "skill_id", "level", "synced")
+    old = d.written("has_skill")
+    with spread(d.spark, old.count() + d["training_record"].count()):
+        touched = replayed(d).groupBy("employee_id", "skill_id").agg(F.max_by("to_level", "record_id").alias("level")).withColumn("synced", F.lit(True))
+        synced = store.merged(old.withColumn("synced", F.lit(False)), materialise(touched, "touched"), ["employee_id", "skill_id"])
+        return materialise(synced.select("employee_id", "skill_id", "level", "synced"), "synced")
 
 
 @query("SELECT skill_id, count(*) AS n, max(required_level) AS top FROM requires GROUP BY skill_id")
