@@ -2,7 +2,8 @@
 
 Graphs are edge tables; searches go on in rounds that write what they find to the shared folder. Chains, closures and cycles
 take a round for each doubling of the number of steps: walks of exactly 2**k steps are joined with themselves, and with all
-shorter ones, so the number of rounds is the logarithm of the longest way. expanded() and cycle_paths() take a round a step. Edges whose ends are null lead nowhere. Repeated edges count once. Empty tables give empty results.
+shorter ones, so the number of rounds is the logarithm of the longest way. expanded(), cycle_paths() and, up to MOST_ROUNDS
+steps, on_cycles() take a round a step. Edges whose ends are null lead nowhere. Repeated edges count once. Empty tables give empty results.
 Ties are broken by smaller course_id, as each function says. Other columns are not read.
 """
 
@@ -20,6 +21,8 @@ from gapweave.sources.scratch import materialise, spread
 MASTERED = {"beginner": 2, "intermediate": 3, "advanced": 4}
 #: Peeling goes on while a round takes away one edge in so many at least.
 PEEL = 10
+#: Steps of a search for cycles that are taken one by one, at most.
+MOST_ROUNDS = 40
 
 
 def doubled(jump: DataFrame) -> DataFrame:
@@ -103,14 +106,55 @@ def tangled(edges: DataFrame) -> DataFrame:
         left = new
 
 
+def smallest_sources(edge: DataFrame) -> DataFrame | None:
+    """node and label (the smallest node that leads to it, or itself) of all ends of edges (a, b); None beyond MOST_ROUNDS steps."""
+    label = materialise(edge.select(F.col("a").alias("node")).union(edge.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node")), "labels")
+    new = label
+    for _ in range(MOST_ROUNDS):
+        lower = edge.join(new.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("lower"))
+        new = materialise(lower.join(label, "node").where("lower < label").select("node", F.col("lower").alias("label")), "labels")
+        if new.isEmpty():
+            return label
+        label = materialise(label.join(new.withColumnRenamed("label", "lower"), "node", "left").select("node", F.coalesce("lower", "label").alias("label")), "labels")
+    return None
+
+
+def leading_back(edge: DataFrame) -> DataFrame | None:
+    """node and label of what leads to its label's node by edges (a, b, label) of that label, with that node; None beyond MOST_ROUNDS steps."""
+    new = materialise(edge.where("b = label").select(F.col("a").alias("node"), "label").distinct(), "leading-back")
+    known = new.unionAll(new.select(F.col("label").alias("node"), "label").distinct())
+    for _ in range(MOST_ROUNDS):
+        more = edge.join(new.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node"), "label").distinct()
+        new = materialise(more.join(known, "node", "left_anti"), "leading-back")
+        if new.isEmpty():
+            return materialise(known.distinct(), "on-cycles")
+        known = known.unionAll(new)
+    return None
+
+
 def on_cycles(prerequisite: DataFrame) -> DataFrame:
     """course_id of the courses that lead back to themselves, among those that peeling leaves.
 
-    Edges from a course to itself are no part of longer cycles; without them more is peeled.
+    Edges from a course to itself are no part of longer cycles; without them more is peeled. Courses on a cycle have the same
+    smallest course that leads to them, so edges between others are cut; what leads back to that course is on a cycle with it.
+    The rest is peeled and searched anew. Only graphs with ways of more than MOST_ROUNDS steps are searched by walks.
     """
-    own = materialise(prerequisite.where("course_id = prerequisite_id").select("course_id").distinct(), "own-cycles")
+    found = [materialise(prerequisite.where("course_id = prerequisite_id").select("course_id").distinct(), "own-cycles")]
     edge = tangled(prerequisite.where("course_id <> prerequisite_id")).select(F.col("course_id").alias("a"), F.col("prerequisite_id").alias("b"))
-    return walks(edge, acyclic=False).where("a = b").select(F.col("a").alias("course_id")).unionAll(own).distinct()
+    while (n := edge.count()) > 0:
+        with spread(edge.sparkSession, n):
+            label, back = smallest_sources(edge), None
+            if label is not None:
+                own, other = label.withColumnRenamed("node", "a"), label.select(F.col("node").alias("b"), F.col("label").alias("other"))
+                edge = materialise(edge.join(own, "a").join(other, "b").where("label = other").select("a", "b", "label"), "edges")
+                back = leading_back(edge)
+            if back is None:
+                found.append(walks(edge.select("a", "b"), acyclic=False).where("a = b").select(F.col("a").alias("course_id")))
+                break
+            found.append(back.select(F.col("node").alias("course_id")))
+            left = edge.join(back.select(F.col("node").alias("a")), "a", "left_anti").join(back.select(F.col("node").alias("b")), "b", "left_anti")
+            edge = tangled(left.select(F.col("a").alias("course_id"), F.col("b").alias("prerequisite_id"))).select(F.col("course_id").alias("a"), F.col("prerequisite_id").alias("b"))
+    return reduce(DataFrame.unionAll, found).distinct()
 
 
 def cycle_paths(prerequisite: DataFrame) -> DataFrame:
